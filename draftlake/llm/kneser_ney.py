@@ -10,7 +10,8 @@ that language, plus a slack; languages with few trusted documents take the quant
 The model is broadcast while it has at most BROADCAST_ENTRIES entries (checked); beyond that, distinct n-grams of the
 documents are scored by joins with the sharded tables, and documents join those scores.
 
-Defined cases: a null text is an empty one and is scored for its end mark; a null language is a language of its own;
+Defined cases: a null text is an empty one, scored for its end mark alone and so, as a
+rule, rejected; a null language is a language of its own;
 without trusted documents nothing is rejected; label rows of one doc_id must all trust it; equal rows score alike;
 clashing columns of the input become input_<name>.
 """

@@ -175,6 +175,8 @@ def demux(media: bytes | None) -> dict:
         return out
     out["stream_pid"] = wanted[0]
     mine = (pid == wanted[0]) & loaded
+    if not mine.any():
+        return out
     place, packets, offsets, start, adapted = place[mine], packets[mine], offsets[mine], start[mine], adapted[mine]
     counter = packets[:, 3] & 0x0F
     step = np.diff(counter.astype(np.int16)) & 0x0F

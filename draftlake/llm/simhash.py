@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.llm.common import components, stored
@@ -164,8 +164,15 @@ def hex16(value: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document of each class: the one of smallest doc_id stays (one row of it, where equal ids repeat). Rows without doc_id stay if their class has no id."""
+    """docs with one document of each class, the one of smallest doc_id.
+
+    Of several rows with one doc_id one stays, that of least text hash. Rows without doc_id can't be told apart by it and stay.
+    """
     found = classes(docs, **options)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").where("doc_id IS NOT NULL").distinct()
+    gone = found.where("doc_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = left.where("doc_id IS NOT NULL").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*docs.columns)
+    return one.unionByName(left.where("doc_id IS NULL"))

@@ -1,0 +1,86 @@
+import hashlib
+import zlib
+
+import duckdb
+import numpy as np
+
+from draftlake.llm import mpegts, warc
+from draftlake.llm.queries import ORACLE_SQL, op3_transport_stream, op5_warc_archive
+
+
+def test_stream_layout_and_faults():
+    payload = bytes(np.random.default_rng(1).integers(0, 256, 576 * 60, dtype=np.uint8))
+    media = mpegts.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    assert all(p[0] == 0x47 for p in packets) and len(packets) == 60 * 4 + 3 * 2
+    assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
+    found = mpegts.demux(media)
+    assert found["payload"] == payload and found["continuity_errors"] == found["sync_errors"] == 0
+    assert found["pts"] == [3600 * (i + 1) for i in range(60)] and found["rap_units"] == [0, 25, 50]
+    assert all(media[p] == 0x47 and media[p + 5] & 0x40 for p in found["rap_bytes"])
+    lost = mpegts.demux(b"".join(packets[:9] + packets[10:]))  # the last packet of the second unit
+    assert lost["continuity_errors"] == 1 and lost["payload"] == payload[:576] + payload[1152:]
+    middle = mpegts.demux(b"".join(packets[:8] + packets[9:]))
+    assert middle["continuity_errors"] == 1 and middle["payload"] == payload[:576] + payload[1152:]
+    head = mpegts.demux(b"".join(packets[:6] + packets[7:]))
+    assert head["continuity_errors"] == 1 and head["units"] == 58
+    twice = mpegts.demux(b"".join(packets[:8] + packets[7:]))
+    assert twice["payload"] == payload and twice["continuity_errors"] == 0
+    later = mpegts.demux(media[found["rap_bytes"][1] - 2 * 188 :])  # reading can start at the tables before a random access point
+    assert later["payload"] == payload[25 * 576 :]
+    broken = bytearray(media)
+    broken[188 * 5] = 0
+    assert mpegts.demux(bytes(broken))["sync_errors"] == 1
+    for junk in (None, b"", b"G", bytes(188), b"\x47" * 376, media[:100], media[:376]):
+        assert mpegts.demux(junk)["payload"] == b""
+
+
+def test_media_of_all_texts(spark, wide, none, rows, tmp_path):
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_transport_stream(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for _, text, *_ in rows:
+        n, p = mpegts.padded(text)
+        assert len(p) % 576 == 0 and p and p[:n] == (text or "").encode() and set(p[n:]) <= {255}
+        want[hashlib.sha256(p).hexdigest()] = (n, len(p), zlib.crc32(p[-32:]))
+    by = {}
+    for r in got:
+        n, size, crc = want[r.payload_sha256]
+        assert (size, crc) == (r.payload_bytes, r.tail_crc32) and r.n_bytes <= size
+        assert by.setdefault(r.payload_sha256, (r.media_sha256, r.media_bytes, r.feature)) == (r.media_sha256, r.media_bytes, r.feature)
+        assert ";errors=0;" in r.feature
+    stored = mpegts.store_media(wide)
+    assert "input_media" in stored.columns and "input_n_bytes" in stored.columns
+    read = mpegts.read_media(stored)
+    assert {hashlib.sha256(r.payload).hexdigest() for r in read.select("payload").collect()} == set(want)
+    assert mpegts.read_media(mpegts.store_media(none)).count() == 0
+
+
+def test_archive(spark, tmp_path):
+    big, small = "<html>" + "x" * 200, "<p>short"
+    rows = [(5, "http://a/5", big), (3, "http://a/3", big), (9, None, big), (1, "http://a\r\n/1", small), (2, "http://a/2", small), (4, "u", None), (6, "u", ""), (None, "u", big), (None, None, None), (7, "u", "ü" * 60), (8, "u", "ü" * 60), (10, "u", "z" * 300), (10, "u", "z" * 300), (11, "u", "z" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'mine' AS digest", "'mine' AS header", "'mine' AS record_type")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = op5_warc_archive(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql("select page_id, payload_bytes, payload_digest, record_type, refers_to from (" + ORACLE_SQL["op5_warc_archive"] + ")").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    path = warc.write_archive(pages)
+    assert spark.read.parquet(f"{path}/payloads").count() == 5
+    assert all(r.verified for r in warc.read_archive(spark, path).collect())
+    found = warc.records(spark, path).collect()
+    assert len(found) == len(rows)
+    types = {r.page_id: r.record_type for r in got}
+    for r in found:
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert rest.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(rest) - 4 and fields["WARC-Type"] in ("response", "revisit")
+        if r.page_id is not None:
+            assert fields["WARC-Type"] == types[r.page_id]
+        if fields["WARC-Type"] == "response":
+            body = rest[:-4].split(b"\r\n\r\n", 1)[1]
+            assert hashlib.sha256(body).hexdigest() == fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    empty = warc.write_archive(pages.limit(0))
+    assert warc.read_archive(spark, empty).count() == 0
