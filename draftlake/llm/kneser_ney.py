@@ -304,8 +304,8 @@ def thresholds(scores: DataFrame, trusted: DataFrame, rule: Rule = Rule()) -> Da
 
 def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> tuple[tuple[DataFrame, DataFrame], DataFrame, DataFrame]:
     """(model, scores: doc_id, lang, log_ppl of all docs, thresholds by language)."""
-    good = trusted_ids(labels)
-    model = tuple(stored(x, "model") for x in train(docs.select("doc_id", "text").join(good, "doc_id", "left_semi")))
+    good = trusted_ids(labels)  # grows with the corpus: joined the same way at every size, not broadcast while it is small
+    model = tuple(stored(x, "model") for x in train(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")))
     scores = stored(score(docs.select("doc_id", "lang", "text"), model).drop("text"), "scores")
     return model, scores, thresholds(scores, good, rule)
 
