@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class."""
-    return simhash.deduplicate(docs)
+    """One document of each SimHash class: shingles of five words, fingerprints that differ in six bits at most (nine tenths of them agree)."""
+    return simhash.deduplicate(docs, words=5, radius=6, blocks=8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
