@@ -5,11 +5,12 @@ of smaller doc_id. The reference is the corpus itself, and an automaton of it ha
 broadcast, so the reference is cut into shards by content, and documents meet the shards that can hold their windows:
 
 1. Winnowing picks an anchor for every window: the k-gram of least hash among those in it. Equal windows have equal
-   anchors. Anchors that stand in one document only cannot be part of a repeat; the others are told to their documents.
-2. Documents emit segments, the words of neighbouring windows with the same shared anchor; equal segments of a batch
-   leave it once, with the list of their places. Anchors of more than HOT documents are dealt by window, not by
-   anchor, so that a common line does not gather all its contexts.
-3. The segments of an anchor make one suffix automaton, built in ascending order of doc_id, with the smallest doc_id of
+   anchors. Anchors that stand in one document only cannot be part of a repeat; the others are told to their documents,
+   with the first document that has them.
+2. Documents emit segments, the words of neighbouring windows whose anchors have the same first document, to the shard
+   of that document; equal segments of a batch leave it once, with the list of their places. Windows with anchors of
+   more than HOT documents are dealt by their own words, so that a common line does not gather all its contexts.
+3. The segments of a shard make one suffix automaton, built in ascending order of doc_id, with the smallest doc_id of
    each state. Segments stream through it; where the match is as long as a window, its state says which document had the
    window first.
 4. Spans go back to their documents and the words in them are cut out. Texts are shuffled once; both joins use it.
@@ -181,16 +182,42 @@ def _anchors_of(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(_doc, shared, hot): the anchors of each document that other documents have too. A window holds one row for each batch at most."""
+    """(_doc, _shared, _first, _hot): the anchors of each document that other documents have too, the first of these documents and
+    whether there are many. A window of the plan holds one row of an anchor for each batch at most."""
     by = Window.partitionBy("h")
     rows = rows.withColumn("lo", F.min("first").over(by)).withColumn("hi", F.max("first").over(by)).withColumn("n", F.sum(F.lit(1) + F.coalesce(F.size("others"), F.lit(0))).over(by))
     rows = rows.where("lo < hi OR others IS NOT NULL")
-    each = rows.select("h", (F.col("n") > HOT).alias("hot"), F.explode(F.concat(F.array("first"), F.coalesce("others", F.array().cast("array<long>")))).alias("_doc"))
-    return each.groupBy("_doc").agg(F.collect_list("h").alias("_shared"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("_hot"))
+    each = rows.select("h", "lo", (F.col("n") > HOT).alias("hot"), F.explode(F.concat(F.array("first"), F.coalesce("others", F.array().cast("array<long>")))).alias("_doc"))
+    lists = each.groupBy("_doc").agg(F.collect_list(F.struct("h", "lo", "hot")).alias("_l"))
+    return lists.select("_doc", F.col("_l.h").alias("_shared"), F.col("_l.lo").alias("_first"), F.col("_l.hot").alias("_hot"))
+
+
+def _settle(held: dict, length: int) -> list:
+    """The segments of a batch and their places. Of the windows that are dealt by their own words only the first document of the batch has to
+    ask; for its later ones that document settles it, and their spans, merged, go on as rows of their own (hot: null)."""
+    out, gone = [], {}
+    for key, places in held.items():
+        first = min(places)[0]
+        if key[1] and len(places) > 1:
+            for doc, row, start in places:
+                if doc > first:
+                    gone.setdefault((doc, row), []).append(start)
+            places = [p for p in places if p[0] == first]
+        out.append((key, places))
+    for (doc, row), starts in gone.items():
+        starts.sort()
+        merged = []
+        for s in starts:
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = s + length
+            else:
+                merged.append([s, s + length])
+        out.append(((doc, None, b""), [(doc, row, x) for span in merged for x in span]))
+    return out
 
 
 def _segments(docs: DataFrame, length: int) -> DataFrame:
-    """(key, hot, first, segment, places): words around shared anchors, equal ones of a batch once."""
+    """(key, hot, first, segment, places): words of windows with shared anchors, equal ones of a batch once."""
 
     def run(batches):
         import pyarrow as pa
@@ -203,31 +230,33 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
                 if len(words) < length:
                     continue
                 doc, row = batch.column("_doc")[i].as_py(), batch.column("_row")[i].as_py()
-                place, h, hashes = anchors(words, length)
-                flagged = np.isin(h, batch.column("_shared")[i].values.to_numpy(zero_copy_only=False))
-                hot = flagged & np.isin(h, batch.column("_hot")[i].values.to_numpy(zero_copy_only=False))
-                start = flagged & (hot | np.r_[True, (place[1:] != place[:-1]) | ~flagged[:-1]])
+                _, h, hashes = anchors(words, length)
+                known, lo, many = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("_shared", "_first", "_hot"))
+                order = np.argsort(known)
+                at = order[np.minimum(np.searchsorted(known, h, sorter=order), len(known) - 1)]
+                flagged = known[at] == h
+                hot, key = flagged & many[at], lo[at]
+                start = flagged & (hot | np.r_[True, (key[1:] != key[:-1]) | ~flagged[:-1] | hot[:-1]])
                 begin = np.flatnonzero(start)
                 ends = np.flatnonzero(flagged & np.r_[start[1:] | ~flagged[1:], True]) + length
-                keys = h[begin]
+                keys = key[begin]
                 if hot.any():
-                    windows = Words.grams(hashes, length).view(np.int64)
-                    keys = np.where(hot[begin], windows[begin], keys)
+                    keys = np.where(hot[begin], Words.grams(hashes, length).view(np.int64)[begin], keys)
                 for a, b, k, x in zip(begin.tolist(), ends.tolist(), keys.tolist(), hot[begin].tolist(), strict=True):
                     held.setdefault((k, x, words.part(a, b)), []).append((doc, row, a))
-            items = list(held.items())
+            items = _settle(held, length)
             for at in range(0, len(items), 20_000):
                 some = items[at : at + 20_000]
                 flat = [p for _, places in some for p in places]
                 values = pa.StructArray.from_arrays([pa.array([p[j] for p in flat], pa.int64()) for j in range(3)], ["doc", "row", "start"])
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(places) for _, places in some)]).astype(np.int32)), values).cast(place_type)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.int64()), pa.array([k[1] for k, _ in some]), pa.array([min(places)[0] for _, places in some], pa.int64()), pa.array([k[2] for k, _ in some], pa.binary()), lists], ["key", "hot", "first", "segment", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.int64()), pa.array([k[1] for k, _ in some], pa.bool_()), pa.array([min(places)[0] for _, places in some], pa.int64()), pa.array([k[2] for k, _ in some], pa.binary()), lists], ["key", "hot", "first", "segment", "places"])
 
     return docs.mapInArrow(run, "key long, hot boolean, first long, segment binary, places array<struct<doc: long, row: long, start: long>>")
 
 
 def repeats(group: list[tuple[bytes, list[tuple[int, int, int]]]], length: int = LENGTH):
-    """(doc, row, start, stop) of the words that repeat earlier ones, of the segments of one anchor and their places."""
+    """(doc, row, start, stop) of the words that repeat earlier ones, of the segments of one shard and their places."""
     merged: dict[bytes, list] = {}
     for segment, places in group:
         merged.setdefault(segment, []).extend(places)
@@ -272,7 +301,10 @@ def _spans(segments: DataFrame, length: int) -> DataFrame:
                     out += repeats(group, length)
                     here, group, seen = (key, hot), [], {}
                 places = zip(doc[offsets[i] : offsets[i + 1]], row[offsets[i] : offsets[i + 1]], start[offsets[i] : offsets[i + 1]], strict=True)
-                if hot:  # a whole window, and its rows come in order of their first document: nothing needs to be held
+                if hot is None:  # settled where it was read: starts and stops in turn
+                    places = list(places)
+                    out += [(d, r, x, y) for (d, r, x), (_, _, y) in zip(places[::2], places[1::2], strict=True)]
+                elif hot:  # a whole window, and its rows come in order of their first document: nothing needs to be held
                     first = seen.setdefault(segment, min(doc[offsets[i] : offsets[i + 1]]))
                     out += [(d, r, s, s + length) for d, r, s in places if d > first]
                 else:
@@ -339,7 +371,7 @@ def _cut_out(docs: DataFrame, columns: list[T.StructField]) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, their texts without repeated windows, with n_words, n_removed and kept_sha256 (of the kept words, joined by one space)."""
-    docs = apart(docs, [f.name for f in NEW] + ["_doc", "_row", "_shared", "_hot", "_spans"])
+    docs = apart(docs, [f.name for f in NEW] + ["_doc", "_row", "_shared", "_first", "_hot", "_spans"])
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_row", F.xxhash64("doc_id", "text"))
     shared = _shared(_anchors_of(keyed, length))
     dealt = keyed.repartition("_doc")  # both joins below read this exchange
