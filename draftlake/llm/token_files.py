@@ -30,6 +30,8 @@ from draftlake.llm.bpe import KEPT, SPACE
 from draftlake.llm.common import new_path, prefix_sums, stored, utf8_size
 
 CHUNK = re.compile(f"[^{SPACE}]+")
+#: What str.split() takes for white space and Unicode doesn't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: How the tokenizer of word_bpe_49k.json splits lower-cased text (a fixed value of that file).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NO_ID = -(1 << 63)
@@ -44,40 +46,81 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = self.pack([end_id])
-        self.split = regex.compile(WORDS).findall
+        self.words_of = regex.compile(WORDS).findall
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        size = self.kind.itemsize
-        return b"".join([i.to_bytes(size, "little") for i in ids])
+        return b"".join([i.to_bytes(self.kind.itemsize, "little") for i in ids])
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, words: list[str], at_once: int = 2000) -> list[bytes]:
+        """Ids of single words, encoded many to a text: the last token of each word says that it ends there."""
+        import numpy as np
+
+        out, size = [], self.kind.itemsize
+        parts = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * size
+            if len(ends) == len(part):
+                packed = ids.tobytes()
+                out += [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                out += self._each(part)
+        return out
+
+    def _cut(self, chunk: str):
+        """The words of a chunk of Latin letters and signs, lower-cased; None for others, whose normal form or lower case may depend on
+        more than single characters, and where an added token can start."""
+        if not (chunk.isascii() or (max(chunk) < "\u0250" and "\u0130" not in chunk)):
+            return None
+        if chunk.isalpha():
+            return (chunk.lower(),)
+        if chunk[:-1].isalpha():
+            return (chunk[:-1].lower(), chunk[-1])
+        return None if "<|" in chunk else self.words_of(chunk.lower())
+
     def _learn(self, new: list[str]) -> None:
-        """Encodings of chunks. Those of Latin letters, without added tokens, are cut into words as the tokenizer would."""
-        plain = {c: self.split(c.lower()) for c in new if max(c) < "ɐ" and "<|" not in c and "İ" not in c}
-        words = list({w for ws in plain.values() for w in ws if w not in self.words})
-        if len(self.words) + len(words) > KEPT:
-            self.words.clear()
-            words = list({w for ws in plain.values() for w in ws})
-        self.words.update(zip(words, self._ids(words), strict=True))
+        """Encodings of chunks, by way of their words where they can be cut. What the older half of a dictionary knows is taken from there."""
+        plain, rest = {}, []
+        older, chunks = self.older_chunks, self.chunks
+        for c in new:
+            if (known := older.get(c)) is not None:
+                chunks[c] = known
+            elif (cut := self._cut(c)) is None:
+                rest.append(c)
+            else:
+                plain[c] = cut
+        if len(self.words) > KEPT // 2:
+            self.older_words, self.words = self.words, {}
+        words, older, fresh = self.words, self.older_words, []
+        for w in {w for ws in plain.values() for w in ws}:
+            if w not in words:
+                if (known := older.get(w)) is not None:
+                    words[w] = known
+                else:
+                    fresh.append(w)
+        words.update(zip(fresh, self._together(fresh), strict=True))
         for c, ws in plain.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
-        rest = [c for c in new if c not in plain]
-        self.chunks.update(zip(rest, self._ids(rest), strict=True))
+            chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        chunks.update(zip(rest, self._each(rest), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, packed."""
-        split = [CHUNK.findall(t or "") for t in texts]
-        distinct = set().union(*split)
-        new = [c for c in distinct if c not in self.chunks]
-        if len(self.chunks) + len(new) > KEPT:
-            self.chunks.clear()
-            new = list(distinct)
+        split = [CHUNK.findall(t) if SEPARATORS.search(t) else t.split() for t in (x or "" for x in texts)]
+        if len(self.chunks) > KEPT // 2:  # what is in use moves on from the older half
+            self.older_chunks, self.chunks = self.chunks, {}
+        new = set().union(*[set(s).difference(self.chunks) for s in split])
         if new:
-            self._learn(new)
+            self._learn(list(new))
         get = self.chunks.__getitem__
         return [b"".join([*map(get, s), self.end]) for s in split]
 
