@@ -163,7 +163,7 @@ def _pair_columns(pairs: DataFrame) -> DataFrame:
 
 @query(with_tables(["segments"], f"+ {_PAIRS} {_PAIR_COLUMNS}"))
 def face_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pair_columns(walls.face_pairs(_faces(spark, sf_dir)))
+    return _pair_columns(walls.face_pairs(_faces(spark, sf_dir), by="angle"))
 
 
 @query(with_tables(["segments"], f"+ {_PAIRS} {_PAIR_COLUMNS}"))

@@ -345,3 +345,48 @@ def test_ingest(spark):
         layer = t["layers"].where(F.col("drawing_id") == ids[path]).first()
         assert (layer.name, layer.color, layer.flags) == ("Fal", -3, 1)
         assert [(r.name, r.base_x, r.base_y) for r in t["blocks"].where(F.col("drawing_id") == ids[path]).collect()] == [("B1", 5.0, 6.0)]
+
+
+def test_export_files_and_placement(spark, tmp_path):
+    rows = [(1, "", k, "LINE", "WALL", True, 256, -2, 0.0, y, 4000.0, y) for k, y in enumerate((0.0, 300.0))]
+    entities = schemas.with_columns_of(spark.createDataFrame(rows, "drawing_id long, block_name string, entity_seq long, type string, layer string, visible boolean, color int, lineweight int, x1 double, y1 double, x2 double, y2 double"), schemas.ENTITIES)
+    drawings = spark.createDataFrame([(1, 4)], "drawing_id long, insunits int")
+    out = export.wall_export({"drawings": drawings, "entities": entities, "layers": spark.createDataFrame([], schemas.LAYERS), "blocks": spark.createDataFrame([], schemas.BLOCKS)})
+    export.write_export(out, str(tmp_path / "out"), buckets=4, xml=True)
+    back = spark.read.parquet(str(tmp_path / "out/walls")).first()
+    assert (back.thickness, back.length, back.y1) == (0.3, 4.0, 0.15)
+    assert spark.read.format("xml").option("rowTag", "wall").load(str(tmp_path / "out/walls_xml")).first().thickness == 0.3
+    meta = spark.read.parquet(str(tmp_path / "out/drawing_meta")).first()
+    assert (meta.scene_width_m, meta.scene_height_m, meta.source_units, meta.px_per_metre) == (4.0, 0.3, "millimeters", round(0.01 * 300 * 1000 / 25.4, 6))
+    texts = spark.createDataFrame([(1, 5, "MTEXT", 10.0, 20.0, 2.0, math.pi / 2), (1, 6, "TEXT", 0.0, 0.0, 0.001, 30.0)], "drawing_id long, entity_seq long, type string, x1 double, y1 double, text_height double, text_rot_deg double")
+    texts = texts.withColumns({k: F.lit(v) for k, v in expand.IDENTITY.items()})
+    plan = spark.createDataFrame([(1, 1, 2.0, 0.0, 100.0, 10.0, 1.0, 3.0)], "drawing_id long, sheet_id int, page_scale double, min_x double, max_y double, margin double, offset_x double, offset_y double")
+    a, b = annotations.text_placement(texts, plan).orderBy("entity_seq").collect()
+    assert (a.x, a.y, a.height_mm, round(a.turn_deg, 9)) == (31.0, 173.0, 4.0, 90.0) and (b.height_mm, b.turn_deg) == (0.5, 30.0)
+
+
+def test_linework_kinds(spark):
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    base = {"drawing_id": 1, "block_name": "", "layer": "L", "visible": True, "color": 1, "lineweight": 50}
+    square = [point(0, 0), point(10, 0), point(10, 10), point(0, 10)]
+    own = [
+        {"type": "LINE", "x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 10.0}, {"type": "CIRCLE", "cx": 5.0, "cy": 5.0, "radius": 2.0}, {"type": "ARC", "cx": 5.0, "cy": 5.0, "radius": 2.0, "start_deg": 350.0, "end_deg": 9.0},
+        {"type": "ELLIPSE", "cx": 5.0, "cy": 5.0, "major_x": 2.0, "major_y": 0.0, "minor_ratio": 0.5, "start_rad": 0.0, "end_rad": 0.0}, {"type": "SOLID", "corners": square}, {"type": "POINT", "x1": 1.0, "y1": 2.0},
+        {"type": "LWPOLYLINE", "closed": True, "vertices": [{**point(0, 0), "bulge": 0.0}, {**point(4, 0), "bulge": 1.0}]}, {"type": "SPLINE", "degree": 1, "control_points": square[:2], "knots": [0.0, 0.0, 1.0, 1.0]},
+        {"type": "HATCH", "solid_fill": False, "pattern_scale": 1.0, "paths": [square], "pattern_lines": [{"angle": 0.0, "base_x": 0.0, "base_y": 1.0, "offset_x": 0.0, "offset_y": 4.0, "dashes": []}]},
+    ]
+    names = [c.split()[0] for c in ("drawing_id block_name entity_seq").split()]
+    schema = spark.createDataFrame([], schemas.ENTITIES).schema
+    assert names == schema.names[:3]
+    entities = spark.createDataFrame([tuple({**base, "entity_seq": i, **e}.get(n) for n in schema.names) for i, e in enumerate(own)], schema)
+    tables = {"drawings": spark.createDataFrame([(1, 4)], "drawing_id long, insunits int"), "entities": entities, "layers": spark.createDataFrame([], schemas.LAYERS), "blocks": spark.createDataFrame([], schemas.BLOCKS)}
+    plan = spark.createDataFrame([(1, 1, 2.0, 0.0, 10.0, 10.0, 0.0, 0.0)], "drawing_id long, sheet_id int, page_scale double, min_x double, max_y double, margin double, offset_x double, offset_y double")
+    got = {}
+    for r in export.linework(tables, plan).collect():
+        got.setdefault((r.entity_seq, r.kind), []).append(r)
+    assert {k: len(v) for k, v in got.items()} == {(0, "line"): 1, (1, "arc"): 1, (2, "arc"): 1, (3, "ellipse"): 1, (4, "solid"): 1, (5, "point"): 1, (6, "line"): 1, (6, "arc"): 1, (7, "spline"): 1, (8, "hatch"): 3}
+    line = got[0, "line"][0]
+    assert [tuple(p) for p in line.points] == [(10.0, 30.0), (30.0, 10.0)] and (line.r, line.g, line.b, line.width_mm) == (255, 0, 0, 0.5)
+    assert len(got[1, "arc"][0].points) == 181 and len(got[2, "arc"][0].points) == 11 and len(got[3, "ellipse"][0].points) == 182
+    assert [tuple(p) for p in got[4, "solid"][0].points] == [(10.0, 30.0), (30.0, 30.0), (10.0, 10.0), (30.0, 10.0)] and got[4, "solid"][0].filled
+    assert got[8, "hatch"][0].width_mm == 0.05
