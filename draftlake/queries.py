@@ -206,7 +206,7 @@ def wall_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walls(spark, sf_dir).select("drawing_id", "group_id", "run", "members", "layer", *_line())
 
 
-@query(with_tables(["segments"], f"+ {_CLUSTERS} SELECT drawing_id, CAST(round(thickness*100) AS BIGINT) AS thickness_cm, n_walls, place FROM clusters", recursive=True))
+@query(with_tables(["segments"], f"+ {_CLUSTERS} SELECT drawing_id, CAST(round(thickness*100) AS BIGINT) AS thickness_cm, n_walls, CAST(place AS INT) AS place FROM clusters", recursive=True))
 def thickness_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walls.thickness_clusters(_walls(spark, sf_dir)).select("drawing_id", whole("thickness", 100).alias("thickness_cm"), "n_walls", "place")
 
