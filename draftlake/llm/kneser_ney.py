@@ -4,8 +4,9 @@ Trusted documents are all those labelled quality 1 and not toxic. Their n-grams
 they are read and summed by n-gram; each lower order counts the distinct n-grams that continue to it. Discounts come
 from the counts of counts of each order, and joins of each order with its contexts and with the order below give the
 probabilities. A document's score is its mean negative log-likelihood for each byte (the logarithm of its
-perplexity). A document is rejected above its language's threshold: a quantile of the scores of all trusted documents of
-that language, plus a slack; languages with few trusted documents take the quantile over all of them.
+perplexity). A document is rejected above its threshold: a quantile of the scores of all trusted documents of its language
+and size class (doublings of UTF-8 bytes: scores of long texts spread far less than those of short ones), plus a slack.
+Classes with few trusted documents take the quantile of the language, languages with few the one over all of them.
 
 The model is broadcast while it has at most BROADCAST_ENTRIES entries (checked); beyond that, distinct n-grams of the
 documents are scored by joins with the sharded tables, and documents join those scores.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftlake.llm.common import apart, stored
+from draftlake.llm.common import apart, stored, utf8_size
 
 ORDER = 5
 PAD, END = b"\n", b"\0"
@@ -37,8 +38,8 @@ TAG = 56  # an n-gram's order stands in the bits from here on
 @dataclass(frozen=True)
 class Rule:
     quantile: float = 0.995
-    slack: float = 0.1  # nats for each byte
-    least_trusted: int = 200  # documents of a language
+    slack: float = 0.15  # nats for each byte
+    least_trusted: int = 50  # documents of a size class, or of a language
 
 
 def _keys(data: bytes, order: int = ORDER):
@@ -292,28 +293,42 @@ def _quantiles(scores: DataFrame, keys: list[str], q: float) -> DataFrame:
     return cumulated.where(F.col("upto") >= F.lit(q) * F.col("total")).groupBy(*keys).agg(F.max("total").alias("n"), (F.min("bin") / 1000).alias("at"))
 
 
+def size_class(text: str = "text") -> Column:
+    """The binary digits of a text's size in bytes."""
+    return F.length(F.bin(utf8_size(F.col(text))))
+
+
+def _same(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """rows joined with others on others' key columns; null keys are equal."""
+    keys = [c for c in others.columns if c in ("lang", "size_class")]
+    others = others.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in others.columns])
+    on = [rows[c].eqNullSafe(others[f"_{c}"]) for c in keys]
+    return rows.join(others, on, how).drop(*[f"_{c}" for c in keys])
+
+
 def thresholds(scores: DataFrame, trusted: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(lang, threshold) for every language of the scores (doc_id, lang, log_ppl); null without trusted documents."""
-    known = stored(scores.join(trusted, "doc_id", "left_semi").select("lang", "log_ppl"), "trusted")
+    """(lang, size_class, threshold) for every class of the scores (doc_id, lang, size_class, log_ppl); null without trusted documents."""
+    known = stored(scores.join(trusted, "doc_id", "left_semi").select("lang", "size_class", "log_ppl"), "trusted")
     every = _quantiles(known, [], rule.quantile).first()
-    by_lang = _quantiles(known, ["lang"], rule.quantile).where(F.col("n") >= rule.least_trusted).select(F.col("lang").alias("_lang"), "at")
-    langs = scores.select("lang").distinct()
-    joined = langs.join(by_lang, langs["lang"].eqNullSafe(by_lang["_lang"]), "left")
-    return stored(joined.select("lang", (F.coalesce("at", F.lit(every["at"] if every else None).cast("double")) + rule.slack).alias("threshold")), "thresholds")
+    limits = scores.select("lang", "size_class").distinct()
+    for name, keys in (("by_size", ["lang", "size_class"]), ("by_lang", ["lang"])):
+        limits = _same(limits, _quantiles(known, keys, rule.quantile).where(F.col("n") >= rule.least_trusted).select(*keys, F.col("at").alias(name)), "left")
+    at = F.coalesce("by_size", "by_lang", F.lit(every["at"] if every else None).cast("double"))
+    return stored(limits.select("lang", "size_class", (at + rule.slack).alias("threshold")), "thresholds")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> tuple[tuple[DataFrame, DataFrame], DataFrame, DataFrame]:
-    """(model, scores: doc_id, lang, log_ppl of all docs, thresholds by language)."""
+    """(model, scores: doc_id, lang, size_class, log_ppl of all docs, thresholds by language and size class)."""
     good = trusted_ids(labels)  # grows with the corpus: joined the same way at every size, not broadcast while it is small
     model = tuple(stored(x, "model") for x in train(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")))
-    scores = stored(score(docs.select("doc_id", "lang", "text"), model).drop("text"), "scores")
+    scores = score(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", size_class().alias("size_class"), "log_ppl")
+    scores = stored(scores, "scores")
     return model, scores, thresholds(scores, good, rule)
 
 
 def _judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    limits = limits.withColumnRenamed("lang", "_lang")
     kept = ~F.coalesce(F.col("log_ppl") > F.col("threshold"), F.lit(False))
-    return rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"])).withColumn("kept", kept).drop("_lang")
+    return _same(rows, limits, "inner").withColumn("kept", kept)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -325,5 +340,5 @@ def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """docs without the rejected ones."""
     model, _, limits = fit(docs, labels, rule)
-    clear = apart(docs, ["log_ppl", "threshold", "kept"])
-    return _judged(score(clear, model), limits).where("kept").select(*clear.columns).toDF(*docs.columns)
+    clear = apart(docs, ["log_ppl", "threshold", "kept", "size_class"])
+    return _judged(score(clear, model).withColumn("size_class", size_class()), limits).where("kept").select(*clear.columns).toDF(*docs.columns)

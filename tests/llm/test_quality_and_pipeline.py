@@ -105,6 +105,28 @@ def test_quality_is_told_apart(spark, corpus, none):
     assert kn.classify(none, lab).count() == 0
 
 
+def test_thresholds_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["en", "de", None]) if i % 40 else "few", rng.choice([3, 3, 3, 5, 9]), round(rng.gauss(1.5, 0.2), 6)) for i in range(1000)]
+    trusted = {i for i, *_ in rows if i % 3}
+    rule = kn.Rule(quantile=0.9, slack=0.25, least_trusted=60)
+
+    def at(group):
+        bins = sorted(math.ceil(x * 1000) for x in group)
+        return bins[math.ceil(rule.quantile * len(bins)) - 1] / 1000 if len(bins) >= rule.least_trusted else None
+
+    def want(lang, size):
+        known = [r for r in rows if r[0] in trusted]
+        groups = [x for _, a, b, x in known if (a, b) == (lang, size)], [x for _, a, _, x in known if a == lang], [x for *_, x in known]
+        return next(v for v in map(at, groups) if v is not None) + rule.slack
+
+    scores = spark.createDataFrame(rows, "doc_id long, lang string, size_class int, log_ppl double")
+    got = kn.thresholds(scores, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), rule).collect()
+    assert len(got) == len({(a, b) for _, a, b, _ in rows})
+    assert all(r.threshold == pytest.approx(want(r.lang, r.size_class)) for r in got)
+    assert [r.threshold for r in kn.thresholds(scores.limit(1), spark.createDataFrame([], "doc_id long")).collect()] == [None]
+
+
 def test_pipeline(spark, corpus):
     folder, rows, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
