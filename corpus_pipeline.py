@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: shingles of five words, fingerprints that differ in six bits at most (nine tenths of them agree)."""
-    return simhash.deduplicate(docs, words=5, radius=6, blocks=8)
+    """One document of each component of near copies: sets of shingles of five words, exact Jaccard similarity of 0.8 at least, candidates by SimHash."""
+    return simhash.keep_first(docs, simhash.near_copies(docs, words=5, percent=80))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from draftlake.llm import pq, simhash, substrings
 from draftlake.llm.queries import op4_suffix_automaton, op7_simhash_bktree, op9_product_quantisation
 
@@ -121,6 +122,36 @@ def test_links_of_dense_fingerprints(spark, sets):
     assert groups(got) == groups(sets)
 
 
+def test_near_copies_equal_brute_force(spark, sets):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [[rng.choice(words) for _ in range(rng.choice([30, 80, 300]))] for _ in range(60)]
+    for _ in range(300):  # similarities of 0.6 to 1, many about 0.8
+        t = list(rng.choice(texts[:60]))
+        for _ in range(rng.randrange(1, max(2, len(t) // 35 + 1))):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(t[: rng.choice([len(t), len(t), len(t) * 9 // 10])])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, " "), (902, "a b"), (903, "A b"), (None, "a b"), (None, "x y z")]
+    shingles = [(lambda w: {tuple(w[j : j + 5]) for j in range(max(len(w) - 5, 0) + 1)} if w else set())((t or "").lower().split()) for _, t in rows]
+    near = 0
+    for i, x in enumerate(shingles):
+        for j, y in enumerate(shingles[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                near += x != y and (brute_simhash(rows[i][1], 5) ^ brute_simhash(rows[j][1], 5)).bit_count() > 6
+                sets.join(i, j)
+    assert near >= 50
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[sets.find(i)] = min(least.get(sets.find(i), d), d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect()]
+    assert sorted(map(str, got)) == sorted(str((d, least.get(sets.find(i)))) for i, (d, _) in enumerate(rows))
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [*least.values(), None, None]))
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
 def test_product_quantisation(spark, tmp_path, sets):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(300, 16))
