@@ -526,7 +526,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotations.text_runs(_texts(spark, sf_dir))
+    return annotations.text_runs(table(spark, sf_dir, "whole_annotations"))
 
 
 @query("SELECT doc_id AS entity_seq, concat(replace(substr(replace(text, chr(10), ' '), 1, 60), '%%%', '%'), ' Ø', n_chars, ' 1/2') AS plain_text FROM documents")

@@ -35,6 +35,9 @@ FROM part WHERE p_partkey < 20 AND p_partkey % 5 < 4""",
     "hatches": """SELECT c_custkey AS hatch_id, CAST(1000 + (c_custkey % 7)*130 AS DOUBLE) AS a, CAST((c_custkey % 4)*45 AS DOUBLE) AS angle, 37e0 AS offset_x,
   CAST(100 + c_nationkey*3 AS DOUBLE) AS offset_y, CAST(c_custkey % 3 AS INT) AS dash_kind FROM customer""",
     "annotations": """SELECT doc_id AS entity_seq, concat('{', chr(92), 'fArial|b1|i0|c238|p0;', substr(replace(text, chr(10), ' '),1,60), '}',
+  chr(92), 'P', chr(92), 'H0.5x;%%c', n_chars, ' ', chr(92), 'S1/2;') AS text FROM documents""",
+    # the same annotations with their whole texts
+    "whole_annotations": """SELECT doc_id AS entity_seq, concat('{', chr(92), 'fArial|b1|i0|c238|p0;', replace(text, chr(10), ' '), '}',
   chr(92), 'P', chr(92), 'H0.5x;%%c', n_chars, ' ', chr(92), 'S1/2;') AS text FROM documents""",
     # arcs, bulged polylines and points, as entities of the drawings
     "arcs": """SELECT l_suppkey AS drawing_id, l_orderkey AS entity_seq, l_linenumber AS part_no, CAST((l_partkey % 50)*100 AS DOUBLE) AS cx, CAST((l_partkey % 40)*90 AS DOUBLE) AS cy,
