@@ -43,7 +43,8 @@ def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archive(spark, warc.write_archive(_table(spark, sf_dir, "pages")))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    damaged = F.raise_error(F.concat(F.lit("damaged or missing payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))).cast("string")
+    return read.select("page_id", "payload_bytes", F.when(F.col("verified"), F.col("payload_digest")).otherwise(damaged).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

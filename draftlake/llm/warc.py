@@ -3,8 +3,8 @@
 `write_archive` makes one WARC 1.1 record for each page. Among records with equal payloads of at least
 REVISIT_BYTES the one with the smallest page_id is a response and the others are revisits of it; smaller payloads are
 always responses. The exact header bytes of every record are kept; its payload is kept once, under its SHA-256.
-`read_archive` takes type, digest and reference out of those headers and checks every stored payload against its
-digest; `records` joins headers and payloads to the original bytes.
+`read_archive` takes type and reference out of those headers, computes every stored payload's digest anew and checks
+it against the header's; `records` joins headers and payloads to the original bytes.
 
 Defined cases: a null html is an empty payload; a null url leaves out the target header; rows of one page_id make one
 record each, and all rows of the smallest page_id are responses; a null page_id counts as larger than any other and
@@ -61,19 +61,19 @@ def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, payload_digest, payload_bytes, verified, refers_to: the types and references as the headers say, the sizes as the stored payloads have them."""
+    """page_id, record_type, payload_digest, payload_bytes, verified, refers_to: the types and references as the headers say, sizes and digests as the stored payloads have them; `verified` where the header says the same digest."""
     headers, payloads = _tables(spark, path)
     text = F.decode("header", "UTF-8")
     field = lambda name, value: F.nullif(F.regexp_extract(text, rf"\r\n{name}: {value}\r\n", 1), F.lit(""))
     rows = headers.select(
         "page_id",
         "digest",
-        field("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("payload_digest"),
+        field("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("_said"),
         F.regexp_extract(text, r"^WARC/1\.1\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"),
         field("WARC-Refers-To", r"<urn:page:(-?\d+)>").cast("long").alias("refers_to"),
     )
-    kept = payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), (F.sha2("payload", 256) == F.col("digest")).alias("verified"))
-    return rows.join(kept, "digest", "left").select("page_id", "record_type", "payload_digest", "payload_bytes", F.coalesce("verified", F.lit(False)).alias("verified"), "refers_to")
+    kept = payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    return rows.join(kept, "digest", "left").select("page_id", "record_type", "payload_digest", "payload_bytes", F.coalesce(F.col("payload_digest") == F.col("_said"), F.lit(False)).alias("verified"), "refers_to")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:

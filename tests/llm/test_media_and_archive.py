@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 
 from draftlake.llm import mpegts, warc
 from draftlake.llm.queries import ORACLE_SQL, op3_transport_stream, op5_warc_archive
@@ -84,3 +85,16 @@ def test_archive(spark, tmp_path):
             assert hashlib.sha256(body).hexdigest() == fields["WARC-Payload-Digest"].removeprefix("sha256:")
     empty = warc.write_archive(pages.limit(0))
     assert warc.read_archive(spark, empty).count() == 0
+
+
+def test_damaged_payload_is_found(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "sound " * 40), (2, "v", "spoilt " * 40)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    path = warc.write_archive(pages, f"{tmp_path}/archive")
+    spoilt = [(r.digest, bytes(r.payload).replace(b"spoilt", b"spoils")) for r in spark.read.parquet(f"{path}/payloads").collect()]
+    spark.createDataFrame(spoilt, "digest string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    got = {r.page_id: (r.verified, r.payload_digest) for r in warc.read_archive(spark, path).collect()}
+    assert got == {1: (True, hashlib.sha256(b"sound " * 40).hexdigest()), 2: (False, hashlib.sha256(b"spoils " * 40).hexdigest())}
+    monkeypatch.setattr(warc, "write_archive", lambda pages: path)
+    with pytest.raises(Exception, match="damaged or missing payload of page 2"):
+        op5_warc_archive(spark, str(tmp_path)).collect()
