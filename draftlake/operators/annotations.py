@@ -178,12 +178,28 @@ def text_runs(texts: DataFrame) -> DataFrame:
     return texts.select(*names, "text").mapInArrow(run, T.StructType([*[texts.schema[c] for c in names], *RUN]))
 
 
-def plain_texts(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and plain_text: the runs in order, a new line as one space unless nothing precedes it."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("run_no", F.when(F.col("new_line"), " ").otherwise(F.col("text")).alias("said")))), lambda r: r["said"])
-    joined = runs.groupBy(*keys).agg(F.array_join(parts, "").alias("_t"), F.min(F.when(~F.col("new_line"), F.col("run_no"))).alias("_first"))
-    # new lines that come before any text are dropped: each is one space
-    return joined.select(*keys, F.when(F.col("_first").isNull(), "").otherwise(F.expr("substr(_t, _first + 1)")).alias("plain_text"))
+def plain_text(text: str | None) -> str:
+    """All runs in order, a new line as one space unless nothing precedes it."""
+    said, any_text = [], False
+    for part, new_line, _ in parse_runs(text or ""):
+        any_text = any_text or not new_line
+        if any_text:
+            said.append(" " if new_line else part)
+    return "".join(said)
+
+
+def plain_texts(texts: DataFrame) -> DataFrame:
+    """texts with their `text` replaced by plain_text. Every row stays: one without runs (null, empty, nothing but codes) has an empty text."""
+    names = [c for c in texts.columns if c != "text"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            said = pa.array([plain_text(t) for t in batch.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, said], [*names, "plain_text"])
+
+    return texts.mapInArrow(run, T.StructType([*[texts.schema[c] for c in names], T.StructField("plain_text", T.StringType())]))
 
 
 def text_placement(texts: DataFrame, plans: DataFrame) -> DataFrame:

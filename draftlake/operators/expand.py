@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions.geometry import place
+from draftlake.storage import cut_lineage
 
 MAX_DEPTH = 10
 IDENTITY = {"base_x": 0.0, "base_y": 0.0, "at_x": 0.0, "at_y": 0.0, "scale_x": 1.0, "scale_y": 1.0, "turn": 0.0}
@@ -15,21 +14,13 @@ IDENTITY = {"base_x": 0.0, "base_y": 0.0, "at_x": 0.0, "at_y": 0.0, "scale_x": 1
 TOP = ""
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder (spark.checkpoint.dir), or in a temporary one where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
-
-
 def latest_blocks(blocks: DataFrame) -> DataFrame:
     """One row for each (drawing_id, name): of several blocks of one name the last counts."""
     return blocks.groupBy("drawing_id", "name").agg(F.max_by(F.struct("base_x", "base_y"), "block_seq").alias("b")).select("drawing_id", "name", "b.*")
 
 
 def instances(drawings: DataFrame, inserts: DataFrame, blocks: DataFrame, layers: list[str] | None = None, dimensions: str = "identity") -> DataFrame:
-    """Every occurrence of a block: drawing_id, block_name, path, depth, base_x, base_y, at_x, at_y, scale_x, scale_y, turn, bypass.
+    """Every occurrence of a block: drawing_id, block_name, path, draw_order (the same as numbers, which sort as things are drawn), depth, base_x, base_y, at_x, at_y, scale_x, scale_y, turn, bypass.
 
     drawings: drawing_id. inserts: drawing_id, block_name (TOP or the block that holds it), entity_seq, type (INSERT or
     DIMENSION), layer, visible, ref_block, ins_x, ins_y, scale_x, scale_y, rot_deg. blocks: drawing_id, block_seq, name, base_x, base_y.
@@ -44,8 +35,8 @@ def instances(drawings: DataFrame, inserts: DataFrame, blocks: DataFrame, layers
         usable = usable.where("type = 'INSERT'")
     known = latest_blocks(blocks).select("drawing_id", F.col("name").alias("ref_block"), F.col("base_x").alias("_bx"), F.col("base_y").alias("_by"))
     usable = cut_lineage(usable.join(known, ["drawing_id", "ref_block"]).withColumnsRenamed({"scale_x": "_sx", "scale_y": "_sy"}))
-    columns = ["drawing_id", "block_name", "path", "depth", *IDENTITY, "bypass"]
-    level = drawings.select("drawing_id", F.lit(TOP).alias("block_name"), F.lit("").alias("path"), F.lit(0).alias("depth"), *[F.lit(v).alias(k) for k, v in IDENTITY.items()], F.lit(False).alias("bypass"))
+    columns = ["drawing_id", "block_name", "path", "draw_order", "depth", *IDENTITY, "bypass"]
+    level = drawings.select("drawing_id", F.lit(TOP).alias("block_name"), F.lit("").alias("path"), F.array().cast("array<bigint>").alias("draw_order"), F.lit(0).alias("depth"), *[F.lit(v).alias(k) for k, v in IDENTITY.items()], F.lit(False).alias("bypass"))
     found = level
     for _ in range(MAX_DEPTH):
         rows = level.join(usable, ["drawing_id", "block_name"])
@@ -59,6 +50,7 @@ def instances(drawings: DataFrame, inserts: DataFrame, blocks: DataFrame, layers
                 "drawing_id",
                 F.col("ref_block").alias("block_name"),
                 F.concat("path", F.lit("/"), F.col("entity_seq").cast("string")).alias("path"),
+                F.concat("draw_order", F.array(F.col("entity_seq").cast("long"))).alias("draw_order"),
                 (F.col("depth") + 1).alias("depth"),
                 *[F.when(dim, IDENTITY[k]).otherwise(v).alias(k) for k, v in at.items()],
                 (F.col("bypass") | dim).alias("bypass"),

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from draftlake.functions.geometry import place
 from draftlake.functions.layers import ALWAYS_WALLS, NEVER_WALLS, may_hold_walls
 from draftlake.functions.style import palette_colour, resolve_style
-from draftlake.functions.units import UNITS, with_units
+from draftlake.functions.units import UNITS, resolve_units, with_units
 from draftlake.operators import annotations, curves, expand, extents, hatch, inventory, segments, sheets, walls
 from draftlake.plans import export
+from draftlake.plans.options import WallOptions
 from draftlake.sources import dxf, schemas
 from draftlake.sources.derived import table, with_tables
+from draftlake.storage import stored
 
 
 def whole(value: Column | str, scale: float = 1e6) -> Column:
@@ -50,6 +52,37 @@ def unit_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_units(table(spark, sf_dir, "drawings")).select("drawing_id", "insunits", "mm_per_unit", "unit_name")
 
 
+_OVERRIDES = "SELECT drawing_id, insunits, CASE WHEN drawing_id % 5 = 0 THEN 0.5e0 WHEN drawing_id % 5 = 1 THEN -1e0 END AS unit_scale, CASE drawing_id % 7 WHEN 0 THEN ' Feet' WHEN 1 THEN 'cm' WHEN 2 THEN 'parsec' WHEN 3 THEN '' END AS source_unit FROM drawings"
+_RESOLVED = f"""o AS ({_OVERRIDES}), u AS (SELECT *, {_FACTOR} AS mm, {_UNIT} AS name, coalesce(unit_scale > 0, false) AS scaled, coalesce(source_unit <> '', false) AS named,
+  CASE lower(trim(source_unit)) WHEN 'feet' THEN 0.3048 WHEN 'cm' THEN 0.01 END AS alias FROM o)"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    drawings = table(spark, sf_dir, "drawings").withColumns({
+        "unit_scale": F.expr("CASE WHEN drawing_id % 5 = 0 THEN 0.5e0 WHEN drawing_id % 5 = 1 THEN -1e0 END"),
+        "source_unit": F.expr("CASE drawing_id % 7 WHEN 0 THEN ' Feet' WHEN 1 THEN 'cm' WHEN 2 THEN 'parsec' WHEN 3 THEN '' END"),
+    })
+    return resolve_units(drawings)
+
+
+@query(
+    with_tables(
+        ["drawings"],
+        f"""+ {_RESOLVED} SELECT drawing_id, {sql_whole('CASE WHEN scaled THEN unit_scale WHEN named THEN alias ELSE mm/1000 END')} AS um_per_unit,
+CASE WHEN scaled THEN concat(name, ' (scale override 0.5)') WHEN named THEN concat(source_unit, ' (override)') ELSE name END AS unit_label,
+scaled OR named AS overridden, NOT (scaled OR named) AND name = 'unitless' AS warned FROM u WHERE scaled OR NOT named OR alias IS NOT NULL""",
+    )
+)
+def unit_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _resolved(spark, sf_dir)[0]
+    return rows.select("drawing_id", whole("metres_per_unit").alias("um_per_unit"), "unit_label", "overridden", F.col("unit_warning").isNotNull().alias("warned"))
+
+
+@query(with_tables(["drawings"], f"+ {_RESOLVED} SELECT drawing_id, concat('unknown source unit ', source_unit) AS reason FROM u WHERE named AND NOT scaled AND alias IS NULL"))
+def unit_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)[1]
+
+
 _STYLED = "SELECT drawing_id, seg_id, layer, CAST(CASE seg_id % 5 WHEN 0 THEN 256 WHEN 1 THEN 0 ELSE seg_id % 300 END AS INT) AS color, CAST(CASE seg_id % 4 WHEN 0 THEN -2 WHEN 1 THEN -1 WHEN 2 THEN -3 ELSE seg_id % 60 END AS INT) AS lineweight FROM segments"
 _PALETTE = "palette(aci, r, g, b) AS (VALUES " + ",".join(f"({i},{','.join(map(str, palette_colour(i)))})" for i in range(256)) + ")"
 _LAYER_MM = "CASE WHEN l.lineweight <= 0 THEN 0.25 ELSE l.lineweight / 100.0 END"
@@ -86,8 +119,8 @@ def layer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_tables(
         ["drawings", "segments", "blocks"],
         f"""+ e AS (SELECT drawing_id, {sql_whole('min(least(x1,x2))', '1e3')} AS min_x, {sql_whole('min(least(y1,y2))', '1e3')} AS min_y, {sql_whole('max(greatest(x1,x2))', '1e3')} AS max_x, {sql_whole('max(greatest(y1,y2))', '1e3')} AS max_y, count(*) AS entity_count FROM segments GROUP BY 1),
-n AS (SELECT string_agg(name, ',' ORDER BY CAST(substr(name, 2) AS INT)) AS block_names FROM blocks)
-SELECT drawing_id, {_UNIT} AS unit_name, {_FACTOR} AS mm_per_unit, min_x, min_y, max_x, max_y, coalesce(entity_count, 0) AS entity_count, block_names FROM drawings LEFT JOIN e USING (drawing_id), n""",
+n AS (SELECT drawing_id, string_agg(name, ',' ORDER BY CAST(substr(name, 2) AS INT)) AS block_names FROM blocks GROUP BY 1)
+SELECT drawing_id, {_UNIT} AS unit_name, {_FACTOR} AS mm_per_unit, min_x, min_y, max_x, max_y, coalesce(entity_count, 0) AS entity_count, coalesce(block_names, '') AS block_names FROM drawings LEFT JOIN e USING (drawing_id) LEFT JOIN n USING (drawing_id)""",
     )
 )
 def drawing_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +144,7 @@ def wall_layer_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FACES = f"""faces0 AS (SELECT *, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS length, degrees(atan2(y2-y1, x2-x1)) AS raw FROM segments WHERE CASE WHEN {_HAS(ALWAYS_WALLS)} THEN true ELSE NOT {_HAS(NEVER_WALLS)} END),
 faces AS (SELECT drawing_id, seg_id, layer, x1, y1, x2, y2, length, (x2-x1)/length AS ux, (y2-y1)/length AS uy, CASE WHEN raw < 0 THEN CASE WHEN raw + 180 >= 180 THEN 0 ELSE raw + 180 END WHEN raw >= 180 THEN raw - 180 ELSE raw END AS angle FROM faces0 WHERE length >= 0.30)"""
-_PAIRS = f"""{_FACES}, met AS (SELECT a.drawing_id, a.seg_id AS a, b.seg_id AS b, a.length AS a_length, b.length AS b_length, a.layer AS a_layer, b.layer AS b_layer, a.x1, a.y1, a.ux, a.uy,
+_PAIRS = f"""{_FACES}, met AS MATERIALIZED (SELECT a.drawing_id, a.seg_id AS a, b.seg_id AS b, a.length AS a_length, b.length AS b_length, a.layer AS a_layer, b.layer AS b_layer, a.x1, a.y1, a.ux, a.uy,
   CAST(floor(b.angle) AS INT) - CAST(floor(a.angle) AS INT) AS turn, ((b.x1+b.x2)/2 - a.x1)*a.uy - ((b.y1+b.y2)/2 - a.y1)*a.ux AS distance,
   greatest(0, least((b.x1-a.x1)*a.ux+(b.y1-a.y1)*a.uy, (b.x2-a.x1)*a.ux+(b.y2-a.y1)*a.uy)) AS t0, least(a.length, greatest((b.x1-a.x1)*a.ux+(b.y1-a.y1)*a.uy, (b.x2-a.x1)*a.ux+(b.y2-a.y1)*a.uy)) AS t1
   FROM faces a JOIN faces b ON a.drawing_id = b.drawing_id AND a.seg_id <> b.seg_id AND least(abs(a.angle-b.angle), 180-abs(a.angle-b.angle)) <= 5),
@@ -163,16 +196,28 @@ def _pair_columns(pairs: DataFrame) -> DataFrame:
 
 @query(with_tables(["segments"], f"+ {_PAIRS} {_PAIR_COLUMNS}"))
 def face_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pair_columns(walls.face_pairs(_faces(spark, sf_dir), by="angle"))
+    return _pair_columns(walls.face_pairs(_faces(spark, sf_dir)))
 
 
-@query(with_tables(["segments"], f"+ {_PAIRS} {_PAIR_COLUMNS}"))
+_THICK = WallOptions(min_thickness=0.1, max_thickness=0.95, angle_tolerance=12.0, min_wall_length=1.0)
+_THICK_PAIRS = _PAIRS.replace("<= 5)", "<= 12)").replace("BETWEEN 0.03 AND 0.60", "BETWEEN 0.1 AND 0.95").replace("length >= 0.30", "length >= 1.0")
+
+
+@query(with_tables(["segments"], f"+ {_THICK_PAIRS} {_PAIR_COLUMNS}"))
 def face_pairs_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pair_columns(walls.face_pairs(_faces(spark, sf_dir), by="grid"))
+    """Pairs under other options than the default ones: thick walls of long faces, with a wide tolerance."""
+    return _pair_columns(walls.face_pairs(walls.faces(table(spark, sf_dir, "segments"), _THICK), _THICK))
+
+
+@query(with_tables(["segments"], f"+ {_FACES} SELECT drawing_id, seg_id, layer, {sql_whole('length')} AS length_um FROM faces WHERE layer IN ('A-WALL', 'EXTRA')"))
+def faces_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces where the options name the layers."""
+    rows = walls.faces(table(spark, sf_dir, "segments"), WallOptions(layers=("A-WALL", "EXTRA", "A-DOOR")))
+    return rows.select("drawing_id", "seg_id", "layer", whole("length").alias("length_um"))
 
 
 def _pair_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand.cut_lineage(walls.pair_walls(walls.greedy_pairs(expand.cut_lineage(walls.face_pairs(_faces(spark, sf_dir))))))
+    return stored(walls.pair_walls(walls.greedy_pairs(stored(walls.face_pairs(_faces(spark, sf_dir)), "pairs"))), "walls")
 
 
 _LINE = ", ".join(f"{sql_whole(k)} AS {k}_um" for k in ("x1", "y1", "x2", "y2", "thickness", "length"))
@@ -221,7 +266,7 @@ SELECT drawing_id, {_UNIT} AS unit_name, coalesce(segment_count, 0) AS segment_c
     )
 )
 def drawing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = expand.cut_lineage(_walls(spark, sf_dir))
+    found = stored(_walls(spark, sf_dir), "walls")
     rows = walls.summary(table(spark, sf_dir, "segments"), found, with_units(table(spark, sf_dir, "drawings")))
     clusters = F.array_join(F.transform("clusters", lambda c: F.concat(F.round(c["thickness"] * 100).cast("long").cast("string"), F.lit("x"), c["n_walls"].cast("string"))), ",")
     return rows.select("drawing_id", "unit_name", "segment_count", "wall_count", clusters.alias("clusters"))
@@ -231,16 +276,13 @@ def drawing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocks, which all drawings share, for each drawing (its few definitions go to every drawing)."""
-    return table(spark, sf_dir, "drawings").select("drawing_id").crossJoin(table(spark, sf_dir, "blocks")).withColumn("block_seq", F.expr("CAST(substr(name, 2) AS INT)"))
+    return table(spark, sf_dir, "blocks")
 
 
 def _inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawings = table(spark, sf_dir, "drawings").select("drawing_id")
     top = table(spark, sf_dir, "top_inserts").withColumn("block_name", F.lit(expand.TOP))
-    nested = drawings.crossJoin(table(spark, sf_dir, "block_inserts")).withColumn("entity_seq", F.lit(0))
-    both = top.unionByName(nested.withColumn("entity_seq", F.col("entity_seq").cast(top.schema["entity_seq"].dataType)))
-    return both.withColumns({"type": F.lit("INSERT"), "layer": F.lit("0"), "visible": F.lit(True)})
+    nested = table(spark, sf_dir, "block_inserts").withColumn("entity_seq", F.lit(0).cast(top.schema["entity_seq"].dataType))
+    return top.unionByName(nested).withColumns({"type": F.lit("INSERT"), "layer": F.lit("0"), "visible": F.lit(True)})
 
 
 def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,17 +290,16 @@ def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "drawings").select("drawing_id").crossJoin(table(spark, sf_dir, "block_lines"))
-    return lines.withColumns({"type": F.lit("LINE"), "layer": F.expr("CASE entity_seq % 3 WHEN 0 THEN 'A-WALL' WHEN 1 THEN 'EXTRA' ELSE 'A-DOOR' END"), "visible": F.expr("entity_seq % 17 <> 0")})
+    return table(spark, sf_dir, "block_lines").withColumns({"type": F.lit("LINE"), "layer": F.expr("CASE entity_seq % 3 WHEN 0 THEN 'A-WALL' WHEN 1 THEN 'EXTRA' ELSE 'A-DOOR' END"), "visible": F.expr("entity_seq % 17 <> 0")})
 
 
 _TURN = lambda x, y: (f"CASE WHEN abs(turn) > 0.001 THEN ({x})*cos(radians(turn)) - ({y})*sin(radians(turn)) ELSE {x} END", f"CASE WHEN abs(turn) > 0.001 THEN ({x})*sin(radians(turn)) + ({y})*cos(radians(turn)) ELSE {y} END")
 _PLACE = lambda x, y: tuple(f"({v} + at_{k})" for k, v in zip("xy", _TURN(f"({x} - base_x)*scale_x", f"({y} - base_y)*scale_y"), strict=True))
 _IX, _IY = _PLACE("c.ins_x", "c.ins_y")
 _INSTANCES = f"""inst AS (
-  SELECT t.drawing_id, t.ref_block AS block_name, concat('/', t.entity_seq) AS path, 1 AS depth, b.base_x, b.base_y, t.ins_x AS at_x, t.ins_y AS at_y, t.scale_x, t.scale_y, t.rot_deg AS turn FROM top_inserts t JOIN blocks b ON b.name = t.ref_block JOIN drawings d ON d.drawing_id = t.drawing_id
+  SELECT t.drawing_id, t.ref_block AS block_name, concat('/', t.entity_seq) AS path, 1 AS depth, b.base_x, b.base_y, t.ins_x AS at_x, t.ins_y AS at_y, t.scale_x, t.scale_y, t.rot_deg AS turn FROM top_inserts t JOIN blocks b ON b.name = t.ref_block AND b.drawing_id = t.drawing_id JOIN drawings d ON d.drawing_id = t.drawing_id
   UNION ALL SELECT i.drawing_id, i.ref_block, concat(i.path, '/0'), i.depth + 1, b.base_x, b.base_y, i.nx, i.ny, i.sx, i.sy, i.nt
-  FROM (SELECT i.*, c.ref_block, {_IX} AS nx, {_IY} AS ny, i.scale_x*c.scale_x AS sx, i.scale_y*c.scale_y AS sy, i.turn + c.rot_deg AS nt FROM (SELECT drawing_id, block_name, path, depth, base_x, base_y, at_x, at_y, scale_x, scale_y, turn FROM inst) i JOIN (SELECT block_name AS in_block, ref_block, ins_x, ins_y, scale_x, scale_y, rot_deg FROM block_inserts) c ON c.in_block = i.block_name WHERE i.depth < 10) i JOIN blocks b ON b.name = i.ref_block)""".replace("*scale_x", "*i.scale_x").replace("*scale_y", "*i.scale_y").replace("i.i.", "i.").replace("c.i.scale", "c.scale")
+  FROM (SELECT i.*, c.ref_block, {_IX} AS nx, {_IY} AS ny, i.scale_x*c.scale_x AS sx, i.scale_y*c.scale_y AS sy, i.turn + c.rot_deg AS nt FROM (SELECT drawing_id, block_name, path, depth, base_x, base_y, at_x, at_y, scale_x, scale_y, turn FROM inst) i JOIN (SELECT drawing_id AS of_drawing, block_name AS in_block, ref_block, ins_x, ins_y, scale_x, scale_y, rot_deg FROM block_inserts) c ON c.of_drawing = i.drawing_id AND c.in_block = i.block_name WHERE i.depth < 10) i JOIN blocks b ON b.name = i.ref_block AND b.drawing_id = i.drawing_id)""".replace("*scale_x", "*i.scale_x").replace("*scale_y", "*i.scale_y").replace("i.i.", "i.").replace("c.i.scale", "c.scale")
 _BLOCK_TABLES = ["drawings", "blocks", "block_inserts", "top_inserts"]
 
 
@@ -269,7 +310,7 @@ def block_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _L1, _L2 = _PLACE("l.x1", "l.y1"), _PLACE("l.x2", "l.y2")
-_PLACED = f"""{_INSTANCES}, placed AS (SELECT drawing_id, path, l.entity_seq, CASE l.entity_seq % 3 WHEN 0 THEN 'A-WALL' WHEN 1 THEN 'EXTRA' ELSE 'A-DOOR' END AS layer, {_L1[0]} AS wx1, {_L1[1]} AS wy1, {_L2[0]} AS wx2, {_L2[1]} AS wy2 FROM inst JOIN block_lines l USING (block_name) WHERE l.entity_seq % 17 <> 0)"""
+_PLACED = f"""{_INSTANCES}, placed AS (SELECT drawing_id, path, l.entity_seq, CASE l.entity_seq % 3 WHEN 0 THEN 'A-WALL' WHEN 1 THEN 'EXTRA' ELSE 'A-DOOR' END AS layer, {_L1[0]} AS wx1, {_L1[1]} AS wy1, {_L2[0]} AS wx2, {_L2[1]} AS wy2 FROM inst JOIN block_lines l USING (drawing_id, block_name) WHERE l.entity_seq % 17 <> 0)"""
 _BOXES = f"""{_PLACED}, boxes AS (SELECT drawing_id, min(least(wx1, wx2)) AS min_x, min(least(wy1, wy2)) AS min_y, max(greatest(wx1, wx2)) AS max_x, max(greatest(wy1, wy2)) AS max_y FROM placed GROUP BY 1)"""
 _BOX_COLUMNS = ", ".join(f"{sql_whole(k, '1e3')} AS {k}_th" for k in extents.BOX)
 
@@ -294,7 +335,7 @@ SELECT drawing_id, path, entity_seq, layer, 'LINE' AS source, {", ".join(f"{sql_
     )
 )
 def scene_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = expand.cut_lineage(_instances(spark, sf_dir))
+    where = stored(_instances(spark, sf_dir), "instances")
     lines = expand.placed(_block_lines(spark, sf_dir), where)
     entities = schemas.with_columns_of(lines, schemas.ENTITIES).select("drawing_id", "block_name", "entity_seq", "type", "layer", "visible", "x1", "y1", "x2", "y2", "closed", "vertices")
     raw = segments.raw_segments(expand.placed(entities.dropDuplicates(["drawing_id", "block_name", "entity_seq"]), where))
@@ -304,6 +345,55 @@ def scene_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene.select("drawing_id", "path", "entity_seq", "layer", "source", *[whole(k, 1e2).alias(f"{k}_cm") for k in ("x1", "y1", "x2", "y2", "length")])
 
 
+_LAYERED = _PLACED.replace("WHERE l.entity_seq % 17 <> 0", "WHERE l.entity_seq % 17 <> 0 AND l.entity_seq % 3 = 0")
+_WORLD = ", ".join(f"{sql_whole(k, '1e3')} AS {k[1:]}_th" for k in ("wx1", "wy1", "wx2", "wy2"))
+
+
+def _world_lines(lines: DataFrame) -> DataFrame:
+    return segments.raw_segments(lines).select("drawing_id", "path", "entity_seq", *[whole(k, 1e3).alias(f"{k}_th") for k in ("x1", "y1", "x2", "y2")])
+
+
+@query(with_tables([*_BLOCK_TABLES, "block_lines"], f"+ {_LAYERED} SELECT drawing_id, path, entity_seq, {_WORLD} FROM placed", recursive=True))
+def lines_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed lines where only some layers are asked for; an insert on another layer is not followed."""
+    layers = ["0", "A-WALL"]
+    where = stored(expand.instances(table(spark, sf_dir, "drawings"), _inserts(spark, sf_dir), _blocks(spark, sf_dir), layers), "instances")
+    rows = expand.placed(_block_lines(spark, sf_dir), where, layers)
+    return _world_lines(rows.withColumns({"closed": F.lit(None).cast("boolean"), "vertices": F.lit(None).cast(f"array<{schemas.VERTEX}>")}))
+
+
+_DIMENSIONS = _INSTANCES.replace("b.base_x, b.base_y, t.ins_x AS at_x, t.ins_y AS at_y, t.scale_x, t.scale_y, t.rot_deg AS turn", ", ".join(f"CASE WHEN t.entity_seq % 6 = 0 THEN {v} ELSE {k} END AS {n}" for k, v, n in (("b.base_x", "0e0", "base_x"), ("b.base_y", "0e0", "base_y"), ("t.ins_x", "0e0", "at_x"), ("t.ins_y", "0e0", "at_y"), ("t.scale_x", "1e0", "scale_x"), ("t.scale_y", "1e0", "scale_y"), ("t.rot_deg", "0e0", "turn"))) + ", t.entity_seq % 6 = 0 AS bypass")
+_DIMENSIONS = _DIMENSIONS.replace("i.sx, i.sy, i.nt", "i.sx, i.sy, i.nt, i.bypass").replace("at_x, at_y, scale_x, scale_y, turn FROM inst) i", "at_x, at_y, scale_x, scale_y, turn, bypass FROM inst) i")
+
+
+@query(with_tables(_BLOCK_TABLES, f"+ {_DIMENSIONS} SELECT drawing_id, block_name, path, depth, {sql_whole('at_x', '1e3')} AS at_x_th, {sql_whole('at_y', '1e3')} AS at_y_th, scale_x, turn, bypass FROM inst", recursive=True))
+def dimension_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block expansion where every sixth top-level insert is a dimension."""
+    inserts = _inserts(spark, sf_dir).withColumn("type", F.expr(f"CASE WHEN block_name = '{expand.TOP}' AND entity_seq % 6 = 0 THEN 'DIMENSION' ELSE 'INSERT' END"))
+    rows = expand.instances(table(spark, sf_dir, "drawings"), inserts, _blocks(spark, sf_dir)).where("depth > 0")
+    return rows.select("drawing_id", "block_name", "path", "depth", whole("at_x", 1e3).alias("at_x_th"), whole("at_y", 1e3).alias("at_y_th"), "scale_x", "turn", "bypass")
+
+
+_LINE_BOXES = "SELECT drawing_id, min(least(x1,x2)) AS min_x, min(least(y1,y2)) AS min_y, max(greatest(x1,x2)) AS max_x, max(greatest(y1,y2)) AS max_y FROM segments GROUP BY 1"
+_CROP = "CASE drawing_id % 4 WHEN 0 THEN concat(drawing_id, ', -1.5,', drawing_id + 3, ',7') WHEN 1 THEN '1,2,3' WHEN 2 THEN '1,x,3,4' END"
+
+
+@query(with_tables(["segments"], f"+ b AS ({_LINE_BOXES}) SELECT drawing_id, {', '.join(f'{sql_whole(f"CASE WHEN drawing_id % 4 = 0 THEN {v} ELSE {k} END")} AS {k}_um' for k, v in zip(extents.BOX, ('drawing_id', '-1.5', 'drawing_id + 3', '7'), strict=True))} FROM b"))
+def cropped_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents with the view that some drawings ask for; a crop that is not four numbers is none."""
+    rows = table(spark, sf_dir, "segments")
+    boxes = extents.extents(rows.select("drawing_id", F.least("x1", "x2").alias("min_x"), F.least("y1", "y2").alias("min_y"), F.greatest("x1", "x2").alias("max_x"), F.greatest("y1", "y2").alias("max_y")))
+    crops = table(spark, sf_dir, "drawings").select("drawing_id", F.expr(_CROP).alias("crop"))
+    return extents.cropped(boxes, crops).select("drawing_id", *[whole(k).alias(f"{k}_um") for k in extents.BOX])
+
+
+@query(with_tables(["segments"], "SELECT drawing_id * 1000000 + seg_id AS drawing_id, 'empty drawing or nothing to draw' AS reason FROM segments WHERE x1 = x2 OR y1 = y2"))
+def empty_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line as a drawing of its own: one that is level or upright has no height or no width."""
+    rows = table(spark, sf_dir, "segments").withColumn("drawing_id", F.expr("drawing_id * 1000000 + seg_id"))
+    return extents.split_empty(extents.extents(rows.select("drawing_id", F.least("x1", "x2").alias("min_x"), F.least("y1", "y2").alias("min_y"), F.greatest("x1", "x2").alias("max_x"), F.greatest("y1", "y2").alias("max_y"))))[1]
+
+
 # -- polylines and curves ----------------------------------------------------------------------------------------------
 
 _VERTICES = [("x0", "y0"), ("x0 + size", "y0"), ("x0 + size", "y0 + size"), ("x0", "y0 + size / 2")]
@@ -311,7 +401,7 @@ _VERTICES = [("x0", "y0"), ("x0 + size", "y0"), ("x0 + size", "y0 + size"), ("x0
 
 def _polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = ", ".join(f"named_struct('x', {x}, 'y', {y}, 'bulge', {'bulge' if i % 2 == 0 else '0e0'})" for i, (x, y) in enumerate(_VERTICES))
-    return table(spark, sf_dir, "polylines").selectExpr("drawing_id", "entity_seq", "CASE WHEN entity_seq % 2 = 0 THEN 'LWPOLYLINE' ELSE 'POLYLINE' END AS type", "closed", f"array({v}) AS vertices", "x0", "size")
+    return table(spark, sf_dir, "polylines").selectExpr("drawing_id", "entity_seq", "part_no", "CASE WHEN entity_seq % 2 = 0 THEN 'LWPOLYLINE' ELSE 'POLYLINE' END AS type", "closed", f"array({v}) AS vertices", "x0", "size")
 
 
 _EDGES = "edges AS (" + " UNION ALL ".join(f"SELECT drawing_id, entity_seq, x0, size, {i} AS edge_no, {_VERTICES[i][0]} AS x1, {_VERTICES[i][1]} AS y1, {_VERTICES[(i + 1) % 4][0]} AS x2, {_VERTICES[(i + 1) % 4][1]} AS y2, {'bulge' if i % 2 == 0 else '0e0'} AS bulge FROM polylines" + (" WHERE closed AND entity_seq % 2 = 0" if i == 3 else "") for i in range(4)) + ")"
@@ -323,6 +413,32 @@ def polyline_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("drawing_id", "entity_seq", whole("x0", 1).alias("x0"), whole("size", 1).alias("size"), "edge_no", *[whole(k, 1000).alias(f"{k}_th") for k in ("x1", "y1", "x2", "y2")], "bulge", "is_arc")
 
 
+_MIXED = f"""+ {_EDGES}, e AS (SELECT *, CASE WHEN end_deg <= start_deg THEN end_deg + 360 ELSE end_deg END AS e FROM arcs), n AS (SELECT *, unnest(range(0, CAST(greatest(1, ceil((e - start_deg) / 10)) AS INT))) AS chord_no FROM e),
+m AS (SELECT drawing_id, layer, 'LINE' AS source, false AS is_arc, x1*1000 AS x1, y1*1000 AS y1, x2*1000 AS x2, y2*1000 AS y2 FROM segments
+  UNION ALL SELECT drawing_id, 'A-WALL', CASE WHEN entity_seq % 2 = 0 THEN 'LWPOLYLINE' ELSE 'POLYLINE' END, abs(bulge) > 1e-10, x1, y1, x2, y2 FROM edges
+  UNION ALL SELECT drawing_id, 'EXTRA', 'ARC', true, cx + radius*cos(radians(least(start_deg + 10*chord_no, e))), cy + radius*sin(radians(least(start_deg + 10*chord_no, e))), cx + radius*cos(radians(least(start_deg + 10*(chord_no+1), e))), cy + radius*sin(radians(least(start_deg + 10*(chord_no+1), e))) FROM n)"""
+
+
+@query(with_tables(["segments", "arcs", "polylines"], f"{_MIXED} SELECT drawing_id, layer, source, is_arc, {', '.join(f'{sql_whole(k, str(100))} AS {k}_h' for k in ('x1', 'y1', 'x2', 'y2'))} FROM m"))
+def mixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list of the segments of all kinds of entities, curves included."""
+    entities = _own_entities(spark, sf_dir).withColumns({k: F.lit(v) for k, v in expand.IDENTITY.items()})
+    rows = segments.raw_segments(entities.drop("ref_block"), include_curves=True)
+    return rows.select("drawing_id", "layer", "source", "is_arc", *[whole(k, 100).alias(f"{k}_h") for k in ("x1", "y1", "x2", "y2")])
+
+
+_REACH = """b AS (SELECT drawing_id, least(x1,x2)*1000 AS lx, least(y1,y2)*1000 AS ly, greatest(x1,x2)*1000 AS hx, greatest(y1,y2)*1000 AS hy FROM segments
+  UNION ALL SELECT drawing_id, cx-radius, cy-radius, cx+radius, cy+radius FROM arcs
+  UNION ALL SELECT drawing_id, x0, y0, x0+size, y0+size FROM polylines)"""
+
+
+@query(with_tables(["segments", "arcs", "polylines"], f"+ {_REACH} SELECT drawing_id, {sql_whole('min(lx)', '1e3')} AS min_x_th, {sql_whole('min(ly)', '1e3')} AS min_y_th, {sql_whole('max(hx)', '1e3')} AS max_x_th, {sql_whole('max(hy)', '1e3')} AS max_y_th FROM b GROUP BY 1"))
+def mixed_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of lines, arcs (by centre and radius) and polylines."""
+    points = extents.points_of(_own_entities(spark, sf_dir)).withColumns({k: F.lit(v) for k, v in expand.IDENTITY.items()})
+    return extents.extents(extents.reach_boxes(points)).select("drawing_id", *[whole(k, 1e3).alias(f"{k}_th") for k in extents.BOX])
+
+
 _KEY = "drawing_id, entity_seq, cx, cy, radius, start_deg, end_deg"
 
 
@@ -338,18 +454,26 @@ def arc_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*_KEY.split(", "), "chord_no", *[whole(k, 1e3).alias(f"{k}_th") for k in ("x1", "y1", "x2", "y2")])
 
 
-@query()
+_BULGES = f"""{_EDGES}, b0 AS (SELECT *, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS chord FROM edges WHERE abs(bulge) > 1e-10), b1 AS (SELECT *, abs(bulge)*chord/2 AS rise FROM b0), b2 AS (SELECT *, (chord*chord/4 + rise*rise)/(2*rise) AS radius FROM b1),
+b3 AS (SELECT *, (x1+x2)/2 - (y2-y1)/chord*CASE WHEN bulge < 0 THEN rise-radius ELSE radius-rise END AS cx, (y1+y2)/2 + (x2-x1)/chord*CASE WHEN bulge < 0 THEN rise-radius ELSE radius-rise END AS cy FROM b2)"""
+
+
+_CURVES = f"""{_BULGES}, b4 AS (SELECT *, degrees(atan2(y1-cy, x1-cx)) AS da, degrees(atan2(y2-cy, x2-cx)) AS db FROM b3),
+b5 AS (SELECT *, CASE WHEN bulge > 0 THEN da ELSE db END AS s, CASE WHEN bulge > 0 THEN db ELSE da END AS e FROM b4),
+a0 AS (SELECT *, degrees(atan2(sin(radians(start_deg)), cos(radians(start_deg)))) AS s, degrees(atan2(sin(radians(end_deg)), cos(radians(end_deg)))) AS e FROM arcs),
+curve AS (SELECT 'arc' AS kind, drawing_id, entity_seq, CAST(part_no AS INT) AS part, cx, cy, radius, s, CASE WHEN e <= s THEN e + 360 ELSE e END AS e FROM a0
+  UNION ALL SELECT 'bulge', drawing_id, entity_seq, CAST(edge_no AS INT), cx, cy, radius, s, CASE WHEN e < s THEN e + 360 ELSE e END FROM b5),
+steps AS (SELECT *, CAST(greatest(4, ceil(round((e - s) / 2, 9))) AS INT) AS n FROM curve), points AS (SELECT *, unnest(range(0, n + 1)) AS point_no FROM steps)"""
+
+
+@query(with_tables(["arcs", "polylines"], f"+ {_CURVES} SELECT kind, drawing_id, entity_seq, part, CAST(point_no AS INT) AS point_no, {sql_whole('cx + radius*cos(radians(s + point_no*(e-s)/n))', '1e2')} AS x_h, {sql_whole('cy + radius*sin(radians(s + point_no*(e-s)/n))', '1e2')} AS y_h FROM points"))
 def curve_linework(spark: SparkSession, sf_dir: str) -> DataFrame:
     placement = {k: F.lit(v) for k, v in expand.IDENTITY.items()}
     arcs = table(spark, sf_dir, "arcs").withColumns({"type": F.lit("ARC"), "part": F.col("part_no").cast("int"), **placement})
     arcs = curves.placed_arcs(arcs).select(F.lit("arc").alias("kind"), "drawing_id", "entity_seq", "part", "cx", "cy", "radius", "start_deg", "end_deg")
     bulges = curves.bulge_arcs(segments.polyline_edges(_polylines(spark, sf_dir))).select(F.lit("bulge").alias("kind"), "drawing_id", "entity_seq", F.col("edge_no").alias("part"), "cx", "cy", "radius", "start_deg", "end_deg")
     points = curves.arc_points(arcs.unionByName(bulges))
-    return points.select("kind", "drawing_id", "entity_seq", "part", "point_no", whole("x", 1e3).alias("x_th"), whole("y", 1e3).alias("y_th"))
-
-
-_BULGES = f"""{_EDGES}, b0 AS (SELECT *, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS chord FROM edges WHERE abs(bulge) > 1e-10), b1 AS (SELECT *, abs(bulge)*chord/2 AS rise FROM b0), b2 AS (SELECT *, (chord*chord/4 + rise*rise)/(2*rise) AS radius FROM b1),
-b3 AS (SELECT *, (x1+x2)/2 - (y2-y1)/chord*CASE WHEN bulge < 0 THEN rise-radius ELSE radius-rise END AS cx, (y1+y2)/2 + (x2-x1)/chord*CASE WHEN bulge < 0 THEN rise-radius ELSE radius-rise END AS cy FROM b2)"""
+    return points.select("kind", "drawing_id", "entity_seq", "part", "point_no", whole("x", 1e2).alias("x_h"), whole("y", 1e2).alias("y_h"))
 
 
 @query(with_tables(["polylines"], f"+ {_BULGES} SELECT drawing_id, entity_seq, edge_no, {sql_whole('cx', '1e3')} AS cx_th, {sql_whole('cy', '1e3')} AS cy_th, {sql_whole('radius', '1e3')} AS radius_th FROM b3"))
@@ -360,14 +484,14 @@ def bulge_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "arcs").withColumns({k: F.lit(v) for k, v in expand.IDENTITY.items()})
-    full = F.col("entity_seq") % 3 == 0
-    return rows.withColumns({"major_x": F.col("radius"), "major_y": F.col("radius") / 2, "minor_ratio": F.lit(0.5), "start_rad": F.when(full, 0.0).otherwise(F.radians("start_deg")), "end_rad": F.when(full, 0.0).otherwise(F.radians(F.col("start_deg") + 100.5))})
+    full = F.col("entity_seq") % 16 == 0
+    return rows.withColumns({"major_x": F.col("radius"), "major_y": F.col("radius") / 2, "minor_ratio": F.lit(0.5), "start_rad": F.when(full, 0.0).otherwise(F.radians("start_deg")), "end_rad": F.when(full, 0.0).otherwise(F.radians(F.col("start_deg") + 20.5))})
 
 
 @query(
     with_tables(
         ["arcs"],
-        f"""+ e AS (SELECT *, entity_seq % 3 = 0 AS closed FROM arcs), n AS (SELECT *, CASE WHEN closed THEN 180 ELSE 51 END AS n, CASE WHEN closed THEN 0e0 ELSE radians(start_deg) END AS s, CASE WHEN closed THEN 2*pi() ELSE radians(start_deg + 100.5) - radians(start_deg) END AS w, sqrt(radius*radius*1.25) AS long, atan2(radius/2, radius) AS turn FROM e),
+        f"""+ e AS (SELECT *, entity_seq % 16 = 0 AS closed FROM arcs), n AS (SELECT *, CASE WHEN closed THEN 180 ELSE 11 END AS n, CASE WHEN closed THEN 0e0 ELSE radians(start_deg) END AS s, CASE WHEN closed THEN 2*pi() ELSE radians(start_deg + 20.5) - radians(start_deg) END AS w, sqrt(radius*radius*1.25) AS long, atan2(radius/2, radius) AS turn FROM e),
 p AS (SELECT *, unnest(range(0, n + 1)) AS point_no FROM n), q AS (SELECT *, long*cos(s + point_no/CAST(n AS DOUBLE)*w) AS ex, long*0.5*sin(s + point_no/CAST(n AS DOUBLE)*w) AS ey FROM p)
 SELECT drawing_id, entity_seq, cx, cy, radius, start_deg, end_deg, closed, CAST(point_no AS INT) AS point_no, {sql_whole('cx + ex*cos(turn) - ey*sin(turn)', '1e3')} AS x_th, {sql_whole('cy + ex*sin(turn) + ey*cos(turn)', '1e3')} AS y_th FROM q""",
     )
@@ -386,6 +510,14 @@ def spline_linework(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("drawing_id", "entity_seq", "x0", "size", "point_no", whole("x", 1e3).alias("x_th"), whole("y", 1e3).alias("y_th"))
 
 
+@query(with_tables(["polylines"], f"SELECT drawing_id, entity_seq, part_no, {sql_whole('x0', '1')} AS x0, {sql_whole('size', '1')} AS size, i AS corner_no, {sql_whole('CASE i WHEN 0 THEN x0 WHEN 1 THEN x0 + size WHEN 2 THEN x0 ELSE x0 + size END', '1e3')} AS x_th, {sql_whole('CASE i WHEN 0 THEN y0 WHEN 1 THEN y0 WHEN 2 THEN y0 + size/2 ELSE y0 + size END', '1e3')} AS y_th FROM polylines CROSS JOIN (VALUES (0), (1), (2), (3)) v(i)"))
+def solid_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solids with the corners of the polylines; their last two change places."""
+    rows = curves.solid_polygons(_polylines(spark, sf_dir).withColumn("corners", F.expr("transform(vertices, v -> named_struct('x', v.x, 'y', v.y))")))
+    rows = rows.select("drawing_id", "entity_seq", "part_no", whole("x0", 1).alias("x0"), whole("size", 1).alias("size"), F.posexplode("polygon").alias("corner_no", "_p"))
+    return rows.select("drawing_id", "entity_seq", "part_no", "x0", "size", "corner_no", whole("_p.x", 1e3).alias("x_th"), whole("_p.y", 1e3).alias("y_th"))
+
+
 # -- hatches -----------------------------------------------------------------------------------------------------------
 
 _L = [("0e0", "0e0"), ("a", "0e0"), ("a", "a/2"), ("a/2", "a/2"), ("a/2", "a"), ("0e0", "a")]
@@ -520,30 +652,61 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- annotations, linework, ingest -------------------------------------------------------------------------------------
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "annotations")
+_RUN_TAIL = "false AS italic, false AS underline, false AS overstrike, false AS strikethrough, 0e0 AS height, CASE run_no WHEN 2 THEN 0.5e0 ELSE 0e0 END AS relative_height, 1e0 AS width_factor, 0 AS r, 0 AS g, 0 AS b"
 
 
-@query()
+@query(
+    f"""SELECT doc_id AS entity_seq, run_no, CASE run_no WHEN 0 THEN replace(replace(text, chr(10), ' '), '%%%', '%') WHEN 1 THEN '' ELSE concat('Ø', n_chars, ' 1/2') END AS text,
+run_no = 1 AS new_line, CASE run_no WHEN 0 THEN 'Arial' ELSE '' END AS font, run_no = 0 AS bold, {_RUN_TAIL} FROM documents CROSS JOIN (VALUES (0), (1), (2)) v(run_no)"""
+)
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotations.text_runs(table(spark, sf_dir, "whole_annotations"))
+    return annotations.text_runs(table(spark, sf_dir, "annotations"))
 
 
-@query("SELECT doc_id AS entity_seq, concat(replace(substr(replace(text, chr(10), ' '), 1, 60), '%%%', '%'), ' Ø', n_chars, ' 1/2') AS plain_text FROM documents")
+@query("SELECT doc_id AS entity_seq, concat(replace(replace(text, chr(10), ' '), '%%%', '%'), ' Ø', n_chars, ' 1/2') AS plain_text FROM documents")
 def plain_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotations.plain_texts(annotations.text_runs(_texts(spark, sf_dir)), ["entity_seq"])
+    return annotations.plain_texts(table(spark, sf_dir, "annotations"))
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All derived entities as one corpus, in millimetres."""
+@query("SELECT doc_id AS entity_seq, concat('Ø', n_chars, ' 1/2') AS plain_text FROM documents")
+def mended_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations that begin in the middle of a font code, and hold a brace that nothing opened: all through that brace goes."""
+    cut = table(spark, sf_dir, "annotations").withColumn("text", F.expr("substr(text, 5)"))
+    parts = cut.withColumns({"text": F.expr("substr(text, 1, 250)"), "text_ext": F.expr("array(substr(text, 251))")})
+    return annotations.plain_texts(annotations.full_text(parts))
+
+
+_TEXT_SHEETS = f"""{_PLANS}, t AS (SELECT drawing_id, entity_seq, CASE WHEN entity_seq % 2 = 0 THEN 'MTEXT' ELSE 'TEXT' END AS type, ins_x, ins_y, rot_deg, scale_y, CAST(100 + entity_seq % 900 AS DOUBLE) AS size FROM top_inserts),
+p AS (SELECT t.*, sheet_id, margin + offset_x + (ins_x - min_x)*page_scale AS x, margin + offset_y + (max_y - ins_y)*page_scale AS y, greatest(0.5, size*page_scale) AS h FROM t JOIN plans USING (drawing_id))"""
+
+
+@query(with_tables(["segments", "top_inserts"], f"+ {_TEXT_SHEETS} SELECT drawing_id, sheet_id, entity_seq, type, {sql_whole('x', '1e3')} AS x_th, {sql_whole('y', '1e3')} AS y_th, {sql_whole('h')} AS height_nm, {sql_whole('h*2.83465')} AS points_n, {sql_whole('h*1.4')} AS line_nm, {sql_whole('CASE WHEN entity_seq % 2 = 0 THEN degrees(rot_deg/100) ELSE rot_deg/100 END')} AS turn_n FROM p"))
+def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts where the inserts stand, on every sheet."""
+    rows = table(spark, sf_dir, "top_inserts").selectExpr("drawing_id", "entity_seq", "CASE WHEN entity_seq % 2 = 0 THEN 'MTEXT' ELSE 'TEXT' END AS type", "ins_x AS x1", "ins_y AS y1", "CAST(100 + entity_seq % 900 AS DOUBLE) AS text_height", "rot_deg/100 AS text_rot_deg")
+    rows = annotations.text_placement(rows.withColumns({k: F.lit(v) for k, v in expand.IDENTITY.items()}), _plans(spark, sf_dir)[0])
+    return rows.select("drawing_id", "sheet_id", "entity_seq", "type", whole("x", 1e3).alias("x_th"), whole("y", 1e3).alias("y_th"), whole("height_mm").alias("height_nm"), whole("font_points").alias("points_n"), whole("line_mm").alias("line_nm"), whole("turn_deg").alias("turn_n"))
+
+
+def _own_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, arcs and polylines of the drawings themselves, in millimetres."""
     common = {"block_name": F.lit(expand.TOP), "visible": F.lit(True), "color": F.lit(256), "lineweight": F.lit(-2)}
     lines = table(spark, sf_dir, "segments").withColumns({**common, "type": F.lit("LINE"), "entity_seq": F.col("seg_id"), **{k: F.col(k) * 1000 for k in ("x1", "y1", "x2", "y2")}})
     arcs = table(spark, sf_dir, "arcs").withColumns({**common, "type": F.lit("ARC"), "layer": F.lit("EXTRA"), "entity_seq": F.xxhash64("entity_seq", "part_no", "cx", "cy", "radius")})
-    polys = _polylines(spark, sf_dir).withColumns({**common, "layer": F.lit("A-WALL"), "entity_seq": F.xxhash64("entity_seq", "x0", "size", "closed")})
-    entities = None
-    for part in (lines, arcs, polys, _inserts(spark, sf_dir).withColumns({"color": F.lit(256), "lineweight": F.lit(-2)}), _block_lines(spark, sf_dir).withColumns({"color": F.lit(256), "lineweight": F.lit(-2)})):
+    polys = _polylines(spark, sf_dir).withColumns({**common, "layer": F.lit("A-WALL"), "entity_seq": F.xxhash64("entity_seq", "part_no", "x0", "size", "closed")})
+    out = None
+    for part in (lines, arcs, polys):
         part = schemas.with_columns_of(part, schemas.ENTITIES)
-        entities = part if entities is None else entities.unionByName(part)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All derived entities as one corpus, in millimetres."""
+    entities = _own_entities(spark, sf_dir)
+    for part in (_inserts(spark, sf_dir), _block_lines(spark, sf_dir)):
+        part = part.withColumns({"color": F.lit(256), "lineweight": F.lit(-2)})
+        entities = entities.unionByName(schemas.with_columns_of(part, schemas.ENTITIES))
     return {"drawings": table(spark, sf_dir, "drawings").withColumn("insunits", F.lit(4)), "layers": table(spark, sf_dir, "layers"), "blocks": _blocks(spark, sf_dir), "entities": entities}
 
 
@@ -554,7 +717,7 @@ def linework(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans, _ = sheets.sheet_plan(boxes, with_units(corpus["drawings"]), spark.createDataFrame(_REQUESTS, _REQUEST_SCHEMA))
     rows = export.linework(corpus, plans)
     box = [F.array_min(F.transform("points", lambda p: p[k])) for k in "xy"] + [F.array_max(F.transform("points", lambda p: p[k])) for k in "xy"]
-    return rows.select("drawing_id", "sheet_id", "path", "entity_seq", "part", "kind", F.size("points").alias("n_points"), *[whole(v, 1e3).alias(f"{k}_th") for k, v in zip(extents.BOX, box, strict=True)], "r", "g", "b", "width_mm")
+    return rows.select("drawing_id", "sheet_id", F.array_join("draw_order", "/").alias("draw_order"), "path", "entity_seq", "part", "kind", F.size("points").alias("n_points"), *[whole(v, 1e3).alias(f"{k}_th") for k, v in zip(extents.BOX, box, strict=True)], "r", "g", "b", "width_mm")
 
 
 @query()
@@ -564,6 +727,22 @@ def wall_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["drawing_summary"].select("drawing_id", "source_units", whole("scene_width_m", 1e3).alias("scene_width_mm"), whole("scene_height_m", 1e3).alias("scene_height_mm"), "segment_count", "wall_count")
 
 
+@query(
+    with_tables(
+        ["segments", "drawings"],
+        f"""+ b AS ({_LINE_BOXES}), n AS (SELECT drawing_id, count(*) AS segment_count FROM segments GROUP BY 1), m AS (SELECT *, (max_x-min_x)*{_FACTOR} AS w, (max_y-min_y)*{_FACTOR} AS h FROM b JOIN drawings USING (drawing_id) JOIN n USING (drawing_id))
+SELECT drawing_id, {_UNIT} AS source_units, 'down' AS y_axis, {sql_whole('min_x')} AS origin_x_n, {sql_whole('max_y')} AS origin_y_n, {sql_whole('w', '1')} AS scene_width_mm, {sql_whole('h', '1')} AS scene_height_mm, {sql_whole('0.01*300*1000/25.4')} AS px_per_metre_n, segment_count FROM m""",
+    )
+)
+def export_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the wall export says of each drawing of lines, in the drawings' own units."""
+    lines = table(spark, sf_dir, "segments").withColumns({"block_name": F.lit(expand.TOP), "visible": F.lit(True), "color": F.lit(256), "lineweight": F.lit(-2), "type": F.lit("LINE"), "entity_seq": F.col("seg_id")})
+    corpus = {"drawings": table(spark, sf_dir, "drawings"), "layers": table(spark, sf_dir, "layers"), "blocks": table(spark, sf_dir, "blocks"), "entities": schemas.with_columns_of(lines, schemas.ENTITIES)}
+    meta, scene = export.scene(corpus)[:2]
+    rows = meta.join(scene.groupBy("drawing_id").agg(F.count("*").alias("segment_count")), "drawing_id")
+    return rows.select("drawing_id", "source_units", "y_axis", whole("origin_x").alias("origin_x_n"), whole("origin_y").alias("origin_y_n"), whole(F.col("scene_width_m"), 1e3).alias("scene_width_mm"), whole(F.col("scene_height_m"), 1e3).alias("scene_height_mm"), whole("px_per_metre").alias("px_per_metre_n"), "segment_count")
+
+
 @query(with_tables(["segments"], f"SELECT drawing_id AS file_no, layer, color, {sql_whole('x1', '1e3')} AS x1_mm, {sql_whole('y1', '1e3')} AS y1_mm, {sql_whole('x2', '1e3')} AS x2_mm, {sql_whole('y2', '1e3')} AS y2_mm FROM (SELECT *, CAST(seg_id % 9 AS INT) AS color FROM segments) s"))
 def dxf_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings written as text files (one row each) and read again."""
@@ -576,3 +755,17 @@ def dxf_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dxf.tables(files)
     lines = found["entities"].where("type = 'LINE'").join(found["drawings"].select("drawing_id", "path"), "drawing_id")
     return lines.select(F.col("path").cast("long").alias("file_no"), "layer", "color", *[F.col(k).cast("long").alias(f"{k}_mm") for k in ("x1", "y1", "x2", "y2")])
+
+
+@query(with_tables(["layers"], "SELECT drawing_id AS file_no, CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY layer_seq) - 1 AS INT) AS layer_seq, concat(name, ' é', drawing_id) AS name, color FROM layers"))
+def codepage_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layer names beyond ASCII, in files of a declared code page: bytes of Latin-1, which this page has at the same places."""
+    tag = lambda code, value: F.concat(F.lit(f"{code:>3}\n"), value, F.lit("\n"))
+    name = F.concat("name", F.lit(" é"), "drawing_id")
+    entry = F.struct("layer_seq", F.concat(tag(0, F.lit("LAYER")), tag(2, name), tag(70, F.col("flags").cast("string")), tag(62, F.col("color").cast("string"))).alias("t"))
+    rows = table(spark, sf_dir, "layers").groupBy("drawing_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["t"]), "").alias("entries"))
+    head = "  0\nSECTION\n  2\nHEADER\n  9\n$DWGCODEPAGE\n  3\nANSI_1250\n  0\nENDSEC\n  0\nSECTION\n  2\nTABLES\n  0\nTABLE\n  2\nLAYER\n"
+    content = F.encode(F.concat(F.lit(head), "entries", F.lit("  0\nENDTAB\n  0\nENDSEC\n  0\nEOF\n")), "ISO-8859-1")
+    found = dxf.tables(rows.select(F.col("drawing_id").cast("string").alias("path"), content.alias("content")))
+    layers = found["layers"].join(found["drawings"].select("drawing_id", "path"), "drawing_id")
+    return layers.select(F.col("path").cast("long").alias("file_no"), "layer_seq", "name", "color")

@@ -22,30 +22,30 @@ SQL = {
     "drawings": "SELECT s_suppkey AS drawing_id, CAST(s_suppkey % 12 AS INT) AS insunits FROM supplier",
     "layers": """SELECT s_suppkey AS drawing_id, v.layer_seq, v.name, v.color, v.flags, v.lineweight
 FROM supplier CROSS JOIN (VALUES (0,'A-WALL',1,0,-3),(1,'A-DOOR',-3,1,25),(2,'EXTRA',7,0,50),(3,'Teherhordo fal',300,0,-1),(4,'UNUSED',251,0,13)) AS v(layer_seq,name,color,flags,lineweight)""",
-    "blocks": "SELECT concat('B', p_partkey) AS name, CAST(p_partkey*10 AS DOUBLE) AS base_x, CAST(p_partkey*5 AS DOUBLE) AS base_y FROM part WHERE p_partkey < 20",
-    "block_lines": """SELECT concat('B', p_partkey % 20) AS block_name, p_partkey AS entity_seq, CAST(p_size*100 AS DOUBLE) AS x1, CAST((p_partkey % 7)*50 AS DOUBLE) AS y1,
-  CAST(p_size*100 + 500 AS DOUBLE) AS x2, CAST((p_partkey % 7)*50 + (p_partkey % 3)*200 AS DOUBLE) AS y2 FROM part WHERE p_partkey < 200""",
-    "block_inserts": """SELECT concat('B', p_partkey) AS block_name, concat('B', p_partkey+1) AS ref_block, 1000e0 AS ins_x, 0e0 AS ins_y,
-  CASE WHEN p_partkey % 2 = 0 THEN 0.5e0 ELSE 1e0 END AS scale_x, 1e0 AS scale_y, CASE WHEN p_partkey % 2 = 0 THEN 90e0 ELSE 0e0 END AS rot_deg
-FROM part WHERE p_partkey < 20 AND p_partkey % 5 < 4""",
-    "top_inserts": """SELECT CAST(floor(o_orderkey/150) AS BIGINT) AS drawing_id, o_orderkey AS entity_seq, concat('B', o_custkey % 21) AS ref_block,
+    # every part is a line of one of its drawing's ten blocks; of five blocks in a row each holds the next
+    "block_lines": """SELECT p_partkey % (SELECT count(*) FROM supplier) AS drawing_id, concat('B', CAST(floor(p_partkey / (SELECT count(*) FROM supplier)) AS BIGINT) % 10) AS block_name,
+  p_partkey AS entity_seq, CAST(p_size*100 AS DOUBLE) AS x1, CAST((p_partkey % 7)*50 AS DOUBLE) AS y1,
+  CAST(p_size*100 + 500 AS DOUBLE) AS x2, CAST((p_partkey % 7)*50 + (p_partkey % 3)*200 AS DOUBLE) AS y2 FROM part""",
+    "blocks": """SELECT drawing_id, CAST(k AS INT) AS block_seq, concat('B', k) AS name, CAST(k*10 + drawing_id % 3 AS DOUBLE) AS base_x, CAST(k*5 AS DOUBLE) AS base_y
+FROM (SELECT DISTINCT p_partkey % (SELECT count(*) FROM supplier) AS drawing_id, CAST(floor(p_partkey / (SELECT count(*) FROM supplier)) AS BIGINT) % 10 AS k FROM part) numbered""",
+    "block_inserts": """SELECT drawing_id, concat('B', k) AS block_name, concat('B', k+1) AS ref_block, 1000e0 AS ins_x, 0e0 AS ins_y,
+  CASE WHEN k % 2 = 0 THEN 0.5e0 ELSE 1e0 END AS scale_x, 1e0 AS scale_y, CASE WHEN k % 2 = 0 THEN 90e0 ELSE 0e0 END AS rot_deg
+FROM (SELECT DISTINCT p_partkey % (SELECT count(*) FROM supplier) AS drawing_id, CAST(floor(p_partkey / (SELECT count(*) FROM supplier)) AS BIGINT) % 10 AS k FROM part) numbered WHERE k % 5 < 4""",
+    "top_inserts": """SELECT CAST(floor(o_orderkey/150) AS BIGINT) AS drawing_id, o_orderkey AS entity_seq, concat('B', o_custkey % 11) AS ref_block,
   CAST((o_orderkey % 150)*2000 AS DOUBLE) AS ins_x, CAST((o_custkey % 100)*1000 AS DOUBLE) AS ins_y,
   CASE o_orderkey % 3 WHEN 0 THEN 1e0 WHEN 1 THEN -1e0 ELSE 2e0 END AS scale_x, 1e0 AS scale_y,
   CASE WHEN o_orderkey % 5 = 0 THEN 37e0 ELSE CAST((o_orderkey % 4)*90 AS DOUBLE) END AS rot_deg FROM orders""",
     "hatches": """SELECT c_custkey AS hatch_id, CAST(1000 + (c_custkey % 7)*130 AS DOUBLE) AS a, CAST((c_custkey % 4)*45 AS DOUBLE) AS angle, 37e0 AS offset_x,
   CAST(100 + c_nationkey*3 AS DOUBLE) AS offset_y, CAST(c_custkey % 3 AS INT) AS dash_kind FROM customer""",
-    "annotations": """SELECT doc_id AS entity_seq, concat('{', chr(92), 'fArial|b1|i0|c238|p0;', substr(replace(text, chr(10), ' '),1,60), '}',
+    "annotations": """SELECT doc_id AS entity_seq, concat('{', chr(92), 'fArial|b1|i0|c238|p0;', replace(text, chr(10), ' '), '}',
   chr(92), 'P', chr(92), 'H0.5x;%%c', n_chars, ' ', chr(92), 'S1/2;') AS text FROM documents""",
-    # the same annotations with their whole texts
-    "whole_annotations": """SELECT doc_id AS entity_seq, concat('{', chr(92), 'fArial|b1|i0|c238|p0;', replace(text, chr(10), ' '), '}',
-  chr(92), 'P', chr(92), 'H0.5x;%%c', n_chars, ' ', chr(92), 'S1/2;') AS text FROM documents""",
-    # arcs, bulged polylines and points, as entities of the drawings
+    # every order line as an arc, and as a bulged polyline
     "arcs": """SELECT l_suppkey AS drawing_id, l_orderkey AS entity_seq, l_linenumber AS part_no, CAST((l_partkey % 50)*100 AS DOUBLE) AS cx, CAST((l_partkey % 40)*90 AS DOUBLE) AS cy,
-  CAST(100 + CAST(l_quantity AS BIGINT)*7 AS DOUBLE) AS radius, CAST((l_orderkey % 36)*10 + 3 AS DOUBLE) AS start_deg, CAST((l_partkey % 36)*10 + 7 AS DOUBLE) AS end_deg
-FROM lineitem WHERE l_linenumber = 1""",
-    "polylines": """SELECT l_suppkey AS drawing_id, l_orderkey AS entity_seq, l_partkey % 2 = 0 AS closed, CAST((l_partkey % 50)*100 AS DOUBLE) AS x0, CAST((l_partkey % 40)*90 AS DOUBLE) AS y0,
-  CAST(200 + CAST(l_quantity AS BIGINT)*10 AS DOUBLE) AS size, CASE l_orderkey % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 0.5e0 ELSE -0.25e0 END AS bulge
-FROM lineitem WHERE l_linenumber = 2""",
+  CAST(100 + CAST(l_quantity AS BIGINT)*7 AS DOUBLE) AS radius, CAST((l_orderkey % 36)*10 + 3 AS DOUBLE) AS start_deg, CAST(((l_orderkey % 36)*10 + 10 + (l_partkey % 12)*5) % 360 AS DOUBLE) AS end_deg
+FROM lineitem""",
+    "polylines": """SELECT l_suppkey AS drawing_id, l_orderkey AS entity_seq, l_linenumber AS part_no, l_partkey % 2 = 0 AS closed, CAST((l_partkey % 50)*100 AS DOUBLE) AS x0, CAST((l_partkey % 40)*90 AS DOUBLE) AS y0,
+  CAST(200 + CAST(l_quantity AS BIGINT)*10 AS DOUBLE) AS size, CASE l_orderkey % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 0.125e0 ELSE -0.0625e0 END AS bulge
+FROM lineitem""",
 }
 
 

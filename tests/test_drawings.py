@@ -130,7 +130,7 @@ def test_runs(spark):
     assert style["C"].height == 2 and (style["D"].height, style["D"].relative_height) == (0, 0.5) and style["e"].height == 0
     assert (style["e"].r, style["f"].b, style["g"].underline, style["hi"].underline, style["hi"].width_factor) == (255, 255, True, False, 0.8)
     texts = spark.createDataFrame([(1, r"\P\Pa\Pb", None), (2, None, None), (3, "x", ["y", "z"])], "id int, text string, text_ext array<string>")
-    assert sorted(map(tuple, annotations.plain_texts(annotations.text_runs(annotations.full_text(texts)), ["id"]).collect())) == [(1, "a b"), (3, "xyz")]
+    assert sorted(map(tuple, annotations.plain_texts(annotations.full_text(texts)).collect())) == [(1, "a b"), (2, ""), (3, "xyz")]
 
 
 FILE = """  0
