@@ -1,35 +1,17 @@
-"""Helpers that several operators share: shared storage, prefix sums, connected components, column names."""
+"""Helpers that several operators share: prefix sums, joins with hot keys, names of components, column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What separates words: the ASCII white space that bytes.split() uses too.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from draftlake.operators.graph import components
+from draftlake.storage import discard, new_path, shared_dir, stored
 
+__all__ = ["WORD", "apart", "components", "discard", "join_by", "new_path", "prefix_sums", "shared_dir", "smallest_of_component", "stored", "utf8_size"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: its lineage ends here, and lost executors cost no rework."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: What separates words: the ASCII white space that bytes.split() uses too.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def apart(df: DataFrame, new: list[str]) -> DataFrame:
@@ -50,46 +32,42 @@ def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def prefix_sums(df: DataFrame, index: str, value: str, keys: list[str] | None = None, block: int = 128) -> DataFrame:
+def prefix_sums(df: DataFrame, index: str, value: str, keys: list[str] | None = None, block: int = 128, levels: int = 3) -> DataFrame:
     """df with `before`: the sum of `value` over the rows of smaller `index` (of the same keys).
 
-    Two levels: within blocks of consecutive indices, then over one total for each block, so that no window holds more
-    than `block` rows and the totals are fewer by that factor.
+    In levels: within blocks of consecutive indices, then over the totals of blocks in the same way; the last level's
+    totals are fewer than the rows by the block's size to the power of the levels, and no other window holds more than a block.
     """
     keys = keys or []
-    rows = df.withColumn("_block", F.floor(F.col(index) / block).cast("long"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
-    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
-    return (
-        rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(bases, [*keys, "_block"])
-        .withColumn("before", (F.col("_base") + F.col("_inside")).cast("long"))
-        .drop("_block", "_inside", "_base")
-    )
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of the edges (a, b: long); component is the smallest node that is reachable.
-
-    Alternating large-star and small-star steps: each is one minimum for a node (pre-aggregated before its shuffle) and
-    one join; a hub with many edges is thus never gathered. The number of rounds grows with the logarithm of the
-    longest path. Every round ends in a written table.
+    if levels == 0:
+        over = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("before", F.coalesce(F.sum(value).over(over), F.lit(0)).cast("long"))
+    number = f"_block{levels}"
+    rows = df.withColumn(number, F.floor(F.col(index) / block).cast("long"))
+    inside = Window.partitionBy(*keys, number).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, number).agg(F.sum(value).alias("_total"))
+    bases = prefix_sums(totals, number, "_total", keys, block, levels - 1).select(*keys, number, F.col("before").alias("_base"))
+    rows = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(bases, [*keys, number]).withColumn("before", (F.col("_base") + F.col("_inside")).cast("long")).drop(number, "_inside", "_base")
+
+
+def join_by(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with a table of one row for each key, whose column n says how many of the rows have it (dropped).
+
+    Keys of a thousandth of all rows or more are a thousand at most: they are broadcast, so that no task gets all rows of one. The others are shuffled.
+    """
+    total = F.broadcast(table.agg(F.sum(n).alias("_total")))  # one row
+    marked = table.crossJoin(total).withColumn("_hot", F.col(n) * 1000 >= F.col("_total")).drop("_total", n)
+    hot, others = F.broadcast(marked.where("_hot").drop("_hot")), marked.where("NOT _hot").drop("_hot")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
+
+
+def smallest_of_component(nodes: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+    """nodes (node, n: rows that it stands for, and a column `name`) with the smallest `name` of their component in its place.
+
+    joined: (node, component) of the nodes that have links, as `components` gives it; a node without links keeps its own.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = stored(pairs, "edges"), None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(star.union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components are not stable after {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    linked = joined.join(nodes.select("node", F.col(name).alias("_own")), "node")
+    least = linked.groupBy("component").agg(F.min("_own").alias("_least"), F.count("*").alias("_n"))
+    found = join_by(joined, least, "component", "_n").select("node", "_least")
+    return nodes.join(found, "node", "left").withColumn(name, F.when(F.col("_least").isNotNull(), F.col("_least")).otherwise(F.col(name))).drop("_least")

@@ -1,11 +1,12 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters the records to buckets that fit in memory, by a seeded hash. Pass two gives every bucket a
-Fisher-Yates shuffle and writes it. The buckets one after the other are the shuffled corpus; shard i of n holds its
+Pass one scatters the records to buckets that fit in memory, by a seeded hash of id and text. Pass two gives every bucket a
+Fisher-Yates shuffle and writes it. A bucket that is much larger than meant (very long texts, or rows that are equal) is
+shuffled in pieces that fit in memory; a seeded hash says which piece a row is in. The buckets one after the other are the shuffled corpus; shard i of n holds its
 rows from floor(i*N/n) to floor((i+1)*N/n), so that counts differ by one at most (law `rows`).
 
-Defined cases: a null or empty text is a record of one byte (its end); rows of one doc_id share a bucket, equal rows
-are each kept; a null doc_id is hashed like a value; an empty table gives empty shards; clashing columns of the input
+Defined cases: a null or empty text is a record of one byte (its end); equal rows share a bucket
+and are each kept; rows of one doc_id are dealt by their texts, and so are rows without doc_id; a very long text is a record like any other (its bucket is larger by it); an empty table gives empty shards; clashing columns of the input
 become input_<name>.
 """
 
@@ -20,35 +21,59 @@ from pyspark.sql import types as T
 from draftlake.llm.common import apart, new_path, prefix_sums, utf8_size
 
 
-def _permute(seed: int, bucket: int, doc_ids: list, texts: list):
+PIECE = 4  # times bucket_bytes: what a task holds at once
+
+
+def _permute(seed: int, bucket: int, piece: int, doc_ids: list, texts: list):
     """Row numbers in shuffled order; the order in which the rows arrived does not matter."""
     import numpy as np
 
     order = sorted(range(len(doc_ids)), key=lambda i: (doc_ids[i] is not None, doc_ids[i], zlib.crc32((texts[i] or "").encode()), texts[i] is not None))
-    np.random.default_rng([seed, bucket]).shuffle(order := np.array(order, dtype="int64"))  # Fisher-Yates
+    np.random.default_rng([seed, bucket, piece]).shuffle(order := np.array(order, dtype="int64"))  # Fisher-Yates
     return order
 
 
 def shuffle(docs: DataFrame, seed: int = 11, bucket_bytes: int = 16 << 20) -> DataFrame:
     """docs with `position`, from 0 without gaps, in shuffled order."""
-    docs = apart(docs, ["position"])
+    docs = apart(docs, ["position", "_bucket", "_key", "_base"])
     size = docs.agg(F.sum(utf8_size(F.col("text")) + 1)).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(buckets)).alias("_bucket")
-    counts = docs.select(bucket).groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    bases = prefix_sums(counts, "_bucket", "_rows").select("_bucket", "before")
-    schema = T.StructType([*docs.schema.fields, T.StructField("position", T.LongType())])
+    keyed = docs.withColumns({"_bucket": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets)), "_key": F.xxhash64("doc_id", "text", F.lit(seed))})
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    bases = prefix_sums(counts, "_bucket", "_rows").select("_bucket", F.col("before").alias("_base"))
     names = docs.columns
 
-    def write_order(rows, base):
+    def write_order(batches):
         import numpy as np
         import pyarrow as pa
 
-        order = _permute(seed, rows["_bucket"][0].as_py(), rows["doc_id"].to_pylist(), rows["text"].to_pylist())
-        out = rows.select(names).take(pa.array(order))
-        return out.append_column("position", pa.array(np.arange(len(order), dtype="int64") + base["before"][0].as_py()))
-
-    return docs.select("*", bucket).groupBy("_bucket").cogroup(bases.groupBy("_bucket")).applyInArrow(write_order, schema)
+        here, held, done, piece = None, [], 0, 0
+
+        def out():
+            nonlocal done, piece
+            rows = pa.Table.from_batches(held)
+            order = _permute(seed, here[0], piece, rows["doc_id"].to_pylist(), rows["text"].to_pylist())
+            position = pa.array(here[1] + done + np.arange(len(order), dtype="int64"))
+            done, piece = done + len(order), piece + 1
+            held.clear()
+            yield from rows.select(names).take(pa.array(order)).append_column("position", position).to_batches(max_chunksize=2000)
+
+        for batch in batches:
+            number, base = batch.column("_bucket").to_numpy(), batch.column("_base").to_numpy()
+            starts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for i, j in zip(starts, starts[1:], strict=False):
+                if i == j:
+                    continue
+                if held and (here[0] != number[i] or sum(b.nbytes for b in held) > PIECE * bucket_bytes):
+                    yield from out()
+                if here is None or here[0] != number[i]:
+                    here, done, piece = (int(number[i]), int(base[i])), 0, 0
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield from out()
+
+    dealt = keyed.join(bases, "_bucket").sortWithinPartitions("_bucket", "_key")
+    return dealt.mapInArrow(write_order, T.StructType([*docs.schema.fields, T.StructField("position", T.LongType())]))
 
 
 def write_shards(docs: DataFrame, shards: int = 8, path: str | None = None, **options) -> str:

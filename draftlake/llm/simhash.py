@@ -7,9 +7,10 @@ parent and a search follows only the edges within the radius. A tree over all do
 size, so trees go to their shard's rows instead of being broadcast. A shard gives a spanning forest of its links, at
 most one edge for each fingerprint, never all pairs; the forests are joined by connected components.
 
-Defined cases: text without words (null, empty, white space) has fingerprint zero and links like any other; equal rows
-each get a row; rows without doc_id link too but never name a component unless all of it lacks one; an empty table
-gives no rows.
+Defined cases: text without words (null, empty, white space) has fingerprint zero and links like any other; a very long
+text is read whole, its shingles some thousands at a time; equal rows each get a row; rows without doc_id link too but never
+name a component unless all of it lacks one; an empty table gives no rows; only doc_id and text are read, so that other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import components, stored
+from draftlake.llm.common import components, discard, join_by, smallest_of_component, stored
 
 RADIUS = 4
-#: Shard keys are pairs of blocks of 10 or 11 bits, two million values for each of 15 choices; raise with the corpus.
-BLOCKS = 6
+#: With six blocks, shard keys are pairs of blocks of 10 or 11 bits, two million values for each of 15 choices. More blocks, and longer
+#: keys, are taken where a key would have more fingerprints than SHARD_ROWS on average.
+LEAST_BLOCKS, SHARD_ROWS = 6, 500
 #: near_copies: the trees' radius (at Jaccard 0.8 the mean distance is 9.7, its deviation 2.9), bands, and MinHashes in each: at 0.8, 0.02 % of pairs share none.
 WIDE_RADIUS, BANDS, BAND_ROWS = 22, 28, 6
 
@@ -70,30 +72,75 @@ class BKTree:
     def __init__(self, radius: int):
         self.radius, self.root = radius, None
 
-    def add(self, x: int) -> list[int]:
-        """Adds x; returns what the tree already held within the radius of it."""
-        if self.root is None:
-            self.root = (x, {})
-            return []
-        near, radius, todo, here = [], self.radius, [self.root], None
+    def near(self, x: int) -> list[int]:
+        """What the tree holds within the radius of x: only the edges that the triangle inequality allows are followed."""
+        found, radius, todo = [], self.radius, [self.root] if self.root else []
         while todo:
-            value, children = node = todo.pop()
+            value, children = todo.pop()
             d = (value ^ x).bit_count()
             if d <= radius:
-                near.append(value)
+                found.append(value)
             for k, child in children.items():
                 if d - radius <= k <= d + radius:
                     todo.append(child)
-            if node is self.root:
-                here = node
-        value, children = here
+        return found
+
+    def insert(self, x: int) -> None:
+        if self.root is None:
+            self.root = (x, {})
+            return
+        value, children = self.root
         while (d := (value ^ x).bit_count()) in children:
             value, children = children[d]
         if d:
             children[d] = (x, {})
+
+    def add(self, x: int) -> list[int]:
+        """Adds x; returns what the tree already held within the radius of it."""
+        near = self.near(x)
+        self.insert(x)
         return near
 
 
+class Links:
+    """A spanning forest of the links within `radius` between the values added, all of one shard.
+
+    The tree holds pivots. A value within half the radius of a pivot is in its ball, linked to it, and so to all of its ball. Other
+    balls are near enough only if their pivots are within the radius and a half; those of the value's own component need no look,
+    so many values near each other cost a search among few pivots each and not all their pairs.
+    """
+
+    def __init__(self, radius: int):
+        self.radius, self.half = radius, radius // 2
+        self.tree, self.balls, self.parent = BKTree(radius + self.half), {}, {}
+
+    def find(self, p: int) -> int:
+        while self.parent[p] != p:
+            self.parent[p] = self.parent[self.parent[p]]
+            p = self.parent[p]
+        return p
+
+    def add(self, x: int):
+        """Yields the new links of x."""
+        near = sorted(self.tree.near(x), key=lambda p: (p ^ x).bit_count())
+        if near and (near[0] ^ x).bit_count() <= self.half:
+            own = near[0]
+            if own == x:
+                return
+            self.balls[own].append(x)
+            yield x, own
+        else:
+            own = x
+            self.tree.insert(x)
+            self.balls[x], self.parent[x] = [x], x
+        for p in near:
+            if self.find(p) != self.find(own):
+                y = next((y for y in self.balls[p] if (y ^ x).bit_count() <= self.radius), None)
+                if y is not None:
+                    self.parent[self.find(p)] = self.find(own)
+                    yield x, y
+
+
 def masks(blocks: int, radius: int) -> list[int]:
     """The bits of each shard key."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
@@ -106,14 +153,7 @@ def shard_links(rows, radius: int):
     import numpy as np
     import pyarrow as pa
 
-    tree, parent, here, mask64 = None, {}, None, (1 << 64) - 1
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    found, here, mask64 = None, None, (1 << 64) - 1
     for batch in rows:
         shard, key, prints = (batch.column(i).to_numpy() for i in range(3))
         starts = np.r_[0, np.flatnonzero((shard[1:] != shard[:-1]) | (key[1:] != key[:-1])) + 1, len(shard)]
@@ -122,25 +162,19 @@ def shard_links(rows, radius: int):
             if i == j:
                 continue
             if here != (shard[i], key[i]):
-                here, tree, parent = (shard[i], key[i]), None, {}
+                here, found = (shard[i], key[i]), None
                 if j - i == 1 and j < len(shard):
                     continue
-            if tree is None:
-                tree = BKTree(radius)
+            if found is None:
+                found = Links(radius)
             for x in prints[i:j].tolist():
-                x &= mask64
-                near = tree.add(x)
-                parent.setdefault(x, x)
-                for y in near:
-                    p, q = find(x), find(y)
-                    if p != q:
-                        parent[p] = q
-                        a.append(x - (1 << 64) if x >> 63 else x)
-                        b.append(y - (1 << 64) if y >> 63 else y)
+                for v, w in found.add(x & mask64):
+                    a.append(v - (1 << 64) if v >> 63 else v)
+                    b.append(w - (1 << 64) if w >> 63 else w)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, blocks: int = LEAST_BLOCKS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all that lie within the radius."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(blocks, radius)]
     key = lambda i, m: F.struct(F.lit(i).alias("shard"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key"))
@@ -149,16 +183,19 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Data
     return dealt.mapInArrow(lambda it: shard_links(it, radius), "a long, b long")
 
 
-def classes(docs: DataFrame, words: int = 4, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(prints: int, radius: int = RADIUS) -> int:
+    """The fewest blocks, LEAST_BLOCKS or more, of which a shard key's bits leave SHARD_ROWS fingerprints to a key, were they spread evenly."""
+    return next((b for b in range(max(LEAST_BLOCKS, radius + 1), 16) if prints <= SHARD_ROWS << (b - radius) * 64 // b), 16)
+
+
+def classes(docs: DataFrame, words: int = 4, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint: long, component_id: the smallest doc_id that links reach) for every row of docs."""
     prints = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "classes")
-    joined = components(links(distinct, radius, blocks))
-    grouped = distinct.join(joined, distinct["fingerprint"] == joined["node"], "left")
-    grouped = grouped.select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = stored(grouped.join(least, "component").select("fingerprint", "component_id"), "components")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "classes")
+    joined = components(links(distinct, radius, blocks or blocks_for(distinct.count(), radius)))
+    nodes = distinct.select(F.col("fingerprint").alias("node"), "component_id", "n")
+    named = stored(smallest_of_component(nodes, joined, "component_id").withColumnRenamed("node", "fingerprint"), "components")
+    return join_by(prints, named, "fingerprint", "n").select("doc_id", "fingerprint", "component_id")
 
 
 def hex16(value: Column) -> Column:
@@ -290,9 +327,9 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, component_id: the smallest doc_id that pairs of that similarity reach) for every row of docs."""
     rows = stored(sketches(docs, words), "sketches")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("text_key", "size", "fingerprint", "bands")]), "nodes")
-    forest = stored(candidates(nodes.withColumn("label", F.col("node")), percent, True), "forest")
-    near = stored(nodes.join(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "near")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("text_key", "size", "fingerprint", "bands")]), "nodes")
+    forest = stored(candidates(nodes.drop("component_id", "n").withColumn("label", F.col("node")), percent, True), "forest")
+    near = stored(nodes.drop("component_id", "n").join(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "near")
     sets = stored(whole_sets(docs, near.select("node", "text_key"), words), "sets")
     found = stored(checked(forest, sets, percent), "checked")
     pairs = found.where("holds").select("a", "b")
@@ -301,10 +338,9 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         left = near.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
         more = stored(candidates(left, percent, False).join(found, ["a", "b"], "left_anti"), "pairs")
         joined = components(pairs.union(checked(more, sets, percent).where("holds").select("a", "b")))
-    grouped = nodes.join(joined, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = stored(grouped.join(least, "component").select("node", "component_id"), "components")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    discard(forest, near, sets)
+    named = stored(smallest_of_component(nodes.select("node", "component_id", "n"), joined, "component_id"), "components")
+    return join_by(rows.select("doc_id", "node"), named, "node", "n").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

@@ -7,9 +7,11 @@ broadcast, so the reference is cut into shards by content, and documents meet th
 1. Winnowing picks an anchor for every window: the k-gram of least hash among those in it. Equal windows have equal
    anchors. Anchors that stand in one document only cannot be part of a repeat; the others are told to their documents,
    with the first document that has them.
-2. Documents emit segments, the words of neighbouring windows whose anchors have the same first document, to the shard
-   of that document; equal segments of a batch leave it once, with the list of their places. Windows with anchors of
-   more than HOT documents are dealt by their own words, so that a common line does not gather all its contexts.
+2. Documents emit segments, the words of neighbouring windows whose anchors are in the same shard, to that shard: it
+   belongs to the anchors' first document, or to a share of its anchors where they stand in many places, so that shards are
+   bounded; equal segments of a batch leave it once, with the list of their places. Windows with anchors of more than HOT
+   documents are dealt by their own words and settled by equality of the window, for whose words no automaton is needed: so a
+   common line does not gather all its contexts in one.
 3. The segments of a shard make one suffix automaton, built in ascending order of doc_id, with the smallest doc_id of
    each state. Segments stream through it; where the match is as long as a window, its state says which document had the
    window first.
@@ -18,7 +20,7 @@ broadcast, so the reference is cut into shards by content, and documents meet th
 `remove_known` is the same for a bounded reference set: automata of its shards are broadcast, with a check of the size.
 
 Defined cases: a null text has no words; a null doc_id counts as larger than any other, and rows without one do not
-remove each other's words, nor do rows of one doc_id; a text without removed words stays byte for byte; equal rows give
+remove each other's words, nor do rows of one doc_id; a very long text is read whole; a text without removed words stays byte for byte; equal rows give
 equal rows; clashing columns of the input become input_<name>.
 """
 
@@ -32,9 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftlake.llm.common import apart
+from draftlake.llm.common import apart, stored
 
 LENGTH, GRAM, HOT = 13, 6, 1000
+#: Places of anchors in a shard, about; each stands for some ten words.
+SHARD_ENTRIES = 10_000
 NO_ID = (1 << 63) - 1
 #: Words of a reference that remove_known broadcasts at most, and words of one automaton.
 KNOWN_WORDS, SHARD_WORDS = 1_000_000, 50_000
@@ -182,14 +186,23 @@ def _anchors_of(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(_doc, _shared, _first, _hot): the anchors of each document that other documents have too, the first of these documents and
-    whether there are many. A window of the plan holds one row of an anchor for each batch at most."""
-    by = Window.partitionBy("h")
-    rows = rows.withColumn("lo", F.min("first").over(by)).withColumn("hi", F.max("first").over(by)).withColumn("n", F.sum(F.lit(1) + F.coalesce(F.size("others"), F.lit(0))).over(by))
-    rows = rows.where("lo < hi OR others IS NOT NULL")
-    each = rows.select("h", "lo", (F.col("n") > HOT).alias("hot"), F.explode(F.concat(F.array("first"), F.coalesce("others", F.array().cast("array<long>")))).alias("_doc"))
-    lists = each.groupBy("_doc").agg(F.collect_list(F.struct("h", "lo", "hot")).alias("_l"))
-    return lists.select("_doc", F.col("_l.h").alias("_shared"), F.col("_l.lo").alias("_first"), F.col("_l.hot").alias("_hot"))
+    """(_doc, _shared, _first, _hot): the anchors of each document that other documents have too, the shard of each anchor, and
+    whether many documents have it.
+
+    First and number of an anchor's documents are aggregates, joined to its rows again; no window holds an anchor's rows. The shard is
+    the first document that has the anchor; where that document's anchors have more than SHARD_ENTRIES places in all, they are dealt to so
+    many shards as keeps each to that (an anchor that is not hot has HOT places at most).
+    """
+    size = F.lit(1) + F.coalesce(F.size("others"), F.lit(0))
+    known = rows.groupBy("h").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.sum(size).alias("n")).where("lo < hi OR n > 1")
+    known = stored(known.select("h", "lo", "n", (F.col("n") > HOT).alias("hot")), "anchors")
+    parts = known.where("NOT hot").groupBy("lo").agg(F.ceil(F.sum("n") / SHARD_ENTRIES).alias("parts")).where("parts > 1")
+    known = known.join(parts, "lo", "left")
+    key = F.when(F.col("parts").isNull(), F.col("lo")).otherwise(F.xxhash64("lo", F.pmod(F.xxhash64("h"), F.col("parts"))))
+    found = rows.join(known.select("h", key.alias("key"), "hot"), "h")
+    each = found.select("h", "key", "hot", F.explode(F.concat(F.array("first"), F.coalesce("others", F.array().cast("array<long>")))).alias("_doc"))
+    lists = each.groupBy("_doc").agg(F.collect_list(F.struct("h", "key", "hot")).alias("_l"))
+    return lists.select("_doc", F.col("_l.h").alias("_shared"), F.col("_l.key").alias("_first"), F.col("_l.hot").alias("_hot"))
 
 
 def _settle(held: dict, length: int) -> list:
@@ -373,7 +386,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, their texts without repeated windows, with n_words, n_removed and kept_sha256 (of the kept words, joined by one space)."""
     docs = apart(docs, [f.name for f in NEW] + ["_doc", "_row", "_shared", "_first", "_hot", "_spans"])
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_row", F.xxhash64("doc_id", "text"))
-    shared = _shared(_anchors_of(keyed, length))
+    shared = _shared(stored(_anchors_of(keyed, length), "anchors"))
     dealt = keyed.repartition("_doc")  # both joins below read this exchange
     segments = _segments(dealt.join(shared, "_doc", "left"), length)
     spans = _spans(segments, length)

@@ -8,7 +8,7 @@ it against the header's; `records` joins headers and payloads to the original by
 
 Defined cases: a null html is an empty payload; a null url leaves out the target header; rows of one page_id make one
 record each, and all rows of the smallest page_id are responses; a null page_id counts as larger than any other and
-is written as `none`; an empty table gives an empty archive; other columns of the input are left out.
+is written as `none`; a very long html is a payload like any other; an empty table gives an empty archive; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import new_path
+from draftlake.llm.common import join_by, new_path
 
 REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,9 +46,9 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
     path = path or new_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("_size"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("_first"))
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
     revisit = (F.col("_size") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    headers = rows.join(first, "digest").withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
+    headers = join_by(rows, first, "digest", "_n").withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     headers.select("page_id", "digest", _header().cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     payloads = pages.select(F.sha2(html, 256).alias("digest"), html.alias("payload")).dropDuplicates(["digest"])
     payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
@@ -73,7 +73,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Refers-To", r"<urn:page:(-?\d+)>").cast("long").alias("refers_to"),
     )
     kept = payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    return rows.join(kept, "digest", "left").select("page_id", "record_type", "payload_digest", "payload_bytes", F.coalesce(F.col("payload_digest") == F.col("_said"), F.lit(False)).alias("verified"), "refers_to")
+    times = headers.groupBy("digest").agg(F.count("*").alias("_n"))
+    found = join_by(rows, times.join(kept, "digest", "left"), "digest", "_n")
+    verified = F.coalesce(F.col("payload_digest") == F.col("_said"), F.lit(False))
+    return found.select("page_id", "record_type", "payload_digest", "payload_bytes", verified.alias("verified"), "refers_to")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
