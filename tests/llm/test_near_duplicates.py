@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from draftlake.llm import pq, simhash, substrings
@@ -48,6 +50,8 @@ def test_repeated_windows(spark, wide, none, rows, tmp_path, monkeypatch):
     wide.write.parquet(f"{tmp_path}/documents.parquet")
     want = sorted(map(str, brute_windows(rows)))
     assert sorted(map(str, map(tuple, op4_suffix_automaton(spark, str(tmp_path)).collect()))) == want
+    monkeypatch.setattr(substrings, "SHARD_ENTRIES", 3)  # shards of a share of a document's anchors
+    assert sorted(map(str, map(tuple, op4_suffix_automaton(spark, str(tmp_path)).collect()))) == want
     monkeypatch.setattr(substrings, "HOT", 2)  # the way of very common anchors
     assert sorted(map(str, map(tuple, op4_suffix_automaton(spark, str(tmp_path)).collect()))) == want
     out = substrings.dedup(wide)
@@ -122,6 +126,20 @@ def test_links_of_dense_fingerprints(spark, sets):
     assert groups(got) == groups(sets)
 
 
+def test_many_near_fingerprints_are_cheap():
+    """Values that are all near each other: searches meet pivots, not all pairs."""
+    rng = random.Random(3)
+    values = {sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for _ in range(20_000)}
+    found, joined = simhash.Links(4), 0
+    began = time.time()
+    for x in values:
+        for a, b in found.add(x):
+            assert (a ^ b).bit_count() <= 4
+            joined += 1
+    assert joined == len(values) - 1 and time.time() - began < 60
+    assert simhash.blocks_for(10**6) == 6 and simhash.blocks_for(10**11) > 6
+
+
 def test_near_copies_equal_brute_force(spark, sets):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(3000)]
@@ -185,3 +203,46 @@ def test_product_quantisation(spark, tmp_path, sets):
     assert all(r.n_links <= by[r.vec_id][1] for r in got)
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq.near_duplicates(none).count() == 0
+
+
+def test_vectors_of_all_lengths_and_sizes(spark, sets):
+    rng = np.random.default_rng(4)
+    rows, of = [], {}
+    for dims, n in ((16, 120), (2, 30), (3, 5), (1, 4), (7, 1)):
+        base = rng.normal(size=(n, dims))
+        for v in np.concatenate([base, base + rng.normal(size=base.shape) * 0.1]):
+            rows.append((len(rows), (v * 10.0 ** rng.choice([-200, 0, 200, -307, 300])).tolist()))
+    rows += [(len(rows), rows[0][1]), (len(rows) + 1, [1e308] * 16), (len(rows) + 2, [5e-324, 0.0]), (7, [3.0, 4.0])]  # a vec_id twice
+    u = [np.array(v) / np.abs(v).max() for _, v in rows]
+    u = [x / np.linalg.norm(x) for x in u]
+    degree = [0] * len(rows)
+    for i, a in enumerate(u):
+        for j, b in enumerate(u[:i]):
+            if len(a) == len(b) and a @ b >= 0.9:
+                degree[i] += 1
+                degree[j] += 1
+                sets.join(i, j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[sets.find(i)] = min(least.get(sets.find(i), k), k)
+    want = [(k, degree[i], least[sets.find(i)], k == least[sets.find(i)]) for i, (k, _) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("mine"))
+    got = pq.near_duplicates(df, probes=1000, list_rows=20)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and sum(degree) > 200
+
+
+def test_recall_of_many_lists():
+    """Clusters of near vectors among many lists, found in two levels: of the links, 0.9 at least are found from either side."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4000, 32))
+    x = pq.unit(np.repeat(base, 4, axis=0) + rng.normal(size=(16000, 32)) * 0.2)
+    index = pq.fit(x[:8000], 1024)
+    near, _, _ = pq.encode(x, index)
+    found = links = 0
+    for i in range(0, len(x), 4):
+        for a in range(i, i + 4):
+            for b in range(i, a):
+                if x[a] @ x[b] >= 0.9:
+                    links += 1
+                    found += near[a, 0] in near[b] or near[b, 0] in near[a]
+    assert len(index.centres) > 900 and links > 10_000 and found >= 0.9 * links
