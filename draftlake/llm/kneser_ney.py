@@ -1,24 +1,30 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
-
-Trusted documents are all those labelled quality 1 and not toxic. Their n-grams of the highest order are counted where
-they are read and summed by n-gram; each lower order counts the distinct n-grams that continue to it. Discounts come
-from the counts of counts of each order, and joins of each order with its contexts and with the order below give the
-probabilities. A document's score is its mean negative log-likelihood for each byte (the logarithm of its
-perplexity). A document is rejected above its threshold: a quantile of the scores of all trusted documents of its language
-and size class (doublings of UTF-8 bytes: scores of long texts spread far less than those of short ones), plus a slack.
-Classes with few trusted documents take the quantile of the language, languages with few the one over all of them.
-
-The model is broadcast while it has at most BROADCAST_ENTRIES entries (checked); beyond that, distinct n-grams of the
-documents are scored by joins with the sharded tables, and documents join those scores.
-
-Defined cases: a null text is an empty one, scored for its end mark alone and so, as a
-rule, rejected; a null language is a language of its own;
-without trusted documents nothing is rejected; label rows of one doc_id must all trust it; equal rows score alike;
-clashing columns of the input become input_<name>.
+"""Quality classifier: interpolated modified Kneser-Ney models of byte n-grams, trained on trusted text.
+
+Trusted documents are all those labelled quality 1 and not toxic. Documents are dealt to two folds by their text, and each
+fold is scored by the model that the other fold's trusted documents make: so no document, nor a copy of it, is scored by a
+model that has seen it, and scores of trusted documents are worth as much as those of others.
+
+N-grams of the highest order are counted where they are read and summed by n-gram; each lower order counts the distinct
+n-grams that continue to it. Discounts come from the counts of counts of each order, and joins of each order with its contexts
+and with the order below give the probabilities. A document's score is its mean negative log-likelihood for each byte (the
+logarithm of its perplexity). A document is rejected above its threshold: a quantile of the scores of all trusted documents of its
+language and size class (doublings of UTF-8 bytes: scores of long texts spread far less than those of short ones). Classes
+with few trusted documents take the quantile of the language, languages with few the one over all of them.
+
+Scoring joins documents with the sharded tables of the model: documents are dealt to chunks of CHUNK_BYTES, each chunk asks
+once for each of its n-grams, the distinct n-grams are looked up by joins, order by order, and the answers go back to
+their chunks. A common n-gram is asked for once by a chunk, so that no key gathers all documents. While the model has at most
+BROADCAST_ENTRIES entries (counted, not guessed) it is broadcast instead, which gives the same scores and spares the texts a shuffle.
+
+Defined cases: a null text is an empty one, scored for its end mark alone; a very long text is counted and scored in slices
+of SLICE bytes; a null language is a language of its own; without trusted documents nothing is rejected, and a fold that has none
+leaves every byte equally likely to the other; label rows of one doc_id must all trust it; equal texts score alike, and a
+score equal to the threshold is kept; an empty table gives no rows; clashing columns of the input become input_<name>.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -32,16 +38,21 @@ ORDER = 5
 PAD, END = b"\n", b"\0"
 BROADCAST_ENTRIES = 3_000_000
 SLICE = 1 << 19  # bytes that are scored or counted at once
+CHUNK_BYTES = 16 << 20  # of documents that ask the sharded model together
 TAG = 56  # an n-gram's order stands in the bits from here on
 
 
 @dataclass(frozen=True)
 class Rule:
     quantile: float = 0.995
-    slack: float = 0.15  # nats for each byte
+    slack: float = 0.0  # nats for each byte, on top
     least_trusted: int = 50  # documents of a size class, or of a language
 
 
+def fold(text: str = "text") -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), F.coalesce(text, F.lit(""))), F.lit(2)).cast("int")
+
+
 def _keys(data: bytes, order: int = ORDER):
     """The n-grams (as integers) that end at each byte but the first order - 1."""
     import numpy as np
@@ -62,38 +73,49 @@ def _slices(text: str | None, order: int = ORDER):
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(gram, c): counts of the n-grams of highest order in all texts."""
+    """(m, gram, c): counts of the n-grams of highest order in all texts of each fold m (a column of docs)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        grams, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def merged():
-            own, n = np.unique(np.concatenate([_keys(x) for x in held]), return_counts=True)
-            both, at = np.unique(np.concatenate([grams, own]), return_inverse=True)
-            return both, np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-
-        def out():
-            for i in range(0, len(grams), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + (1 << 16)].astype(np.int64)), pa.array(counts[i : i + (1 << 16)])], ["gram", "c"])
+        class Counts:
+            def __init__(self):
+                self.grams, self.counts, self.held, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+            def add(self, part):
+                self.held.append(part)
+                self.size += len(part)
+                if self.size >= 4 * SLICE:
+                    self.merge()
+
+            def merge(self):
+                if self.held:
+                    own, n = np.unique(np.concatenate([_keys(x) for x in self.held]), return_counts=True)
+                    both, at = np.unique(np.concatenate([self.grams, own]), return_inverse=True)
+                    self.counts = np.bincount(at, weights=np.concatenate([self.counts, n]), minlength=len(both)).astype(np.int64)
+                    self.grams, self.held, self.size = both, [], 0
+
+        folds = {}
+
+        def out(least):
+            for m, f in folds.items():
+                if least == 0:
+                    f.merge()
+                if len(f.grams) > least:
+                    for i in range(0, len(f.grams), 1 << 16):
+                        grams, counts = f.grams[i : i + (1 << 16)].astype(np.int64), f.counts[i : i + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), m, np.int32)), pa.array(grams), pa.array(counts)], ["m", "gram", "c"])
+                    f.grams, f.counts = f.grams[:0], f.counts[:0]
 
         for batch in batches:
-            for text in batch.column("text"):
+            for m, text in zip(batch.column("m").to_pylist(), batch.column("text"), strict=True):
                 for part in _slices(text.as_py()):
-                    held.append(part)
-                    size += len(part)
-                    if size >= 4 * SLICE:
-                        (grams, counts), held, size = merged(), [], 0
-            if len(grams) > 2_000_000:
-                yield from out()
-                grams, counts = grams[:0], counts[:0]
-        if held:
-            grams, counts = merged()
-        yield from out()
+                    folds.setdefault(m, Counts()).add(part)
+            yield from out(1_000_000)
+        yield from out(0)
 
-    return docs.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return docs.select("m", "text").mapInArrow(run, "m int, gram long, c long").groupBy("m", "gram").agg(F.sum("c").alias("c"))
 
 
 def _low(gram: Column | str, order: int) -> Column:
@@ -112,26 +134,31 @@ def _discounts(ones: list[int]) -> list[float]:
 
 
 def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(probabilities: n, gram, value; back-offs: n, gram, value): natural logarithms, by order of n-gram or context."""
-    levels = {ORDER: stored(count_ngrams(trusted), "grams")}
+    """(probabilities: m, n, gram, value; back-offs: m, n, gram, value) of trusted (text): natural logarithms, by order of n-gram or
+    context, of the model that scores fold m and has seen the other."""
+    other = trusted.select((1 - fold()).alias("m"), "text")
+    levels = {ORDER: stored(count_ngrams(other), "grams")}
     for n in range(ORDER - 1, 0, -1):
-        levels[n] = stored(levels[n + 1].select(_low("gram", n).alias("gram")).groupBy("gram").agg(F.count("*").alias("c")), "grams")
+        levels[n] = stored(levels[n + 1].select("m", _low("gram", n).alias("gram")).groupBy("m", "gram").agg(F.count("*").alias("c")), "grams")
     below, probabilities, backs = None, [], []
     for n in range(1, ORDER + 1):
         counts = levels[n]
-        d = _discounts(list(counts.agg(*[F.sum((F.col("c") == i).cast("long")) for i in (1, 2, 3, 4)]).first()))
-        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        ones = counts.groupBy("m").agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()  # two rows
+        cut = F.lit(None).cast("double")
+        for row in ones:
+            d = _discounts([row[f"n{i}"] for i in (1, 2, 3, 4)])
+            cut = F.when(F.col("m") == row["m"], F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])).otherwise(cut)
         rows = counts.withColumn("context", F.shiftright("gram", 8)).withColumn("cut", cut)
-        contexts = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("given"))
-        contexts = stored(contexts.select("context", "total", (F.col("given") / F.col("total")).alias("back")), "contexts")
-        rows = rows.join(contexts, "context").withColumn("low", _low("gram", n - 1) if n > 1 else F.lit(0).cast("long"))
-        rows = rows.withColumn("p_low", F.lit(1 / 256)) if below is None else rows.join(below, "low")
-        below = stored(rows.select("gram", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("back") * F.col("p_low")).alias("p_low")), "probabilities")
-        probabilities.append(below.select(F.lit(n).alias("n"), "gram", F.log("p_low").alias("value")))
-        backs.append(contexts.select(F.lit(n - 1).alias("n"), F.col("context").alias("gram"), F.log("back").alias("value")))
+        contexts = rows.groupBy("m", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("given"))
+        contexts = stored(contexts.select("m", "context", "total", (F.col("given") / F.col("total")).alias("back")), "contexts")
+        rows = rows.join(contexts, ["m", "context"]).withColumn("low", _low("gram", n - 1) if n > 1 else F.lit(0).cast("long"))
+        rows = rows.withColumn("p_low", F.lit(1 / 256)) if below is None else rows.join(below, ["m", "low"])
+        p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("back") * F.col("p_low")
+        below = stored(rows.select("m", "gram", p.alias("p_low")), "probabilities")
+        probabilities.append(below.select("m", F.lit(n).alias("n"), "gram", F.log("p_low").alias("value")))
+        backs.append(contexts.select("m", F.lit(n - 1).alias("n"), F.col("context").alias("gram"), F.log("back").alias("value")))
         below = below.withColumnRenamed("gram", "low")
-    every = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(every(frames[1:]))
-    return every(probabilities), every(backs)
+    return functools.reduce(DataFrame.union, probabilities), functools.reduce(DataFrame.union, backs)
 
 
 class Lookup:
@@ -174,30 +201,11 @@ class Lookup:
         return self.values[at], found
 
 
-class Model:
-    def __init__(self, probabilities, backs):
-        """Arrow tables of n, gram, value."""
-        import numpy as np
-
-        def lookup(t):
-            n, gram = t.column("n").to_numpy().astype(np.uint64), t.column("gram").to_numpy().astype(np.uint64)
-            return Lookup(n << np.uint64(TAG) | gram, t.column("value").to_numpy())
-
-        self.probabilities, self.backs = lookup(probabilities), lookup(backs)
+class Scorer:
+    """Scores of texts, from the log-likelihoods of arrays of n-grams."""
 
     def log_likelihoods(self, keys):
-        import numpy as np
-
-        out, left = np.zeros(len(keys)), np.arange(len(keys))
-        for n in range(ORDER, 0, -1):
-            own = keys[left] & np.uint64((1 << 8 * n) - 1)
-            value, found = self.probabilities.get(own | np.uint64(n << TAG))
-            out[left[found]] += value[found]
-            left, own = left[~found], own[~found]
-            value, found = self.backs.get(own >> np.uint64(8) | np.uint64((n - 1) << TAG))
-            out[left] += np.where(found, value, 0.0)
-        out[left] -= math.log(256)
-        return out
+        raise NotImplementedError
 
     def scores(self, texts: list[str | None]) -> list[float]:
         """Mean negative log-likelihood of each text's bytes and its end."""
@@ -227,60 +235,134 @@ class Model:
         return (-sums / np.maximum(sizes, 1)).round(6).tolist()
 
 
+class Model(Scorer):
+    def __init__(self, probabilities, backs):
+        """Arrow tables of n, gram, value."""
+        import numpy as np
+
+        def lookup(t):
+            n, gram = t.column("n").to_numpy().astype(np.uint64), t.column("gram").to_numpy().astype(np.uint64)
+            return Lookup(n << np.uint64(TAG) | gram, t.column("value").to_numpy())
+
+        self.probabilities, self.backs = lookup(probabilities), lookup(backs)
+
+    def log_likelihoods(self, keys):
+        import numpy as np
+
+        out, left = np.zeros(len(keys)), np.arange(len(keys))
+        for n in range(ORDER, 0, -1):
+            own = keys[left] & np.uint64((1 << 8 * n) - 1)
+            value, found = self.probabilities.get(own | np.uint64(n << TAG))
+            out[left[found]] += value[found]
+            left, own = left[~found], own[~found]
+            value, found = self.backs.get(own >> np.uint64(8) | np.uint64((n - 1) << TAG))
+            out[left] += np.where(found, value, 0.0)
+        out[left] -= math.log(256)
+        return out
+
+
+class Answers(Scorer):
+    """The log-likelihoods that a chunk has asked for."""
+
+    def __init__(self, grams, values):
+        import numpy as np
+
+        self.known = Lookup(np.asarray(grams).astype(np.uint64), np.asarray(values))
+
+    def log_likelihoods(self, keys):
+        values, found = self.known.get(keys)
+        if not found.all():
+            raise ValueError("an n-gram of a chunk has no answer")
+        return values
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id")
 
 
 def _scored_here(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Model(*(x.toArrow() for x in model)))
+    models = {m: Model(*(x.where(F.col("m") == m).toArrow() for x in model)) for m in (0, 1)}
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    names = docs.columns
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                scores = shared.value.scores(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "log_ppl"])
+                texts, folds, scores = part.column("text").to_pylist(), part.column("_m").to_numpy(), np.zeros(part.num_rows)
+                for m in (0, 1):
+                    at = np.flatnonzero(folds == m)
+                    scores[at] = shared.value[m].scores([texts[k] for k in at.tolist()])
+                yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(scores, pa.float64())], [*names, "log_ppl"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("log_ppl", T.DoubleType())]))
+    return docs.withColumn("_m", fold()).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("log_ppl", T.DoubleType())]))
+
+
+def _answers(asked: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(m, gram, value) for the distinct n-grams of highest order that are asked for (m, gram): joins from the highest order down, each with
+    what no higher order knew."""
+    left, done = asked.select("m", "gram").distinct().withColumn("sum", F.lit(0.0)), []
+    probabilities, backs = model
+    for n in range(ORDER, 0, -1):
+        own = probabilities.where(F.col("n") == n).select("m", F.col("gram").alias("_low"), "value")
+        back = backs.where(F.col("n") == n - 1).select("m", F.col("gram").alias("_context"), F.col("value").alias("_back"))
+        found = stored(left.withColumn("_low", _low("gram", n)).join(own, ["m", "_low"], "left"), "found")
+        done.append(found.where("value IS NOT NULL").select("m", "gram", (F.col("sum") + F.col("value")).alias("value")))
+        missed = found.where("value IS NULL").withColumn("_context", F.shiftright("_low", 8)).join(back, ["m", "_context"], "left")
+        left = missed.select("m", "gram", (F.col("sum") + F.coalesce("_back", F.lit(0.0))).alias("sum"))
+    known = left.select("m", "gram", (F.col("sum") - math.log(256)).alias("value"))
+    return functools.reduce(DataFrame.union, done, known)
 
 
 def _scored_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """As _scored_here, with no table in memory. Rows are told apart by their position, which the stored copy fixes."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    """As _scored_here, with no table of the model in memory. Chunks are dealt by the position of a row, which the stored copy fixes."""
+    names = docs.columns
+    size = docs.agg(F.sum(utf8_size(F.col("text")) + 1)).first()[0] or 0
+    chunk = 2 * F.pmod(F.xxhash64("_row"), F.lit(max(1, size // (2 * CHUNK_BYTES)))) + F.col("_m")
+    rows = stored(docs.withColumns({"_row": F.monotonically_increasing_id(), "_m": fold()}), "rows").withColumn("_s", chunk)
 
-    def run(batches):
+    def ask(t):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for row, text in zip(batch.column("_row").to_pylist(), batch.column("text"), strict=True):
-                for part in _slices(text.as_py()):
-                    grams, counts = np.unique(_keys(part), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row)), pa.array(grams.astype(np.int64)), pa.array(counts.astype(np.int64))], ["_row", "gram", "k"])
+        grams = np.zeros(0, np.uint64)
+        for part in _joined_slices(t["text"]):
+            grams = np.union1d(grams, _keys(part))
+        return pa.Table.from_pydict({"_s": pa.array(np.full(len(grams), t["_s"][0].as_py())), "m": pa.array(np.full(len(grams), t["_m"][0].as_py(), np.int32)), "gram": pa.array(grams.astype(np.int64))})
 
-    asked = stored(rows.select("_row", "text").mapInArrow(run, "_row long, gram long, k long"), "asked")
-    left, done = asked.select("gram").distinct().withColumn("sum", F.lit(0.0)), []
-    probabilities, backs = model
-    for n in range(ORDER, 0, -1):
-        own = probabilities.where(F.col("n") == n).select(F.col("gram").alias("_low"), "value")
-        back = backs.where(F.col("n") == n - 1).select(F.col("gram").alias("_context"), F.col("value").alias("_back"))
-        found = stored(left.withColumn("_low", _low("gram", n)).join(own, "_low", "left"), "found")
-        done.append(found.where("value IS NOT NULL").select("gram", (F.col("sum") + F.col("value")).alias("sum")))
-        missed = found.where("value IS NULL").withColumn("_context", F.shiftright("_low", 8)).join(back, "_context", "left")
-        left = missed.select("gram", (F.col("sum") + F.coalesce("_back", F.lit(0.0))).alias("sum"))
-    known = left.withColumn("sum", F.col("sum") - math.log(256))
-    for part in done:
-        known = known.union(part)
-    sums = asked.join(known, "gram").groupBy("_row").agg(F.round(-F.sum(F.col("sum") * F.col("k")) / F.sum("k"), 6).alias("log_ppl"))
-    return rows.join(sums, "_row").drop("_row")
+    asked = stored(rows.select("_s", "_m", "text").groupBy("_s").applyInArrow(ask, "_s long, m int, gram long"), "asked")
+    values = stored(asked.join(_answers(asked, model), ["m", "gram"]).select("_s", "gram", "value"), "answers")
+
+    def answer(mine, theirs):
+        import pyarrow as pa
+
+        known = Answers(theirs["gram"].to_numpy(), theirs["value"].to_numpy())
+        return mine.select(names).append_column("log_ppl", pa.array(known.scores(mine["text"].to_pylist()), pa.float64()))
+
+    return rows.groupBy("_s").cogroup(values.groupBy("_s")).applyInArrow(answer, T.StructType([*docs.schema.fields, T.StructField("log_ppl", T.DoubleType())]))
+
+
+def _joined_slices(texts):
+    """Slices of all texts, joined to parts of some SLICE bytes; n-grams that stretch over two texts are asked for in vain."""
+    held, size = [], 0
+    for text in texts:
+        for part in _slices(text.as_py()):
+            held.append(part)
+            size += len(part)
+            if size >= 4 * SLICE:
+                yield b"".join(held)
+                held, size = [], 0
+    if held:
+        yield b"".join(held)
 
 
 def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """docs with log_ppl."""
-    docs = apart(docs, ["log_ppl"])
+    docs = apart(docs, ["log_ppl", "_m", "_s", "_row"])
     small = sum(x.count() for x in model) <= broadcast_entries
     return (_scored_here if small else _scored_by_joins)(docs, model)
 
@@ -317,10 +399,16 @@ def thresholds(scores: DataFrame, trusted: DataFrame, rule: Rule = Rule()) -> Da
     return stored(limits.select("lang", "size_class", (at + rule.slack).alias("threshold")), "thresholds")
 
 
+def model_of(docs: DataFrame, labels: DataFrame) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+    """(model, ids of trusted documents)."""
+    good = trusted_ids(labels)  # grows with the corpus: joined the same way at every size, not broadcast while it is small
+    trusted = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
+    return tuple(stored(x, "model") for x in train(trusted)), good
+
+
 def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> tuple[tuple[DataFrame, DataFrame], DataFrame, DataFrame]:
     """(model, scores: doc_id, lang, size_class, log_ppl of all docs, thresholds by language and size class)."""
-    good = trusted_ids(labels)  # grows with the corpus: joined the same way at every size, not broadcast while it is small
-    model = tuple(stored(x, "model") for x in train(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")))
+    model, good = model_of(docs, labels)
     scores = score(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", size_class().alias("size_class"), "log_ppl")
     scores = stored(scores, "scores")
     return model, scores, thresholds(scores, good, rule)
@@ -338,7 +426,9 @@ def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """docs without the rejected ones."""
-    model, _, limits = fit(docs, labels, rule)
-    clear = apart(docs, ["log_ppl", "threshold", "kept", "size_class"])
-    return _judged(score(clear, model).withColumn("size_class", size_class()), limits).where("kept").select(*clear.columns).toDF(*docs.columns)
+    """docs without the rejected ones. Each is scored once, and stored with its score until the thresholds are known."""
+    model, good = model_of(docs, labels)
+    clear = apart(docs, ["log_ppl", "threshold", "kept", "size_class", "_m", "_s", "_row"])
+    scored = stored(score(clear, model).withColumn("size_class", size_class()), "scored")
+    limits = thresholds(scored.select("doc_id", "lang", "size_class", "log_ppl"), good, rule)
+    return _judged(scored, limits).where("kept").select(*clear.columns).toDF(*docs.columns)

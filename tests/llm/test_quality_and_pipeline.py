@@ -25,7 +25,7 @@ def corpus(spark, tmp_path_factory):
     rows += [(1000, None, "en", "src0", None), (1001, "", None, None, 0), (None, clean(rng, 3), "en", "src1", 0), (1002, clean(rng, 4000), "en", "src1", 0), (1003, clean(rng, 2), "zz", "src1", 0), (1003, clean(rng, 2), "zz", "src1", 0)]
     labels = [(i, 0 if i % 5 == 0 else 1, 0) for i in range(150)] + [(None, 1, 0), (3, 0, 0), (1000, None, None), (7, 1, 1)]
     folder = str(tmp_path_factory.mktemp("corpus"))
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'mine' AS threshold", "'mine' AS kept").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'mine' AS threshold", "'mine' AS kept", "'mine' AS _m").repartition(4).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder, rows, labels
 
@@ -74,23 +74,24 @@ def test_model_equals_brute_force(spark, corpus, monkeypatch):
     folder, rows, labels = corpus
     bad = {d for d, q, t in labels if d is not None and not (q == 1 and not t)}
     trusted = {d for d, *_ in labels if d is not None} - bad
-    p = brute_model([r[1] for r in rows if r[0] in trusted])
     docs, lab = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     assert {r.doc_id for r in kn.trusted_ids(lab).collect()} == trusted
+    folds = {r.text: r.m for r in docs.select("text", kn.fold().alias("m")).collect()}
+    models = [brute_model([r[1] for r in rows if r[0] in trusted and folds[r[1]] != m]) for m in (0, 1)]
     model, scores, limits = kn.fit(docs, lab)
     short = [r for r in rows if len(r[1] or "") < 2000]
-    want = sorted((str(r[0]), round(brute_score(p, r[1]), 4)) for r in short)
+    want = sorted((str(r[0]), round(brute_score(models[folds[r[1]]], r[1]), 4)) for r in short)
     got = sorted((str(r.doc_id), round(r.log_ppl, 4)) for r in scores.where("doc_id IS NULL OR doc_id <> 1002").collect())
     assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 2e-4 for g, w in zip(got, want, strict=True))
-    joined = kn.score(docs, model, broadcast_entries=0).select("doc_id", "log_ppl").collect()
     here = kn.score(docs, model).select("doc_id", "log_ppl").collect()
     key = lambda x: sorted((str(r.doc_id), round(r.log_ppl, 4)) for r in x)
-    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-4 for a, b in zip(key(joined), key(here), strict=True)) and len(joined) == len(rows)
-    monkeypatch.setattr(kn, "SLICE", 1000)
-    cut = [(r.doc_id, r.log_ppl) for r in scores.where("doc_id = 1002").collect()]
-    again = [x for part in kn._slices(next(r[1] for r in rows if r[0] == 1002)) for x in kn._keys(part).tolist()]
+    for chunk, cut in ((kn.CHUNK_BYTES, kn.SLICE), (20_000, 1000)):  # one chunk of each fold, then many, with texts in slices
+        monkeypatch.setattr(kn, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(kn, "SLICE", cut)
+        joined = kn.score(docs, model, broadcast_entries=0).select("doc_id", "log_ppl").collect()
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-4 for a, b in zip(key(joined), key(here), strict=True)) and len(joined) == len(rows)
     monkeypatch.undo()
-    assert again == [x for part in kn._slices(next(r[1] for r in rows if r[0] == 1002)) for x in kn._keys(part).tolist()] and len(cut) == 1
+    assert kn.score(docs.limit(0), model, broadcast_entries=0).count() == 0
 
 
 def test_quality_is_told_apart(spark, corpus, none):
