@@ -8,7 +8,8 @@ The streams of all sources are cut into blocks in which each source has its shar
 permuted once more.
 
 Defined cases: a null source is a source of its own; a null or empty text counts one token (its end mark), and so no
-source is without weight; rows of one doc_id tie in the permutation and go together; an empty table gives no rows;
+source is without weight; rows of one doc_id, and rows without one that have equal
+texts, tie in the permutation and go together; a very long text fills blocks of its own; an empty table gives no rows;
 columns of the input that clash with new ones become input_<name>.
 """
 
@@ -93,19 +94,24 @@ def plan(slim: DataFrame, m: Mixture = Mixture()) -> DataFrame:
     )
 
 
-def _key(epoch: Column, seed: int) -> Column:
+def _ident() -> Column:
+    """What tells documents apart: the id, or the text of one without id."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+
+def _key(epoch: Column, seed: int, ident: Column) -> Column:
     """Orders the documents of one source and epoch."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), ident))
 
 
-def schedule(docs: DataFrame, m: Mixture = Mixture()) -> tuple[DataFrame, DataFrame]:
-    """(rows, plan): the mixture as doc_id, source, n_tokens, epoch, key, block, slot, weight_ppm, without texts."""
-    slim = stored(docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), "tokens")
+def schedule(docs: DataFrame, m: Mixture = Mixture(), carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan): the mixture as doc_id, source, n_tokens, epoch, key, block, slot, weight_ppm and columns to carry along, without texts."""
+    slim = stored(docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"), _ident().alias("_ident"), *carry), "tokens")
     weights = stored(plan(slim, m), "plan")
     by_source = weights.withColumnRenamed("source", "_source")
     rows = slim.join(by_source, slim["source"].eqNullSafe(by_source["_source"]))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
-    rows = rows.where("epoch < full OR rest > 0").withColumn("key", _key(F.col("epoch"), m.seed))
+    rows = rows.where("epoch < full OR rest > 0").withColumn("key", _key(F.col("epoch"), m.seed, F.col("_ident")))
     slices = F.greatest(F.lit(1), F.ceil(F.col("rows") / SLICE_ROWS))
     rows = rows.withColumn("_slice", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * slices).cast("long"))
     group = ["_id", "epoch"]
@@ -116,7 +122,7 @@ def schedule(docs: DataFrame, m: Mixture = Mixture()) -> tuple[DataFrame, DataFr
     placed = ranked.join(bases.select(*group, "_slice", "before"), [*group, "_slice"]).withColumn("start", F.col("before") + F.col("_upto") - F.col("_peers"))
     placed = placed.where("epoch < full OR start < rest").withColumn("block", F.expr("(epoch * tokens + start) DIV block_share"))
     slot = F.row_number().over(Window.partitionBy("block").orderBy(F.reverse("key"), "doc_id", "n_tokens")).cast("long") - 1
-    return placed.select("doc_id", "source", "n_tokens", "epoch", "key", "block", slot.alias("slot"), "weight_ppm"), weights
+    return placed.select("doc_id", "source", "n_tokens", "epoch", "key", "block", slot.alias("slot"), "weight_ppm", *carry), weights
 
 
 def mix(docs: DataFrame, m: Mixture = Mixture()) -> DataFrame:
@@ -129,6 +135,18 @@ def mix(docs: DataFrame, m: Mixture = Mixture()) -> DataFrame:
     last = rows.groupBy("source", "epoch").agg(F.max("key").alias("_last"))
     last = last.join(weights.select(F.col("source").alias("_s"), "full"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("epoch") == F.col("full")), "right")
     cut = stored(last.select(F.col("_s").alias("_source"), F.col("full").alias("_full"), "_last"), "cuts")
-    more = (F.coalesce(_key(F.col("_full"), m.seed) <= F.col("_last"), F.lit(False))).cast("int")
+    more = (F.coalesce(_key(F.col("_full"), m.seed, _ident()) <= F.col("_last"), F.lit(False))).cast("int")
     uses = F.when(F.col("_full") + more > 0, F.sequence(F.lit(0).cast("long"), F.col("_full") + more - 1)).otherwise(F.array().cast("array<long>"))
     return docs.join(cut, docs["source"].eqNullSafe(cut["_source"])).withColumn("epoch", F.explode(uses)).drop("_source", "_full", "_last")
+
+
+def mix_in_order(docs: DataFrame, m: Mixture = Mixture()) -> DataFrame:
+    """As mix, without `epoch`, in the order of blocks and of the slots in them: rows are dealt to partitions by ranges of blocks.
+
+    Texts are stored with the number of their row, joined to its places, and sent to their blocks.
+    """
+    kept = docs.columns
+    rows = stored(apart(docs, ["_row", "block", "slot"]).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    places, _ = schedule(rows, m, ("_row",))
+    placed = rows.join(places.select("_row", "block", "slot"), "_row").repartitionByRange("block").sortWithinPartitions("block", "slot")
+    return placed.drop("_row", "block", "slot").toDF(*kept)

@@ -74,7 +74,7 @@ QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_external_shuffle,
 ORACLE_SQL = {
     "op1_temperature_mixing": """
 WITH RECURSIVE tokens AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) + 1 AS BIGINT) AS n_tokens FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) + 1 AS BIGINT) AS n_tokens, coalesce(CAST(doc_id AS VARCHAR), concat('t', md5(coalesce(text, '')))) AS ident FROM documents),
 sources AS (SELECT source, count(*) AS n, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM tokens GROUP BY source),
 shares AS (SELECT *, CAST(tokens AS DOUBLE) / CAST((SELECT sum(tokens) FROM sources) AS DOUBLE) AS p FROM sources),
 steps AS (
@@ -90,7 +90,7 @@ plan AS (
   SELECT w.*, target // tokens AS full_epochs, target - (target // tokens) * tokens AS rest, greatest(1, CAST(weight_ppm AS BIGINT) * 65536 // 1000000) AS block_share
   FROM (SELECT *, CAST(CAST(weight_ppm AS HUGEINT) * (SELECT max((CAST(tokens AS HUGEINT) * 1000000 + weight_ppm - 1) // weight_ppm) FROM weights) // 1000000 AS BIGINT) AS target FROM weights) w),
 used AS (
-  SELECT t.doc_id, t.source, t.n_tokens, e.epoch, p.full_epochs, p.rest, p.tokens, p.block_share, p.weight_ppm, md5(concat('7:', e.epoch, ':', coalesce(CAST(t.doc_id AS VARCHAR), ''))) AS k
+  SELECT t.doc_id, t.source, t.n_tokens, e.epoch, p.full_epochs, p.rest, p.tokens, p.block_share, p.weight_ppm, md5(concat('7:', e.epoch, ':', t.ident)) AS k
   FROM tokens t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(0, p.full_epochs + 1)) AS epoch) e),
 placed AS (
   SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY k) AS BIGINT) - CAST(sum(n_tokens) OVER (PARTITION BY source, epoch, k) AS BIGINT) AS start FROM used),

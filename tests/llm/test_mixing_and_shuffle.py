@@ -51,6 +51,11 @@ def test_mixture_laws(spark, docs, wide, none):
     mixed = mixing.mix(wide, m)
     assert [c for c in mixed.columns if c != "epoch"] == [("input_epoch" if c == "epoch" else c) for c in wide.columns]
     assert (mixed.toPandas().fillna({"doc_id": -1}).groupby("doc_id").size() == times).all()
+    ordered = mixing.mix_in_order(wide, m)
+    assert ordered.columns == wide.columns
+    placed = r.sort_values(["block", "slot"])
+    assert ordered.toPandas()["doc_id"].fillna(-1).tolist() == placed["doc_id"].fillna(-1).tolist()
+    assert mixing.mix_in_order(none).count() == 0
     assert mixing.mix(none).count() == 0 and mixing.schedule(none)[0].count() == 0
     cut, _ = mixing.schedule(docs, mixing.Mixture(budget_tokens=20_000))
     sums = cut.groupBy("source").agg(F.sum("n_tokens").alias("t")).toPandas()
