@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir). Stages return the columns of documents; the last one returns doc_id, lang, source and the
 token ids of each document in the mixture, with the digests of ids and of the bytes that they decode to.
+
+Defined cases: a null or empty text, or one of white space, is scored and dealt with like any other, and has no tokens; a very long
+text is read whole by every stage; rows without doc_id are never dropped as copies; of several rows of one doc_id the near-dedup
+keeps one; equal rows go the same way at the classifier and tie in the mixture; an empty table passes through all stages; columns of
+any other name, those that stages use themselves included, stay until the last stage, which has its own.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture uses it, once at least."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Each document as often as the mixture uses it, once at least, in the order of its block permutations."""
+    return mixing.mix_in_order(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
