@@ -59,7 +59,7 @@ def shuffle(docs: DataFrame, seed: int = 11, bucket_bytes: int = 16 << 20) -> Da
             yield from rows.select(names).take(pa.array(order)).append_column("position", position).to_batches(max_chunksize=2000)
 
         for batch in batches:
-            number, base = batch.column("_bucket").to_numpy(), batch.column("_base").to_numpy()
+            number, base = batch.column("_bucket").to_numpy(), batch.column("_base").fill_null(-1).to_numpy()
             starts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
             for i, j in zip(starts, starts[1:], strict=False):
                 if i == j:
@@ -68,11 +68,14 @@ def shuffle(docs: DataFrame, seed: int = 11, bucket_bytes: int = 16 << 20) -> Da
                     yield from out()
                 if here is None or here[0] != number[i]:
                     here, done, piece = (int(number[i]), int(base[i])), 0, 0
-                held.append(batch.slice(i, j - i))
+                    i += 1  # the row that says where the bucket begins
+                if i < j:
+                    held.append(batch.slice(i, j - i))
         if held:
             yield from out()
 
-    dealt = keyed.join(bases, "_bucket").sortWithinPartitions("_bucket", "_key")
+    # a bucket's base is its first row: a join could leave the rows of a bucket in several tasks, or shuffle texts twice
+    dealt = keyed.unionByName(bases, allowMissingColumns=True).repartition("_bucket").sortWithinPartitions("_bucket", F.col("_base").asc_nulls_last(), "_key")
     return dealt.mapInArrow(write_order, T.StructType([*docs.schema.fields, T.StructField("position", T.LongType())]))
 
 

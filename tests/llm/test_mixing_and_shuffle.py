@@ -65,6 +65,8 @@ def test_mixture_laws(spark, docs, wide, none):
 def test_two_pass_shuffle(spark, docs, wide, none, tmp_path, rows):
     out = shuffle.shuffle(wide, bucket_bytes=40_000).toPandas()
     assert sorted(out["position"]) == list(range(len(rows)))
+    cut = shuffle.shuffle(wide.repartition(20), bucket_bytes=500).select("position").toPandas()["position"]  # many buckets, some over their size
+    assert sorted(cut) == list(range(len(rows)))
     again = shuffle.shuffle(wide.repartition(3), bucket_bytes=40_000).toPandas()
     key = ["position", "doc_id", "text", "input_position"]
     assert out[key].sort_values("position").astype(str).values.tolist() == again[key].sort_values("position").astype(str).values.tolist()
