@@ -56,8 +56,7 @@ def join_by(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
 
     Keys of a thousandth of all rows or more are a thousand at most: they are broadcast, so that no task gets all rows of one. The others are shuffled.
     """
-    total = F.broadcast(table.agg(F.sum(n).alias("_total")))  # one row
-    marked = table.crossJoin(total).withColumn("_hot", F.col(n) * 1000 >= F.col("_total")).drop("_total", n)
+    marked = table.withColumn("_hot", F.col(n) * 1000 >= table.agg(F.sum(n)).scalar()).drop(n)
     hot, others = F.broadcast(marked.where("_hot").drop("_hot")), marked.where("NOT _hot").drop("_hot")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
 
