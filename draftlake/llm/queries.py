@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import bpe, kneser_ney, mixing, mpegts, pq, shuffle, simhash, substrings, token_files, warc
+from draftlake.llm import bpe, fim, kneser_ney, lines, mixing, mpegts, pq, prefix_trie, shuffle, simhash, substrings, token_files, warc
 from draftlake.llm.common import stored, utf8_size
 
 
@@ -69,7 +69,19 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_external_shuffle, op3_transport_stream, op4_suffix_automaton, op5_warc_archive, op6_prefix_bpe, op7_simhash_bktree, op8_token_files, op9_product_quantisation, op10_kneser_ney)}
+def op11_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_external_shuffle, op3_transport_stream, op4_suffix_automaton, op5_warc_archive, op6_prefix_bpe, op7_simhash_bktree, op8_token_files, op9_product_quantisation, op10_kneser_ney, op11_bloom_lines, op12_fill_in_middle, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op1_temperature_mixing": """
@@ -103,4 +115,53 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM f""",
+    "op11_bloom_lines": """
+WITH l AS (
+  SELECT doc_id, i, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+r AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT l.*, r.k IS NOT NULL AND l.doc_id <> r.keeper AS gone FROM l LEFT JOIN r ON l.k = r.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+    "op12_fill_in_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS x FROM documents),
+h AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3,
+    CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS a, array_to_string(u[lo + 1:hi], '') AS b, array_to_string(u[hi + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || b ELSE '<S>' || s || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
+    "op13_prefix_trie": """
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS i, id, chars
+  FROM (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS id, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+    (list_reduce(list_concat([CAST(4294967295 AS BIGINT)], CAST(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) + 256 AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS BIGINT[])),
+      lambda crc, b: CASE WHEN b > 0 THEN CASE WHEN xor(crc, b - 256) & 1 = 1 THEN xor(xor(crc, b - 256) >> 1, 3988292384) ELSE xor(crc, b - 256) >> 1 END
+        ELSE CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END END)) AS crc FROM own),
+heads AS (SELECT conv_id, base, xor(crc, 4294967295) % 6 AS h FROM convs),
+joined AS (
+  SELECT h.conv_id, 0 AS part, o.i, o.id, o.chars FROM heads h JOIN own o ON o.conv_id = h.base AND o.i <= h.h
+  UNION ALL SELECT h.conv_id, 1, o.i, o.id, o.chars FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.i > h.h),
+seq AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d, id, chars FROM joined),
+members AS (
+  SELECT conv_id, d, md5(string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k, chars FROM seq
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads),
+sizes AS (SELECT conv_id, max(d) AS size FROM members GROUP BY conv_id),
+nodes AS (
+  SELECT d, k, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (WHERE s.size = d), '') AS ends
+  FROM members m JOIN sizes s ON m.conv_id = s.conv_id GROUP BY d, k),
+up AS (SELECT n.*, m.k AS pk FROM nodes n LEFT JOIN members m ON m.conv_id = n.conv_id AND m.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM up WHERE pk IS NOT NULL GROUP BY ALL),
+sub AS (
+  SELECT m.d, m.k, sum((u.n_convs - 1) * u.chars) AS saved_tokens, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves
+  FROM nodes u LEFT JOIN kids c ON c.d = u.d AND c.k = u.k JOIN members m ON m.conv_id = u.conv_id AND m.d <= u.d GROUP BY ALL)
+SELECT u.conv_id, CAST(u.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, u.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(u.ends) AS ends_sha256
+FROM up u LEFT JOIN nodes p ON p.d = u.d - 1 AND p.k = u.pk LEFT JOIN kids c ON c.d = u.d AND c.k = u.k JOIN sub s ON s.d = u.d AND s.k = u.k""",
 }
