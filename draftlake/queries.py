@@ -501,7 +501,23 @@ def ellipse_linework(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("drawing_id", "entity_seq", F.col("_x").alias("cx") if "_x" in rows.columns else "cx", F.col("_y").alias("cy") if "_y" in rows.columns else "cy", "radius", "start_deg", "end_deg", "closed", "point_no", whole("x", 1e3).alias("x_th"), whole("y", 1e3).alias("y_th"))
 
 
-@query()
+_SPLINE_X, _SPLINE_Y = zip(*_VERTICES, strict=True)
+_CUBIC = ["(1-t)*(1-t)*(1-t)", "3*t*(1-t)*(1-t)", "3*t*t*(1-t)", "t*t*t"]  # of clamped knots without inner ones
+_QUADRATIC = [  # of the knots 0, 0, 0, 1, 2, 2, 2
+    "CASE WHEN t < 1 THEN (1-t)*(1-t) ELSE 0 END", "CASE WHEN t < 1 THEN 2*t - 1.5e0*t*t ELSE (2-t)*(2-t)/2 END", "CASE WHEN t < 1 THEN t*t/2 ELSE 2*(2-t) - 1.5e0*(2-t)*(2-t) END", "CASE WHEN t < 1 THEN 0 ELSE (t-1)*(t-1) END",
+]
+_SUM = lambda basis, of: " + ".join(f"({b})*({v})" for b, v in zip(basis, of, strict=True))
+
+
+@query(
+    with_tables(
+        ["polylines"],
+        f"""+ s AS (SELECT *, entity_seq % 7 = 0 AS bare, 2 + entity_seq % 2 AS degree FROM polylines), p AS (SELECT *, unnest(range(0, CASE WHEN bare THEN 4 ELSE 40 END)) AS point_no FROM s),
+q AS (SELECT *, point_no/39e0 * CASE degree WHEN 2 THEN 2 ELSE 1 END AS t FROM p),
+r AS (SELECT *, {", ".join(f"CASE WHEN bare THEN CASE point_no WHEN 0 THEN {v[0]} WHEN 1 THEN {v[1]} WHEN 2 THEN {v[2]} ELSE {v[3]} END WHEN degree = 2 THEN {_SUM(_QUADRATIC, v)} ELSE {_SUM(_CUBIC, v)} END AS {k}" for k, v in (("x", _SPLINE_X), ("y", _SPLINE_Y)))} FROM q)
+SELECT drawing_id, entity_seq, x0, size, CAST(point_no AS INT) AS point_no, {sql_whole('x', '1e3')} AS x_th, {sql_whole('y', '1e3')} AS y_th FROM r""",
+    )
+)
 def spline_linework(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splines through the corners of the polylines, of degree two or three with clamped or too few knots."""
     rows = _polylines(spark, sf_dir).withColumns({"control_points": F.expr("transform(vertices, v -> named_struct('x', v.x, 'y', v.y))"), "degree": F.expr("CAST(2 + entity_seq % 2 AS INT)")})
@@ -552,13 +568,21 @@ def hatch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables(["hatches"], f"+ {_CLIPPED} SELECT hatch_id, line_no, part_no, {_ENDS} FROM clipped"))
 def hatch_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hatch.clip_lines(hatch.pattern_lines(_hatches(spark, sf_dir))).select("hatch_id", "line_no", "part_no", *_ends())
+    return hatch.clip(_hatches(spark, sf_dir)).select("hatch_id", "line_no", "part_no", *_ends())
 
 
 @query(with_tables(["hatches"], f"+ {_CLIPPED} SELECT hatch_id, line_no, part_no, {_ENDS} FROM clipped"))
 def hatch_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clip as a join of lines and edges, for paths of very many edges."""
-    return hatch.line_crossings(hatch.pattern_lines(_hatches(spark, sf_dir))).select("hatch_id", "line_no", "part_no", *_ends())
+    """The clip by a key of two columns."""
+    rows = hatch.clip(_hatches(spark, sf_dir).withColumn("drawing_id", F.col("hatch_id") % 10), ["drawing_id", "hatch_id"])
+    return rows.select("hatch_id", "line_no", "part_no", *_ends())
+
+
+@query(with_tables(["hatches"], f"+ {_CLIPPED} SELECT hatch_id, line_no, count(*) AS n_crossings, {sql_whole('min(t)', '1e3')} AS first_th, {sql_whole('max(t)', '1e3')} AS last_th FROM hit GROUP BY 1, 2"))
+def hatch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each pattern line crosses its path, and from where to where."""
+    rows = hatch.crossings(_hatches(spark, sf_dir)).groupBy("hatch_id", "line_no")
+    return rows.agg(F.count("*").alias("n_crossings"), whole(F.min("t"), 1e3).alias("first_th"), whole(F.max("t"), 1e3).alias("last_th"))
 
 
 @query(

@@ -1,5 +1,8 @@
 import math
+import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,85 @@ def test_hatch(spark):
     assert {r.hatch_id for r in got} == {1, 4}
 
 
+def plain_clip(path, lines):
+    """Every line against every edge, as the rule says it."""
+    out = {}
+    for no, (px, py, dx, dy) in lines.items():
+        found = []
+        for (ax, ay), (bx, by) in zip(path, path[1:] + path[:1], strict=True):
+            ex, ey = bx - ax, by - ay
+            den = dx * ey - dy * ex
+            if abs(den) >= 1e-12 and -1e-10 <= ((ax - px) * dy - (ay - py) * dx) / den <= 1 + 1e-10:
+                found.append(((ax - px) * ey - (ay - py) * ex) / den)
+        found.sort()
+        for i in range(0, len(found) - 1, 2):
+            if found[i + 1] - found[i] >= 1e-10:
+                out[no, i // 2] = (found[i], found[i + 1])
+    return out
+
+
+def test_clip_equals_every_line_with_every_edge(spark):
+    """Random paths, some with vertices on lines, edges along them, and lines far from the origin."""
+    rng = random.Random(6)
+    rows, paths = [], {}
+    for i in range(60):
+        shift = rng.choice([0, 0, 1e6])
+        path = [(rng.randrange(0, 40) + shift, rng.randrange(0, 40) + shift) for _ in range(rng.randrange(3, 14))]
+        if i % 3 == 0:
+            path = [(rng.random() * 40 + shift, rng.random() * 40) for _ in range(200)]
+        patterns = [{"angle": rng.choice([0.0, 90.0, 45.0, 30.0, -77.5]), "base_x": rng.choice([0.0, 0.5]), "base_y": 0.0, "offset_x": 0.0, "offset_y": rng.choice([1.0, 0.37, 5.0]), "dashes": []} for _ in range(2)]
+        rows.append((i, i % 2, False, rng.choice([1.0, 0.5]), [[{"x": float(x), "y": float(y)} for x, y in path]] * 2, patterns))
+        paths[i] = path
+    hatches = spark.createDataFrame(rows, f"hatch_id int, drawing_id int, solid_fill boolean, pattern_scale double, paths array<array<{schemas.POINT}>>, pattern_lines array<{schemas.PATTERN_LINE}>")
+    lines = {}
+    for r in hatch.pattern_lines(hatches).collect():
+        lines.setdefault((r.hatch_id, r.path_no, r.pattern_no), {})[r.line_no] = (r.px, r.py, r.dir_x, r.dir_y)
+    want = {(*k, *n): v for k, own in lines.items() for n, v in plain_clip(paths[k[0]], own).items()}
+    got = {}
+    for r in hatch.clip(hatches, ["drawing_id", "hatch_id"]).collect():
+        px, py, dx, dy = lines[r.hatch_id, r.path_no, r.pattern_no][r.line_no]
+        got[r.hatch_id, r.path_no, r.pattern_no, r.line_no, r.part_no] = ((r.x1 - px) * dx + (r.y1 - py) * dy, (r.x2 - px) * dx + (r.y2 - py) * dy)
+    assert len(want) > 5000 and got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_clip_of_many_edges_is_linear(spark):
+    """A wavy ring of 10,000 edges under 2,000 lines: crossings, not lines x edges."""
+    n = 10_000
+    ring = [{"x": (100 + 3 * math.sin(a * 41)) * math.cos(a), "y": (100 + 3 * math.sin(a * 41)) * math.sin(a)} for a in (2 * math.pi * i / n for i in range(n))]
+    pattern = {"angle": 17.0, "base_x": 0.0, "base_y": 0.0, "offset_x": 0.0, "offset_y": 0.1, "dashes": []}
+    hatches = spark.createDataFrame([(1, False, 1.0, [ring], [pattern])], f"hatch_id int, solid_fill boolean, pattern_scale double, paths array<array<{schemas.POINT}>>, pattern_lines array<{schemas.PATTERN_LINE}>")
+    hatch.clip(hatches.limit(0)).count()
+    began = time.time()
+    parts = hatch.clip(hatches).agg(F.count("*").alias("n"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")).first()
+    assert time.time() - began < 5
+    area = abs(sum(p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+    assert parts.n > 2000 and abs(parts.length * 0.1 * math.cos(math.radians(17)) - area) < 0.001 * area
+    plan = hatch.crossings(hatches)._jdf.queryExecution().optimizedPlan().toString()
+    assert "vertices" not in plan.splitlines()[0] and plan.count("RepartitionByExpression") == 1
+
+
+def test_splines_of_all_shapes_in_one_batch(spark):
+    """Splines are solved together by shape; each is as if it were alone."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(80):
+        degree, n = rng.randrange(1, 4), rng.randrange(2, 7)
+        inner = sorted(rng.random() for _ in range(max(0, n - degree - 1)))
+        knots = [0.0] * (degree + 1) + inner + [1.0] * (degree + 1)
+        rows.append((i, degree, [{"x": rng.random(), "y": rng.random()} for _ in range(n)], knots[: len(knots) if n > degree else 2]))
+    splines = spark.createDataFrame(rows, f"id int, degree int, control_points array<{schemas.POINT}>, knots array<double>").coalesce(1)
+    alone = {}
+    for i, degree, points, knots in rows:
+        xy = np.array([[(p["x"], p["y"]) for p in points]])
+        alone[i] = curves.spline_curves(xy, degree, np.array([knots]))[0]
+    for r in curves.spline_lines(splines).collect():
+        got = np.array([(p.x, p.y) for p in r.points])
+        assert got.shape == alone[r.id].shape and np.allclose(got, alone[r.id], atol=1e-12)
+        assert np.allclose(got[[0, -1]], [[p["x"], p["y"]] for p in (rows[r.id][2][0], rows[r.id][2][-1])])
+    assert len(alone) == curves.spline_lines(splines).count()
+
+
 def test_sheets(spark):
     names = spark.createDataFrame([(s,) for s in ("A4", "a4", "A0", "400x300", "100.5x200.5", "bad", "0x100", "x")], "paper string")
     w, h = sheets.paper_size("paper")
