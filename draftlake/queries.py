@@ -13,11 +13,11 @@ from draftlake.functions.layers import ALWAYS_WALLS, NEVER_WALLS, may_hold_walls
 from draftlake.functions.style import palette_colour, resolve_style
 from draftlake.functions.units import UNITS, resolve_units, with_units
 from draftlake.operators import annotations, curves, expand, extents, hatch, inventory, segments, sheets, walls
-from draftlake.plans import export
+from draftlake.plans import documents, export
 from draftlake.plans.options import WallOptions
 from draftlake.sources import dxf, schemas
-from draftlake.sources.derived import table, with_tables
-from draftlake.storage import stored
+from draftlake.sources.derived import SQL, table, with_tables
+from draftlake.storage import new_path, stored
 
 
 def whole(value: Column | str, scale: float = 1e6) -> Column:
@@ -767,6 +767,63 @@ def export_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("drawing_id", "source_units", "y_axis", whole("origin_x").alias("origin_x_n"), whole("origin_y").alias("origin_y_n"), whole(F.col("scene_width_m"), 1e3).alias("scene_width_mm"), whole(F.col("scene_height_m"), 1e3).alias("scene_height_mm"), whole("px_per_metre").alias("px_per_metre_n"), "segment_count")
 
 
+def _of_lines(spark: SparkSession, sf_dir: str, polylines: bool = False) -> dict[str, DataFrame]:
+    """A corpus of lines in millimetres, and of polylines if asked; entities are numbered as in the file."""
+    own = _own_entities(spark, sf_dir).where(F.col("type").isin("LINE", "LWPOLYLINE", "POLYLINE") if polylines else F.col("type") == "LINE")
+    drawings = table(spark, sf_dir, "drawings").withColumn("insunits", F.lit(4))
+    return {"drawings": drawings, "layers": table(spark, sf_dir, "layers"), "blocks": table(spark, sf_dir, "blocks"), "entities": own}
+
+
+_SCENE_OF = lambda points: f"frame AS (SELECT drawing_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM ({points}) p GROUP BY 1)"
+_LINE_ENDS = " UNION ALL ".join(f"SELECT drawing_id, x{i}*1000 AS x, y{i}*1000 AS y FROM {{}}" for i in (1, 2))
+_CORNERS = " UNION ALL ".join(f"SELECT drawing_id, {x}, {y} FROM polylines" for x, y in _VERTICES)
+_TO_SCENE = lambda scale: ", ".join(f"({f'x{i}*{scale} - min_x' if k == 'x' else f'max_y - y{i}*{scale}'})*0.001e0 AS {k}{i}" for i in (1, 2) for k in "xy")
+
+
+@query(
+    with_tables(
+        ["segments", "polylines", "layers"],
+        f"""+ {_SCENE_OF(_LINE_ENDS.format("segments", "segments") + " UNION ALL " + _CORNERS)}, {_EDGES},
+found AS (SELECT s.drawing_id, layer, 'LINE' AS source, false AS is_arc, {_TO_SCENE(1000)} FROM segments s JOIN frame USING (drawing_id)
+  UNION ALL SELECT e.drawing_id, 'A-WALL', CASE WHEN entity_seq % 2 = 0 THEN 'LWPOLYLINE' ELSE 'POLYLINE' END, abs(bulge) > 1e-10, {_TO_SCENE(1)} FROM edges e JOIN frame USING (drawing_id))
+SELECT f.drawing_id, layer, source, is_arc, {", ".join(f"{sql_whole(k)} AS {k}_um" for k in ("x1", "y1", "x2", "y2"))}, {sql_whole("sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))")} AS length_um, CAST(round(CAST({_LAYER_MM} AS DOUBLE) * 1000) AS BIGINT) AS weight_um
+FROM found f JOIN layers l ON l.drawing_id = f.drawing_id AND l.name = layer""",
+    )
+)
+def export_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the wall export: every line and polyline edge in the scene."""
+    tables = _of_lines(spark, sf_dir, polylines=True)
+    lines = segments.rounded(export.scene(tables)[1])
+    return lines.select("drawing_id", "layer", "source", "is_arc", *[whole(k).alias(f"{k}_um") for k in ("x1", "y1", "x2", "y2", "length")], whole("weight_mm", 1e3).alias("weight_um"))
+
+
+_SCENE_LINES = f"lines AS ({SQL['segments']}), {_SCENE_OF(_LINE_ENDS.format('lines', 'lines'))}, segments AS (SELECT l.drawing_id, seg_id, layer, {_TO_SCENE(1000)} FROM lines l JOIN frame USING (drawing_id))"
+
+
+@query(f"WITH RECURSIVE {_SCENE_LINES}, {_WALLS} SELECT drawing_id, layer, {_LINE} FROM walls")
+def export_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walls of the wall export, in the scene of their drawing."""
+    return export.wall_export(_of_lines(spark, sf_dir))["walls"].select("drawing_id", "layer", *_line())
+
+
+@query(
+    f"""WITH RECURSIVE {_SCENE_LINES}, {_WALLS},
+s AS (SELECT drawing_id, count(*) AS segment_count, CAST(sum({sql_whole("sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))")}) AS BIGINT) AS segments_um FROM segments GROUP BY 1),
+w AS (SELECT drawing_id, count(*) AS wall_count, CAST(sum({sql_whole("thickness")}) AS BIGINT) AS thickness_um FROM walls GROUP BY 1)
+SELECT drawing_id, 'millimeters' AS source_units, segment_count, coalesce(wall_count, 0) AS wall_count, segment_count AS segments, coalesce(wall_count, 0) AS walls, segments_um, coalesce(thickness_um, 0) AS thickness_um,
+  {sql_whole("(max_x-min_x)*0.001e0", "1e3")} AS scene_width_mm, {sql_whole("(max_y-min_y)*0.001e0", "1e3")} AS scene_height_mm FROM s JOIN frame USING (drawing_id) LEFT JOIN w USING (drawing_id)"""
+)
+def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wall export written as a document for each drawing, and what these say when they are read again."""
+    path = new_path(spark, "documents")
+    documents.write_documents(export.wall_export(_of_lines(spark, sf_dir)), path)
+    back = documents.read_documents(spark, path)
+    lines = back["segments"].groupBy("drawing_id").agg(F.count("*").alias("segments"), F.sum(whole("length")).alias("segments_um"))
+    found = back["walls"].groupBy("drawing_id").agg(F.count("*").alias("walls"), F.sum(whole("thickness")).alias("thickness_um"))
+    rows = back["drawing_meta"].join(lines, "drawing_id", "left").join(found, "drawing_id", "left").fillna(0, ["walls", "thickness_um"])
+    return rows.select("drawing_id", "source_units", "segment_count", "wall_count", "segments", "walls", "segments_um", "thickness_um", whole("scene_width_m", 1e3).alias("scene_width_mm"), whole("scene_height_m", 1e3).alias("scene_height_mm"))
+
+
 @query(with_tables(["segments"], f"SELECT drawing_id AS file_no, layer, color, {sql_whole('x1', '1e3')} AS x1_mm, {sql_whole('y1', '1e3')} AS y1_mm, {sql_whole('x2', '1e3')} AS x2_mm, {sql_whole('y2', '1e3')} AS y2_mm FROM (SELECT *, CAST(seg_id % 9 AS INT) AS color FROM segments) s"))
 def dxf_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings written as text files (one row each) and read again."""

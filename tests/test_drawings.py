@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from draftlake.functions.style import palette_colour
 from draftlake.operators import annotations, curves, expand, extents, hatch, inventory, segments, sheets
-from draftlake.plans import export
+from draftlake.plans import documents, export
 from draftlake.sources import dxf, schemas
 
 INSERTS = "drawing_id long, block_name string, entity_seq long, type string, layer string, visible boolean, ref_block string, ins_x double, ins_y double, scale_x double, scale_y double, rot_deg double"
@@ -437,7 +437,7 @@ def test_export_files_and_placement(spark, tmp_path):
     export.write_export(out, str(tmp_path / "out"), buckets=4, xml=True)
     back = spark.read.parquet(str(tmp_path / "out/walls")).first()
     assert (back.thickness, back.length, back.y1) == (0.3, 4.0, 0.15)
-    assert spark.read.format("xml").option("rowTag", "wall").load(str(tmp_path / "out/walls_xml")).first().thickness == 0.3
+    assert documents.read_documents(spark, str(tmp_path / "out/documents"))["walls"].first().thickness == 0.3
     meta = spark.read.parquet(str(tmp_path / "out/drawing_meta")).first()
     assert (meta.scene_width_m, meta.scene_height_m, meta.source_units, meta.px_per_metre) == (4.0, 0.3, "millimeters", round(0.01 * 300 * 1000 / 25.4, 6))
     texts = spark.createDataFrame([(1, 5, "MTEXT", 10.0, 20.0, 2.0, math.pi / 2), (1, 6, "TEXT", 0.0, 0.0, 0.001, 30.0)], "drawing_id long, entity_seq long, type string, x1 double, y1 double, text_height double, text_rot_deg double")
