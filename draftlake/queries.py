@@ -838,6 +838,22 @@ def dxf_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("path").cast("long").alias("file_no"), "layer", "color", *[F.col(k).cast("long").alias(f"{k}_mm") for k in ("x1", "y1", "x2", "y2")])
 
 
+@query(with_tables(["segments"], f"SELECT drawing_id AS file_no, layer, color, {sql_whole('x1', '1e3')} AS x1_mm, {sql_whole('y1', '1e3')} AS y1_mm, {sql_whole('x2', '1e3')} AS x2_mm, {sql_whole('y2', '1e3')} AS y2_mm FROM (SELECT *, CAST(seg_id % 9 AS INT) AS color FROM segments) s"))
+def dxf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings written as files and read in splits."""
+    number = lambda v: F.round(F.col(v) * 1000).cast("long").cast("string")
+    values = [(0, F.lit("LINE")), (8, F.col("layer")), (62, (F.col("seg_id") % 9).cast("string")), *[(c, number(k)) for c, k in ((10, "x1"), (20, "y1"), (11, "x2"), (21, "y2"))]]
+    lines = table(spark, sf_dir, "segments").select("drawing_id", "seg_id", F.concat_ws("\n", *[F.concat(F.lit(f"{c:>3}\n"), v) for c, v in values]).alias("value"))
+    edges = {-1: "  0\nSECTION\n  2\nHEADER\n  9\n$INSUNITS\n 70\n4\n  0\nENDSEC\n  0\nSECTION\n  2\nENTITIES", 1 << 62: "  0\nENDSEC\n  0\nEOF"}
+    frame = table(spark, sf_dir, "drawings").select("drawing_id", F.explode(F.create_map(*[F.lit(x) for e in edges.items() for x in e])).alias("seg_id", "value"))
+    path = new_path(spark, "dxf")
+    rows = lines.unionByName(frame).repartition(F.xxhash64("drawing_id")).sortWithinPartitions("drawing_id", "seg_id")
+    rows.select("drawing_id", "value").write.partitionBy("drawing_id").text(path)
+    found = dxf.read_tables(spark, path, "*.txt")
+    lines = found["entities"].where("type = 'LINE'").join(found["drawings"].select("drawing_id", "path"), "drawing_id")
+    return lines.select(F.regexp_extract("path", r"drawing_id=(\d+)", 1).cast("long").alias("file_no"), "layer", "color", *[F.col(k).cast("long").alias(f"{k}_mm") for k in ("x1", "y1", "x2", "y2")])
+
+
 @query(with_tables(["layers"], "SELECT drawing_id AS file_no, CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY layer_seq) - 1 AS INT) AS layer_seq, concat(name, ' é', drawing_id) AS name, color FROM layers"))
 def codepage_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layer names beyond ASCII, in files of a declared code page: bytes of Latin-1, which this page has at the same places."""

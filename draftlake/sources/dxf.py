@@ -1,8 +1,12 @@
 """Reads text DXF files into the tables of a corpus.
 
 A file is a list of pairs of lines, a group code and a value. Code 0 begins a record; records make sections, blocks and
-entities. Every step is one over the tags of all files: pairs by position, records by running counts within a drawing,
-entities by aggregates within a record.
+entities. Every step is one over the tags of all files: pairs by line number, records by running counts, entities by aggregates
+within a record.
+
+Files are read in splits, so that one large file is work for many tasks: Spark's text reader says in which split a line stands, counts by split give
+its number in the file, and running counts and sections are carried from block to block (`operators.running`). No row holds a file, and no
+window a drawing. `tables` takes files that are rows instead.
 """
 
 from __future__ import annotations
@@ -10,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from draftlake.operators.running import BLOCK, running
 from draftlake.sources import schemas
+from draftlake.storage import stored
 
 #: Python's codec for each $DWGCODEPAGE that is decoded; files of other code pages stay as they are.
 CODEPAGES = {f"ANSI_{n}": f"cp{n}" for n in range(1250, 1258)}
@@ -55,31 +61,71 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][xX][fF]").load(folder).select("path", "content")
 
 
-def tags(texts: DataFrame) -> DataFrame:
-    """(drawing_id, tag_no, code, value, record_no): the pairs of each file; a record begins at code 0."""
-    lines = texts.select(F.xxhash64("path").alias("drawing_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    after = Window.partitionBy("drawing_id").orderBy("line_no")
-    lines = lines.withColumn("value", F.rtrim(F.lead("line").over(after), F.lit("\r"))).where("line_no % 2 = 0")
-    rows = lines.select("drawing_id", F.expr("CAST(line_no DIV 2 AS INT)").alias("tag_no"), F.trim(F.rtrim("line", F.lit("\r"))).try_cast("int").alias("code"), "value")
-    rows = rows.where("code IS NOT NULL AND value IS NOT NULL")
-    order = Window.partitionBy("drawing_id").orderBy("tag_no")
-    return rows.withColumn("record_no", F.sum((F.col("code") == 0).cast("long")).over(order))
+def read_lines(spark: SparkSession, folder: str, pattern: str = "*.[dD][xX][fF]") -> DataFrame:
+    """(path, line_no, line: its bytes) of the files of a folder, read in splits as large as Spark's settings say."""
+    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    at = F.col("_metadata")
+    lines = text.select(at["file_path"].alias("path"), at["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("line"))
+    lines = stored(lines, "lines")  # a split's ids are one range, in its order; stored, they stay
+    splits = lines.groupBy("path", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(splits.drop("_n"), ["path", "_split"]).select("path", (F.col("_base") + F.col("_id") - F.col("_first")).alias("line_no"), "line")
+
+
+def codecs(lines: DataFrame) -> DataFrame:
+    """(path, codec) of files as lines: what `detect_codec` finds in a whole file."""
+    text = F.col("line").cast("string")
+    valid = F.is_valid_utf8(text)
+    seen = lines.groupBy("path").agg(
+        F.bool_and(valid).alias("_valid"), F.bool_and(valid & (F.char_length(text) == F.octet_length("line"))).alias("_plain"), F.bool_or(F.contains(text, F.lit(CENTRAL_EUROPE.decode()))).alias("_mark"),
+        F.min(F.when(F.contains(text, F.lit("$DWGCODEPAGE")), F.col("line_no"))).alias("_at"),
+    )
+    named = lines.select("path", F.col("line_no").alias("_named_at"), F.trim(F.btrim(text, F.lit(" \t\r"))).alias("_name"))
+    rows = seen.withColumn("_named_at", F.col("_at") + 2).join(named, ["path", "_named_at"], "left")
+    declared = F.lit(None).cast("string")
+    for name, codec in CODEPAGES.items():
+        declared = F.when(F.col("_name") == name, codec).otherwise(declared)
+    mark = F.when(~F.col("_plain") & F.col("_mark"), "cp1250")
+    return rows.select("path", F.when(F.col("_plain") | ~F.col("_valid"), F.coalesce(declared, mark)).alias("codec"))
+
+
+def decoded(lines: DataFrame) -> DataFrame:
+    """(path, line_no, line: text) of lines with their codec."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raw, codec = batch.column("line").to_pylist(), batch.column("codec").to_pylist()
+            text = [x.decode("ascii") if x.isascii() else x.decode(c or "utf-8", "replace") for x, c in zip(raw, codec, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("line_no"), pa.array(text, pa.string())], ["path", "line_no", "line"])
+
+    return lines.select("path", "line_no", "line", "codec").mapInArrow(run, "path string, line_no long, line string")
+
+
+def tags(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(drawing_id, tag_no, code, value, record_no): the pairs of lines (path, line_no, line) of each file; a record begins at code 0. A code without a value is no pair."""
+    c = F.col
+    line = F.rtrim("line", F.lit("\r"))
+    pairs = lines.groupBy(F.xxhash64("path").alias("drawing_id"), F.expr("line_no DIV 2").alias("tag_no")).agg(F.max(F.when(c("line_no") % 2 == 0, line)).alias("code"), F.max(F.when(c("line_no") % 2 == 1, line)).alias("value"))
+    rows = pairs.withColumn("code", F.trim("code").try_cast("int")).where("code IS NOT NULL AND value IS NOT NULL")
+    return running(rows.withColumn("record_no", (c("code") == 0).cast("long")), ["drawing_id"], "tag_no", ["record_no"], block=block)
 
 
 def _first(code: int, kind: str = "double") -> Column:
     return F.min_by(F.when(F.col("code") == code, F.col("value")), F.when(F.col("code") == code, F.col("tag_no")))
 
 
-def _records(t: DataFrame) -> DataFrame:
+def _records(t: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each record: its type, tags in order, the section and block that it is in."""
     rows = t.groupBy("drawing_id", "record_no").agg(_first(0).alias("type"), _first(2).alias("name"), F.array_sort(F.collect_list(F.struct("tag_no", "code", "value"))).alias("tags"))
     rows = rows.withColumn("type", F.trim("type"))
-    order = Window.partitionBy("drawing_id").orderBy("record_no")
-    last = lambda v: F.last(v, ignorenulls=True).over(order)
-    rows = rows.withColumn("section", last(F.when(F.col("type") == "SECTION", F.trim("name")).when(F.col("type") == "ENDSEC", "")))
-    rows = rows.withColumn("block_name", last(F.when((F.col("type") == "BLOCK") & (F.col("section") == "BLOCKS"), F.col("name")).when(F.col("type").isin("ENDBLK", "SECTION"), "")))
+    section = F.when(F.col("type") == "SECTION", F.trim("name")).when(F.col("type") == "ENDSEC", "")
+    rows = running(rows.withColumn("section", section), ["drawing_id"], "record_no", lasts=["section"], block=block)
+    name = F.when((F.col("type") == "BLOCK") & (F.col("section") == "BLOCKS"), F.col("name")).when(F.col("type").isin("ENDBLK", "SECTION"), "")
     owner = F.when(F.col("type").isin("POLYLINE"), F.col("record_no")).when(~F.col("type").isin("VERTEX"), F.lit(-1))
-    return rows.withColumn("owner", last(owner))
+    return running(rows.withColumns({"block_name": name, "owner": owner}), ["drawing_id"], "record_no", lasts=["block_name", "owner"], block=block)
 
 
 def _text(code: int) -> Column:
@@ -157,17 +203,27 @@ def _entities(records: DataFrame) -> DataFrame:
     return schemas.with_columns_of(out, schemas.ENTITIES)
 
 
-def tables(files: DataFrame) -> dict[str, DataFrame]:
-    """drawings, layers, blocks and entities of files (path, content)."""
-    texts = decode_files(files)
-    t = tags(texts.select("path", "text"))
-    records = _records(t)
-    after = Window.partitionBy("drawing_id").orderBy("tag_no")
-    header = t.withColumns({"_code": F.lead("code").over(after), "_value": F.lead("value").over(after)}).where("code = 9")
-    value = lambda name, codes: F.min(F.when((F.trim("value") == name) & F.col("_code").isin(codes), F.trim("_value")))
-    heads = header.groupBy("drawing_id").agg(value("$INSUNITS", [70]).try_cast("int").alias("insunits"), value("$DWGCODEPAGE", [3]).alias("codepage"))
-    drawings = texts.select(F.xxhash64("path").alias("drawing_id"), "path").join(heads, "drawing_id", "left").withColumn("insunits", F.coalesce("insunits", F.lit(0)))
+def _tables(files: DataFrame, lines: DataFrame, block: int) -> dict[str, DataFrame]:
+    """The tables of files (path) and their lines (path, line_no, line)."""
+    records = stored(_records(tags(lines, block), block), "records")
+    following = lambda names, codes: F.get(F.filter(F.transform("tags", lambda t, i: F.when((t["code"] == 9) & (F.trim(t["value"]) == names), F.get("tags", i + 1))), lambda t: t["code"].isin(codes)), F.lit(0))["value"]
+    headers = records.where(F.exists("tags", lambda t: t["code"] == 9))
+    heads = headers.groupBy("drawing_id").agg(F.min(F.trim(following("$INSUNITS", [70]))).try_cast("int").alias("insunits"), F.min(F.trim(following("$DWGCODEPAGE", [3]))).alias("codepage"))
+    drawings = files.select(F.xxhash64("path").alias("drawing_id"), "path").join(heads, "drawing_id", "left").withColumn("insunits", F.coalesce("insunits", F.lit(0)))
     seq = F.row_number().over(Window.partitionBy("drawing_id").orderBy("record_no")) - 1
     layers = records.where("type = 'LAYER' AND section = 'TABLES'").select("drawing_id", seq.alias("layer_seq"), "name", _whole(62, 7).alias("color"), _whole(70, 0).alias("flags"), _whole(370, -3).alias("lineweight"))
     blocks = records.where("type = 'BLOCK' AND section = 'BLOCKS'").select("drawing_id", seq.alias("block_seq"), "name", _number(10, 0).alias("base_x"), _number(20, 0).alias("base_y"))
     return {"drawings": schemas.with_columns_of(drawings, schemas.DRAWINGS), "layers": schemas.with_columns_of(layers, schemas.LAYERS), "blocks": schemas.with_columns_of(blocks, schemas.BLOCKS), "entities": _entities(records)}
+
+
+def tables(files: DataFrame, block: int = BLOCK) -> dict[str, DataFrame]:
+    """drawings, layers, blocks and entities of files that are rows (path, content)."""
+    texts = decode_files(files)
+    return _tables(texts, texts.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")), block)
+
+
+def read_tables(spark: SparkSession, folder: str, pattern: str = "*.[dD][xX][fF]", block: int = BLOCK) -> dict[str, DataFrame]:
+    """drawings, layers, blocks and entities of the files of a folder, whatever their size: see the module. Empty files have no drawing."""
+    lines = read_lines(spark, folder, pattern)
+    kinds = stored(codecs(lines), "codecs")
+    return _tables(kinds, decoded(lines.join(kinds, "path")), block)

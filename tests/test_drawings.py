@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftlake.functions.style import palette_colour
-from draftlake.operators import annotations, curves, expand, extents, hatch, inventory, segments, sheets
+from draftlake.operators import annotations, curves, expand, extents, hatch, inventory, running, segments, sheets
 from draftlake.plans import documents, export
 from draftlake.sources import dxf, schemas
 
@@ -429,6 +429,43 @@ def test_ingest(spark):
         assert [(r.name, r.base_x, r.base_y) for r in t["blocks"].where(F.col("drawing_id") == ids[path]).collect()] == [("B1", 5.0, 6.0)]
 
 
+def test_ingest_in_splits(spark, tmp_path):
+    """Files that many tasks read piece by piece give the tables that they give as rows, whatever the code page and the ends of lines."""
+    rng = random.Random(1)
+    entities = "".join(f"  0\nLINE\n  8\nréteg {i % 3}\n 10\n{rng.random()}\n 20\n{i}\n 11\n1.5\n 21\n2\n" if i % 4 else f"  0\nPOLYLINE\n  8\nő\n 70\n1\n" + "".join(f"  0\nVERTEX\n 10\n{k}\n 20\n{i}\n" for k in range(i % 7)) + "  0\nSEQEND\n" for i in range(1500))
+    large = FILE.format(page="ANSI_1250").replace("  0\nEOF\n", "").rstrip("\n") + "\n  0\nSECTION\n  2\nENTITIES\n" + entities + "  0\nENDSEC\n  0\nEOF\n"
+    contents = {"a.dxf": large.encode("cp1250"), "b.DXF": large.replace("\n", "\r\n").encode(), "c.dxf": FILE.format(page="ANSI_1250").encode("cp1250"), "d.dxf": b"junk", "e.dxf": "  0\nSECTION\n  2\nENTITIES\n  0\nTEXT\n  1\nfő c238\n".encode("cp1250"), "f.dxf": b"\xf5\n", "g.txt": b"no drawing"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    assert max(map(len, contents.values())) > 60_000
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        assert dxf.read_lines(spark, str(tmp_path)).where(F.endswith("path", F.lit("a.dxf"))).count() == large.count("\n")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 30
+        got = dxf.read_tables(spark, str(tmp_path), block=100)
+        kinds = {r.path.rsplit("/")[-1]: r.codec for r in dxf.codecs(dxf.read_lines(spark, str(tmp_path))).collect()}
+        got = {k: v.collect() for k, v in got.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert kinds == {k: dxf.detect_codec(v) for k, v in contents.items() if k != "g.txt"}
+    want = {k: v.collect() for k, v in dxf.tables(dxf.read_files(spark, str(tmp_path))).items()}
+    assert len(want["drawings"]) == 6 and len(want["entities"]) > 3000
+    for k in want:
+        assert sorted(map(str, got[k])) == sorted(map(str, want[k])), k
+
+
+def test_running_totals_and_values(spark):
+    rng = random.Random(2)
+    rows = [(k, i * 3 + k, rng.randrange(5), rng.choice([None, None, "a", "b"])) for k, n in ((0, 500), (1, 1), (2, 77)) for i in range(n)]
+    got = running.running(spark.createDataFrame(rows, "k int, i long, v long, w string").repartition(5), ["k"], "i", ["v"], ["w"], block=16)
+    total, last, want = {}, {}, []
+    for k, i, v, w in rows:
+        total[k], last[k] = total.get(k, 0) + v, w or last.get(k)
+        want.append((k, i, total[k], last[k]))
+    assert sorted(map(str, map(tuple, got.select("k", "i", "v", "w").collect()))) == sorted(map(str, want))
+
+
 def test_export_files_and_placement(spark, tmp_path):
     rows = [(1, "", k, "LINE", "WALL", True, 256, -2, 0.0, y, 4000.0, y) for k, y in enumerate((0.0, 300.0))]
     entities = schemas.with_columns_of(spark.createDataFrame(rows, "drawing_id long, block_name string, entity_seq long, type string, layer string, visible boolean, color int, lineweight int, x1 double, y1 double, x2 double, y2 double"), schemas.ENTITIES)
