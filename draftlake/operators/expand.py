@@ -9,6 +9,8 @@ from draftlake.functions.geometry import place
 from draftlake.storage import cut_lineage
 
 MAX_DEPTH = 10
+#: Instances of a drawing beyond which it is not expanded: a block that inserts itself k times has k to the tenth power.
+MOST_INSTANCES = 50_000_000
 IDENTITY = {"base_x": 0.0, "base_y": 0.0, "at_x": 0.0, "at_y": 0.0, "scale_x": 1.0, "scale_y": 1.0, "turn": 0.0}
 #: The block name of entities that stand in the drawing itself.
 TOP = ""
@@ -62,6 +64,38 @@ def instances(drawings: DataFrame, inserts: DataFrame, blocks: DataFrame, layers
     return found.select(*columns)
 
 
+def instance_counts(drawings: DataFrame, inserts: DataFrame, blocks: DataFrame, layers: list[str] | None = None, dimensions: str = "identity") -> DataFrame:
+    """(drawing_id, instances: how many rows `instances` would give it, as a double) without expanding anything.
+
+    The rows of each level are blocks with the number of ways that lead to them, not instances: at most two for each block and level (below
+    dimensions layers do not count).
+    """
+    usable = inserts.where("visible AND ref_block IS NOT NULL")
+    if dimensions == "skip":
+        usable = usable.where("type = 'INSERT'")
+    known = blocks.select("drawing_id", F.col("name").alias("ref_block")).distinct()
+    on = F.col("layer").isin(layers) if layers else F.lit(True)
+    edges = usable.join(known, ["drawing_id", "ref_block"]).groupBy("drawing_id", "block_name", "ref_block", on.alias("_on"), (F.col("type") == "DIMENSION").alias("_dim")).agg(F.count("*").cast("double").alias("_k"))
+    edges = cut_lineage(edges)
+    level = drawings.select("drawing_id", F.lit(TOP).alias("block_name"), F.lit(False).alias("bypass"), F.lit(1.0).alias("n"))
+    found = level.select("drawing_id", "n")
+    for _ in range(MAX_DEPTH):
+        rows = level.join(edges, ["drawing_id", "block_name"]).where("_on OR bypass")
+        level = cut_lineage(rows.groupBy("drawing_id", F.col("ref_block").alias("block_name"), (F.col("bypass") | F.col("_dim")).alias("bypass")).agg(F.sum(F.col("n") * F.col("_k")).alias("n")))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.select("drawing_id", "n"))
+    return found.groupBy("drawing_id").agg(F.sum("n").alias("instances"))
+
+
+def split_large(drawings: DataFrame, inserts: DataFrame, blocks: DataFrame, most: float = MOST_INSTANCES) -> tuple[DataFrame, DataFrame]:
+    """(drawings that may be expanded, rejects: drawing_id, reason) by the number of their instances."""
+    counts = cut_lineage(instance_counts(drawings.select("drawing_id"), inserts, blocks))
+    large = counts.where(F.col("instances") > most)
+    reason = F.concat(F.lit("too many block instances: "), F.format_string("%.0f", "instances"))
+    return drawings.join(large, "drawing_id", "left_anti"), large.select("drawing_id", reason.alias("reason"))
+
+
 def placed(entities: DataFrame, where: DataFrame, layers: list[str] | None = None) -> DataFrame:
     """Visible entities (drawing_id, block_name, layer, visible, ...) once for each instance of their block, with its placement."""
     own = entities.where("visible").drop("ref_block", "ins_x", "ins_y", "scale_x", "scale_y", "rot_deg")  # those of inserts

@@ -13,6 +13,7 @@ class WallOptions:
     angle_tolerance: float = 5.0  # degrees
     merge_gap: float = 0.05
     bridge_gap: float = 1.20
+    most_instances: float = 50e6  # of blocks in a drawing; one with more is rejected before it is expanded
     include_curves: bool = False
     scale: float = 0.01
     dpi: float = 300.0

@@ -309,6 +309,13 @@ def block_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("drawing_id", "block_name", "path", "depth", whole("at_x", 1e3).alias("at_x_th"), whole("at_y", 1e3).alias("at_y_th"), "scale_x", "scale_y", "turn")
 
 
+@query(with_tables(_BLOCK_TABLES, f"+ {_INSTANCES} SELECT drawing_id, count(depth) + 1 AS instances FROM drawings LEFT JOIN (SELECT drawing_id, depth FROM inst) i USING (drawing_id) GROUP BY 1", recursive=True))
+def instance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many instances each drawing has, itself included, counted without expanding it."""
+    rows = expand.instance_counts(table(spark, sf_dir, "drawings").select("drawing_id"), _inserts(spark, sf_dir), _blocks(spark, sf_dir))
+    return rows.select("drawing_id", F.col("instances").cast("long").alias("instances"))
+
+
 _L1, _L2 = _PLACE("l.x1", "l.y1"), _PLACE("l.x2", "l.y2")
 _PLACED = f"""{_INSTANCES}, placed AS (SELECT drawing_id, path, l.entity_seq, CASE l.entity_seq % 3 WHEN 0 THEN 'A-WALL' WHEN 1 THEN 'EXTRA' ELSE 'A-DOOR' END AS layer, {_L1[0]} AS wx1, {_L1[1]} AS wy1, {_L2[0]} AS wx2, {_L2[1]} AS wy2 FROM inst JOIN block_lines l USING (drawing_id, block_name) WHERE l.entity_seq % 17 <> 0)"""
 _BOXES = f"""{_PLACED}, boxes AS (SELECT drawing_id, min(least(wx1, wx2)) AS min_x, min(least(wy1, wy2)) AS min_y, max(greatest(wx1, wx2)) AS max_x, max(greatest(wy1, wy2)) AS max_y FROM placed GROUP BY 1)"""
@@ -744,6 +751,35 @@ def linework(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("drawing_id", "sheet_id", F.array_join("draw_order", "/").alias("draw_order"), "path", "entity_seq", "part", "kind", F.size("points").alias("n_points"), *[whole(v, 1e3).alias(f"{k}_th") for k, v in zip(extents.BOX, box, strict=True)], "r", "g", "b", "width_mm")
 
 
+_ARC_POINTS = _CURVES.partition("points AS (")[0].replace("FROM arcs)", "FROM arcs)") + "points AS (SELECT *, unnest(range(0, n + 1)) AS point_no FROM steps WHERE kind = 'arc')"
+_TILE_PIECES = lambda rows, k, size, count, i: f"""SELECT *, CASE WHEN {k}2 = {k}1 THEN t0 ELSE greatest(t0, (margin + ({i} + CASE WHEN {k}2 > {k}1 THEN 0 ELSE 1 END)*{size} - {k}1)/nullif({k}2-{k}1, 0)) END AS u0,
+  CASE WHEN {k}2 = {k}1 THEN t1 ELSE least(t1, (margin + ({i} + CASE WHEN {k}2 > {k}1 THEN 1 ELSE 0 END)*{size} - {k}1)/nullif({k}2-{k}1, 0)) END AS u1
+  FROM (SELECT *, unnest(range(greatest(0, CAST(floor((least({k}1 + t0*({k}2-{k}1), {k}1 + t1*({k}2-{k}1)) - margin)/{size}) AS INT)), least({count} - 1, CAST(floor((greatest({k}1 + t0*({k}2-{k}1), {k}1 + t1*({k}2-{k}1)) - margin)/{size}) AS INT)) + 1)) AS {i} FROM {rows}) s"""
+
+
+@query(
+    with_tables(
+        ["segments", "arcs", "polylines"],
+        f"""+ {_PLANS}, {_ARC_POINTS}, xy AS (SELECT drawing_id, entity_seq, cx, part, point_no, radius, s, cx + radius*cos(radians(s + point_no*(e-s)/n)) AS x, cy + radius*sin(radians(s + point_no*(e-s)/n)) AS y, cy FROM points),
+edge AS (SELECT 'line' AS kind, drawing_id, x1*1000 AS x1, y1*1000 AS y1, x2*1000 AS x2, y2*1000 AS y2 FROM segments
+  UNION ALL SELECT 'arc', drawing_id, x, y, lx, ly FROM (SELECT *, lead(x) OVER w AS lx, lead(y) OVER w AS ly FROM xy WINDOW w AS (PARTITION BY drawing_id, entity_seq, part, cx, cy, radius, s ORDER BY point_no)) l WHERE lx IS NOT NULL),
+drawn AS (SELECT kind, p.*, {", ".join(f"margin + offset_{k} + {f'(e.x{i} - min_x)' if k == 'x' else f'(max_y - e.y{i})'}*page_scale AS {k}{i}" for i in (1, 2) for k in "xy")}, 0e0 AS t0, 1e0 AS t1 FROM edge e JOIN plans p ON p.drawing_id = e.drawing_id),
+across AS ({_TILE_PIECES("drawn", "x", "print_w", "n_cols", "col")}), bands AS (SELECT * EXCLUDE (t0, t1, u0, u1), u0 AS t0, u1 AS t1 FROM across), down AS ({_TILE_PIECES("bands", "y", "print_h", "n_rows", "row")}),
+piece AS (SELECT *, (u1 - u0)*sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS len FROM down)
+SELECT drawing_id, sheet_id, CAST(row*n_cols + col + 1 AS INT) AS page, kind, count(*) AS pieces, {sql_whole("sum(len)", "1e2")} AS length_h FROM piece WHERE len > 1e-6 GROUP BY ALL""",
+    )
+)
+def tile_linework(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and arcs on the tiles of every sheet: how many pieces each page shows, and how long they are."""
+    own = _own_entities(spark, sf_dir).where("type IN ('LINE', 'ARC')")
+    corpus = {"drawings": table(spark, sf_dir, "drawings").withColumn("insunits", F.lit(4)), "layers": table(spark, sf_dir, "layers"), "blocks": table(spark, sf_dir, "blocks"), "entities": own}
+    plans = stored(_plans(spark, sf_dir)[0], "plans")
+    rows = sheets.tile_linework(export.linework(corpus, plans), plans)
+    a, b = F.get("points", 0), F.get("points", 1)
+    rows = rows.groupBy("drawing_id", "sheet_id", "page", "kind").agg(F.count("*").alias("pieces"), F.sum(F.hypot(b["x"] - a["x"], b["y"] - a["y"])).alias("_length"))
+    return rows.select("drawing_id", "sheet_id", "page", "kind", "pieces", whole("_length", 1e2).alias("length_h"))
+
+
 @query()
 def wall_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole wall export of the corpus; its summary, one row for each drawing."""

@@ -466,6 +466,59 @@ def test_running_totals_and_values(spark):
     assert sorted(map(str, map(tuple, got.select("k", "i", "v", "w").collect()))) == sorted(map(str, want))
 
 
+def test_tiles_of_linework(spark):
+    """Pieces on tiles, put together again, are the lines; no piece leaves its page; a long diagonal crosses tiles in proportion to its length."""
+    rng = random.Random(8)
+    kinds = "drawing_id long, sheet_id int, entity_seq long, kind string, filled boolean, points array<struct<x: double, y: double>>"
+    rows = []
+    for i in range(200):
+        points = [(rng.uniform(-30, 330), rng.uniform(-30, 240)) for _ in range(rng.randrange(2, 5))]
+        rows.append((1, 1, i, "line", False, [{"x": x, "y": y} for x, y in points]))
+    rows += [(1, 1, 900, "line", False, [{"x": 15.0, "y": 20.0}, {"x": 15.0, "y": 200.0}]), (1, 1, 901, "line", False, [{"x": 60.0, "y": 50.0}, {"x": 60.0, "y": 50.0}]), (1, 1, 902, "point", True, [{"x": 10.0, "y": 10.0}]), (1, 1, 903, "solid", True, [{"x": x, "y": y} for x, y in ((12.0, 12.0), (150.0, 12.0), (12.0, 89.0), (150.0, 89.0))]), (1, 1, 904, "line", False, [{"x": -5.0, "y": 5.0}, {"x": 300.0, "y": 5.0}])]
+    plan = spark.createDataFrame([(1, 1, 10.0, 50.0, 40.0, 6, 5)], "drawing_id long, sheet_id int, margin double, print_w double, print_h double, cols int, rows int")
+    got = {}
+    for r in sheets.tile_linework(spark.createDataFrame(rows, kinds), plan).collect():
+        assert r.page == r.row * 6 + r.col + 1 and 0 <= r.col < 6 and 0 <= r.row < 5
+        if not r.filled:
+            assert all(10 - 1e-6 <= p.x <= 60 + 1e-6 and 10 - 1e-6 <= p.y <= 50 + 1e-6 for p in r.points)
+        got.setdefault(r.entity_seq, []).append(r)
+    inside = lambda a, b, steps=4000: sum(10 <= a["x"] + t * (b["x"] - a["x"]) < 310 and 10 <= a["y"] + t * (b["y"] - a["y"]) < 210 for t in ((k + 0.5) / steps for k in range(steps))) / steps * math.hypot(b["x"] - a["x"], b["y"] - a["y"])
+    for _, _, i, _, filled, points in rows:
+        if not filled and i < 901:
+            length = sum(math.dist(r.points[0], r.points[1]) for r in got.get(i, []))
+            assert abs(length - sum(inside(a, b) for a, b in zip(points, points[1:], strict=False))) < 0.3, i
+            back = {(r.piece_no, round(p.x + 50 * r.col, 6), round(p.y + 40 * r.row, 6)) for r in got.get(i, []) for p in r.points}
+            for k, p in enumerate(points):
+                if 10 < p["x"] < 310 and 10 < p["y"] < 210:
+                    assert (min(k, len(points) - 2), round(p["x"], 6), round(p["y"], 6)) in back
+    assert len(got[900]) == 5 and [(r.col, r.row, tuple(r.points[0])) for r in got[901]] == [(1, 1, (10.0, 10.0))] and len(got[902]) == 1 and len(got[903]) == 3 * 2 and 904 not in got
+    far = spark.createDataFrame([(1, 1, 0.0, 0.0, 1e5, 1e5)], "drawing_id long, sheet_id int, x1 double, y1 double, x2 double, y2 double")
+    huge = spark.createDataFrame([(1, 1, 0.0, 10.0, 10.0, 10_000, 10_000)], "drawing_id long, sheet_id int, margin double, print_w double, print_h double, cols int, rows int")
+    assert 10_000 <= sheets.tile_lines(far, huge).count() <= 20_000
+
+
+def test_blocks_that_insert_themselves_are_counted_first(spark):
+    """Drawing 1 has a block of ten inserts of itself: ten to the tenth instances. Counts equal the rows of the expansion where there is one."""
+    def insert(d, block, k, ref, kind="INSERT", layer="L", visible=True):
+        return d, block, k, kind, layer, visible, ref, 1.0, 0.0, 1.0, 1.0, 0.0
+
+    rows = [insert(1, "", 0, "A"), *[insert(1, "A", k, "A") for k in range(10)]]
+    rows += [insert(2, "", 0, "A"), insert(2, "", 1, "A", layer="M"), insert(2, "", 2, "D", "DIMENSION"), insert(2, "A", 0, "B"), insert(2, "A", 1, "B", visible=False), insert(2, "D", 0, "A", layer="M"), insert(2, "B", 0, "none"), insert(2, "B", 1, "B")]
+    inserts = spark.createDataFrame(rows, INSERTS)
+    blocks = spark.createDataFrame([(d, i, n, 0.0, 0.0) for d in (1, 2) for i, n in enumerate("AABD")], schemas.BLOCKS)
+    drawings = spark.createDataFrame([(1, 4), (2, 4), (3, 4)], "drawing_id long, insunits int")
+    began = time.time()
+    counts = {r.drawing_id: r.instances for r in expand.instance_counts(drawings.select("drawing_id"), inserts, blocks).collect()}
+    assert counts[1] == 1 + sum(10.0**k for k in range(10)) and counts[3] == 1
+    good, large = expand.split_large(drawings, inserts, blocks)
+    assert {r.drawing_id for r in good.collect()} == {2, 3} and [(r.drawing_id, r.reason) for r in large.collect()] == [(1, "too many block instances: 1111111112")]
+    assert time.time() - began < 180  # seconds, on a busy machine; the expansion would have a billion rows
+    for layers, dimensions in ((None, "identity"), (["L"], "identity"), (["L"], "skip"), (None, "skip")):
+        rest = drawings.where("drawing_id > 1").select("drawing_id")
+        want = {r.drawing_id: r["count"] for r in expand.instances(rest, inserts, blocks, layers, dimensions).groupBy("drawing_id").count().collect()}
+        assert {r.drawing_id: r.instances for r in expand.instance_counts(rest, inserts, blocks, layers, dimensions).collect()} == want
+
+
 def test_export_files_and_placement(spark, tmp_path):
     rows = [(1, "", k, "LINE", "WALL", True, 256, -2, 0.0, y, 4000.0, y) for k, y in enumerate((0.0, 300.0))]
     entities = schemas.with_columns_of(spark.createDataFrame(rows, "drawing_id long, block_name string, entity_seq long, type string, layer string, visible boolean, color int, lineweight int, x1 double, y1 double, x2 double, y2 double"), schemas.ENTITIES)
