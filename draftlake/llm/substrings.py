@@ -19,8 +19,8 @@ broadcast, so the reference is cut into shards by content, and documents meet th
 
 `remove_known` is the same for a bounded reference set: automata of its shards are broadcast, with a check of the size.
 
-Defined cases: a null text has no words; a null doc_id counts as larger than any other, and rows without one do not
-remove each other's words, nor do rows of one doc_id; a very long text is read whole; a text without removed words stays byte for byte; equal rows give
+Defined cases: a null text has no words; a null doc_id counts as larger than any other (which are below 2^62), and rows without one do not
+remove each other's words, nor do rows of one doc_id; rows without one are told apart by their texts, so that they are spread like others; a very long text is read whole; a text without removed words stays byte for byte; equal rows give
 equal rows; clashing columns of the input become input_<name>.
 """
 
@@ -39,7 +39,8 @@ from draftlake.llm.common import apart, stored
 LENGTH, GRAM, HOT = 13, 6, 1000
 #: Places of anchors in a shard, about; each stands for some ten words.
 SHARD_ENTRIES = 10_000
-NO_ID = (1 << 63) - 1
+#: Documents without doc_id have numbers from here on, by their texts. Between themselves none is earlier than another.
+NO_ID = 1 << 62
 #: Words of a reference that remove_known broadcasts at most, and words of one automaton.
 KNOWN_WORDS, SHARD_WORDS = 1_000_000, 50_000
 
@@ -194,7 +195,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     many shards as keeps each to that (an anchor that is not hot has HOT places at most).
     """
     size = F.lit(1) + F.coalesce(F.size("others"), F.lit(0))
-    known = rows.groupBy("h").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.sum(size).alias("n")).where("lo < hi OR n > 1")
+    known = rows.groupBy("h").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.sum(size).alias("n")).where(f"lo < {NO_ID} AND (lo < hi OR n > 1)")
     known = stored(known.select("h", "lo", "n", (F.col("n") > HOT).alias("hot")), "anchors")
     parts = known.where("NOT hot").groupBy("lo").agg(F.ceil(F.sum("n") / SHARD_ENTRIES).alias("parts")).where("parts > 1")
     known = known.join(parts, "lo", "left")
@@ -211,7 +212,7 @@ def _settle(held: dict, length: int) -> list:
     out, gone = [], {}
     for key, places in held.items():
         first = min(places)[0]
-        if key[1] and len(places) > 1:
+        if key[1] and len(places) > 1 and first < NO_ID:
             for doc, row, start in places:
                 if doc > first:
                     gone.setdefault((doc, row), []).append(start)
@@ -285,7 +286,7 @@ def repeats(group: list[tuple[bytes, list[tuple[int, int, int]]]], length: int =
             i = 0
             while i < windows:
                 j = i
-                while j < windows and firsts[j] < doc:
+                while j < windows and firsts[j] < min(doc, NO_ID):
                     j += 1
                 if j > i:
                     yield doc, row, start + i, start + j - 1 + length
@@ -319,7 +320,7 @@ def _spans(segments: DataFrame, length: int) -> DataFrame:
                     out += [(d, r, x, y) for (d, r, x), (_, _, y) in zip(places[::2], places[1::2], strict=True)]
                 elif hot:  # a whole window, and its rows come in order of their first document: nothing needs to be held
                     first = seen.setdefault(segment, min(doc[offsets[i] : offsets[i + 1]]))
-                    out += [(d, r, s, s + length) for d, r, s in places if d > first]
+                    out += [(d, r, s, s + length) for d, r, s in places if first < min(d, NO_ID)]
                 else:
                     group.append((segment, list(places)))
             yield rows()
@@ -385,7 +386,8 @@ def _cut_out(docs: DataFrame, columns: list[T.StructField]) -> DataFrame:
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, their texts without repeated windows, with n_words, n_removed and kept_sha256 (of the kept words, joined by one space)."""
     docs = apart(docs, [f.name for f in NEW] + ["_doc", "_row", "_shared", "_first", "_hot", "_spans"])
-    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_row", F.xxhash64("doc_id", "text"))
+    own = F.lit(NO_ID) + F.xxhash64(F.lit("text"), "text").bitwiseAND(F.lit(NO_ID - 1))
+    keyed = docs.withColumn("_doc", F.coalesce("doc_id", own)).withColumn("_row", F.xxhash64("doc_id", "text"))
     shared = _shared(stored(_anchors_of(keyed, length), "anchors"))
     dealt = keyed.repartition("_doc")  # both joins below read this exchange
     segments = _segments(dealt.join(shared, "_doc", "left"), length)

@@ -65,6 +65,22 @@ def test_repeated_windows(spark, wide, none, rows, tmp_path, monkeypatch):
     assert substrings.dedup(none).count() == 0
 
 
+def test_windows_of_many_documents_without_id(spark, monkeypatch):
+    """Documents without doc_id lose what documents with one have, but nothing to each other, and their work is spread: no list is of all of them."""
+    rng = random.Random(1)
+    common, own = " ".join(f"c{i}" for i in range(40)), " ".join(f"n{i}" for i in range(40))
+    texts = [f"{' '.join(str(rng.random()) for _ in range(20))} {common if i % 2 else own} {i}" for i in range(5000)]
+    rows = [(None, t) for t in texts] + [(7, common), (None, texts[0]), (9, f"{common} x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for hot in (substrings.HOT, 10**9):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        began = time.time()
+        got = substrings.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert time.time() - began < 90 and sorted(map(str, map(tuple, got))) == sorted(map(str, brute_windows(rows)))
+    keyed = substrings._anchors_of(docs.withColumn("_doc", F.coalesce("doc_id", F.lit(substrings.NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(substrings.NO_ID - 1)))), 13)
+    assert substrings._shared(keyed).agg(F.max(F.size("_shared"))).first()[0] < 100
+
+
 def test_small_alphabet_windows(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(5, 120)))) for i in range(60)] + [(70, "a " * 500), (71, "a " * 40)]
