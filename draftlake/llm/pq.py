@@ -12,8 +12,8 @@ lists are found in two levels, so that fitting and assigning cost little more. E
 known by 128 bits of hash. Lists larger than LIST_ROWS are split, and so are their searchers, so that no task holds a whole hot
 list; a task gives counts and a spanning forest of its links, not pairs.
 
-Defined cases: vectors that are null, empty or zero, or that hold null or non-finite components link with nothing, and so do rows
-without vec_id (component null); vectors of different lengths do not link; components may be as large or small as doubles
+Defined cases: vectors that are null, empty or zero, or that hold null or non-finite components link with nothing; a row without
+vec_id links and counts like any other, but never names a component, so that one of such rows alone has none (null), and is not kept; vectors of different lengths do not link; components may be as large or small as doubles
 go, as a vector is divided by its largest one first; equal rows each get a row, and so do rows of one vec_id; ties do not
 arise, as no order decides; an empty table gives no rows; other columns are left out.
 """
@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = 16, l
     """(vec_id, n_links: other vectors linked directly, component_id, kept) for every row of vectors (vec_id, embedding)."""
     spark, v = vectors.sparkSession, F.col("embedding")
     broken = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    whole = v.isNotNull() & F.col("vec_id").isNotNull() & ~broken & F.exists("embedding", lambda c: c != 0)
+    whole = v.isNotNull() & ~broken & F.exists("embedding", lambda c: c != 0)
     rows = vectors.select("vec_id", F.transform("embedding", lambda c: c.cast("double") + 0.0).alias("embedding"))
     rows = rows.withColumn("key", F.when(F.coalesce(whole, F.lit(False)), F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))))
     rows = stored(rows, "vectors")

@@ -196,27 +196,33 @@ def test_product_quantisation(spark, tmp_path, sets):
     ids = [int(i) for i in rng.permutation(len(x))]
     rows = list(zip(ids, x, [0] * len(x), strict=True)) + [(None, x[0], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
-    whole = {i: np.array(v, dtype=np.float64) for i, v, _ in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
+    rows += [(None, [v * 3 for v in x[1]], 1), (None, x[0], 1), (None, [0.0, 1.0], 1), (None, [0.0, 2.0], 1)]
+    spark.createDataFrame(rows[-4:], "vec_id long, embedding array<float>, label int").write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
+    whole = {at: np.array(v, dtype=np.float64) for at, (_, v, _) in enumerate(rows) if v and len(v) in (2, 16) and None not in v and np.isfinite(v).all() and any(v)}
     keys = sorted(whole)
-    u = np.stack([whole[k] / np.linalg.norm(whole[k]) for k in keys])
-    links = np.argwhere(np.triu(u @ u.T >= 0.9, 1))
+    u = {k: whole[k] / np.linalg.norm(whole[k]) for k in keys}
     degree = defaultdict(int)
-    for a, b in links:
-        degree[keys[a]] += 1
-        degree[keys[b]] += 1
-        sets.join(keys[a], keys[b])
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if len(u[a]) == len(u[b]) and u[a] @ u[b] >= 0.9:
+                degree[a] += 1
+                degree[b] += 1
+                sets.join(a, b)
     least = {}
     for k in keys:
-        least[sets.find(k)] = min(least.get(sets.find(k), k), k)
-    want = [(i, degree.get(i, 0), least[sets.find(i)] if i in whole else i, i is not None and (least[sets.find(i)] if i in whole else i) == i) for i, _, _ in rows]
+        if rows[k][0] is not None:
+            least[sets.find(k)] = min(least.get(sets.find(k), rows[k][0]), rows[k][0])
+    component = lambda at: least.get(sets.find(at)) if at in whole else rows[at][0]
+    want = [(i, degree.get(at, 0), component(at), i is not None and component(at) == i) for at, (i, _, _) in enumerate(rows)]
+    assert [w for w in want if w[0] is None and w[1]] and want[-1] == (None, 1, None, False)
     got = op9_product_quantisation(spark, str(tmp_path)).collect()
     assert len(got) == len(want)
     exact = pq.near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), probes=1000, list_rows=30).collect()
     assert sorted(map(str, map(tuple, exact))) == sorted(map(str, want))  # all lists searched, in parts: nothing lost
     found, all_links = sum(r.n_links for r in got), sum(w[1] for w in want)
     assert 0.9 * all_links <= found <= all_links
-    by = {w[0]: w for w in want}
-    assert all(r.n_links <= by[r.vec_id][1] for r in got)
+    by = {w[0]: w for w in want if w[0] is not None}
+    assert all(r.n_links <= by[r.vec_id][1] for r in got if r.vec_id is not None)
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq.near_duplicates(none).count() == 0
 
