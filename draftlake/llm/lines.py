@@ -34,17 +34,21 @@ UPPER, LOWER, SPACE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEW = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
 
-def keyed_lines(text: Column, least_chars: int) -> Column:
-    """array<struct<line, a, b>>: number and 128 bits of hash of each line that is long enough."""
+def long_lines(text: Column, least_chars: int) -> Column:
+    """array<struct<line, key>>: number and stripped text of each line that is long enough."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     bare = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(SPACE)).alias("key")))
-    long = F.filter(bare, lambda x: F.char_length(x.key) >= least_chars)
+    return F.filter(bare, lambda x: F.char_length(x.key) >= least_chars)
+
+
+def keyed_lines(text: Column, least_chars: int) -> Column:
+    """array<struct<line, a, b>>: number and 128 bits of hash of each line that is long enough, as lower case of A to Z."""
 
-    def hashed(x: Column) -> Column:
-        low = F.when(F.octet_length(x.key) == F.char_length(x.key), F.lower(x.key)).otherwise(F.translate(x.key, UPPER, LOWER))
-        return F.struct(x.line.alias("line"), F.xxhash64(low).alias("a"), F.xxhash64(F.lit(1), low).alias("b"))
+    def low(key: Column) -> Column:
+        return F.when(F.octet_length(key) == F.char_length(key), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
 
-    return F.transform(long, hashed)
+    lowered = F.transform(long_lines(text, least_chars), lambda x: F.struct(x.line.alias("line"), low(x.key).alias("key")))  # once for both hashes
+    return F.transform(lowered, lambda x: F.struct(x.line.alias("line"), F.xxhash64(x.key).alias("a"), F.xxhash64(F.lit(1), x.key).alias("b")))
 
 
 def filter_bits(lines: int) -> int:
@@ -193,11 +197,10 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
     row = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_row": row})
     lines = keyed_lines(F.col("text"), least_chars)
-    hashes = docs.select(F.array_distinct(F.transform(lines, lambda x: x.a)).alias("_h")).where(F.size("_h") > 0)
-    total = hashes.agg(F.sum(F.size("_h"))).first()[0] or 0
-    filter_ = seen_twice(hashes, filter_bits(total))
+    total = docs.agg(F.sum(F.size(long_lines(F.col("text"), least_chars)))).first()[0] or 0
+    filter_ = seen_twice(docs.select(F.array_distinct(F.transform(lines, lambda x: x.a)).alias("_h")), filter_bits(total))
     lone = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-    rows = keyed.select("_id", "_row", lone.alias("_lone"), lines.alias("_lines")).where(F.size("_lines") > 0)
+    rows = keyed.select("_id", "_row", lone.alias("_lone"), lines.alias("_lines"))  # no filter by size: it would evaluate the lines twice
     found = stored(suspects(rows, filter_), "suspects")
     gone = dropped(found, least_docs)
     return _cut_out(keyed.join(gone, ["_id", "_row"], "left"), docs.schema.fields)
