@@ -28,6 +28,8 @@ RADIUS = 4
 LEAST_BLOCKS, SHARD_ROWS = 6, 500
 #: near_copies: the trees' radius (at Jaccard 0.8 the mean distance is 9.7, its deviation 2.9), bands, and MinHashes in each: at 0.8, 0.02 % of pairs share none.
 WIDE_RADIUS, BANDS, BAND_ROWS = 22, 28, 6
+#: near_copies: counters of the shingles' frequencies, which only set the order of prefixes (16 MB, broadcast).
+SLOTS = 1 << 22
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -253,50 +255,199 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, node long, size int, fingerprint long, bands array<long>")
 
 
-def shard_pairs(rows, percent: int, forest: bool):
-    """rows: Arrow batches of (band, key, fingerprint, size, node, label) in order of band and key. Yields pairs of nodes with other labels
-    that are near by fingerprint and whose sizes allow the similarity: all of them, or a spanning forest."""
-    import pyarrow as pa
+class Stars:
+    """Pairs to check first among the nodes of one band's shard, at most one for each node, and the pivots of the shard.
+
+    A node goes to the ball of a pivot within the radius whose size allows the similarity, and is paired with the nearest by fingerprint of
+    the ball's last few nodes; without such a pivot it becomes one. The tree holds pivots only, so that very many near nodes cost one short
+    search each. What these pairs do not connect is left to the shards by rare shingle.
+    """
 
-    here, mask64, a, b = None, (1 << 64) - 1, [], []
+    LAST = 8
+
+    def __init__(self, percent: int):
+        self.percent, self.tree, self.pivots, self.latest = percent, BKTree(WIDE_RADIUS), {}, None
+
+    def add(self, value: int, size: int, node: int):
+        """(pair, to be checked?) for the node, None for the first one of the shard."""
+        near = sorted(self.tree.near(value), key=lambda y: (y ^ value).bit_count())
+        for y in near:
+            for n, ball in self.pivots[y]:
+                if min(n, size) * 100 >= max(n, size) * self.percent:
+                    fits = [m for m in ball if (m[0] ^ value).bit_count() <= WIDE_RADIUS and min(m[1], size) * 100 >= max(m[1], size) * self.percent]
+                    other = min(fits, key=lambda m: (m[0] ^ value).bit_count())[2]
+                    if len(ball) > self.LAST:
+                        ball.pop(1)  # the pivot itself stays
+                    ball.append((value, size, node))
+                    return node, other, True
+        self.tree.insert(value)
+        self.pivots.setdefault(value, []).append((size, [(value, size, node)]))
+        before, self.latest = self.latest, node
+        return None if before is None else (node, before, False)
+
+
+class Across:
+    """Pairs of other labels among the nodes that have one shingle in their prefixes, added by size.
+
+    A pair needs a shingle that is in the prefix of the larger and in the (shorter) indexed prefix of the smaller one, with enough of both sets
+    left from there on. Trees hold the nodes that are indexed, one for each label: nodes of one component are never compared.
+    """
+
+    def __init__(self, percent: int, forest: bool):
+        self.percent, self.forest, self.trees, self.parent = percent, forest, {}, {}
 
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def find(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
         return x
 
+    def add(self, value: int, size: int, node: int, label: int, place: int):
+        """Yields the nodes to compare with this one: all, or, for a forest, one for each two components."""
+        percent = self.percent
+        for name, (tree, held) in self.trees.items():
+            if name == label or (self.forest and self.find(name) == self.find(label)):
+                continue
+            fits = (
+                other
+                for y in tree.near(value)
+                for n, other, at in held[y]
+                if n * 100 >= size * percent and min(size - place, n - at) * (100 + percent) >= (size + n) * percent
+            )
+            for other in fits:
+                yield other
+                if self.forest:
+                    self.parent[self.find(name)] = self.find(label)
+                    break
+        if place < indexed(size, percent):
+            tree, held = self.trees.setdefault(label, (BKTree(WIDE_RADIUS), {}))
+            tree.insert(value)
+            held.setdefault(value, []).append((size, node, place))
+
+
+def prefix(size: int, percent: int) -> int:
+    """How many of a set's first elements (in one order for all sets) hold one of any set of this similarity or more and of no greater size."""
+    return size - -(-size * percent // 100) + 1
+
+
+def indexed(size: int, percent: int) -> int:
+    """As prefix, against sets of no smaller size."""
+    return size - -(-2 * size * percent // (100 + percent)) + 1
+
+
+def by_shard(rows, keys: int, start, add):
+    """rows: Arrow batches in order of their first `keys` columns. For each shard of two rows or more, add(start(), *the other columns) yields
+    (a, b, check); a shard of one row in the middle of a batch is passed over."""
+    import numpy as np
+
+    here, state = None, None
     for batch in rows:
-        for band, key, value, size, node, label in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if here != (band, key):
-                here, tree, held, parent = (band, key), BKTree(WIDE_RADIUS), {}, {}
-            value &= mask64
-            near = tree.add(value)
-            near.sort(key=lambda y: (y ^ value).bit_count())
-            parent[node] = node
-            for y in near:
-                for n, other, name in held[y]:
-                    if name == label or min(n, size) * 100 < max(n, size) * percent:
-                        continue
-                    if forest:
-                        p, q = find(node), find(other)
-                        if p == q:
-                            continue
-                        parent[p] = q
-                    a.append(min(node, other))
-                    b.append(max(node, other))
-            held.setdefault(value, []).append((size, node, label))
-            if len(a) >= 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def candidates(nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes (node, size, fingerprint, bands, label)."""
-    keyed = nodes.select(F.posexplode("bands").alias("band", "key"), "fingerprint", "size", "node", "label")
+        columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        n, change = batch.num_rows, np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+        for c in columns[:keys]:
+            change |= c[1:] != c[:-1]
+        starts = np.r_[0, np.flatnonzero(change) + 1, n]
+        pairs = []
+        for i, j in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            if i == j:
+                continue
+            key = tuple(c[i] for c in columns[:keys])
+            if here != key:
+                here, state = key, None
+                if j - i == 1 and j < n:
+                    continue
+            state = state or start()
+            for row in zip(*(c[i:j].tolist() for c in columns[keys:]), strict=True):
+                pairs.extend(add(state, *row))
+                if len(pairs) >= 1 << 16:
+                    yield _pairs_batch(pairs)
+                    pairs = []
+        yield _pairs_batch(pairs)
+
+
+def _pairs_batch(pairs):
+    import numpy as np
+    import pyarrow as pa
+
+    found = np.array([(min(a, b), max(a, b)) for a, b, _ in pairs], dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array([c for _, _, c in pairs], pa.bool_())], ["a", "b", "check"])
+
+
+def _star(stars: Stars, value: int, size: int, node: int):
+    pair = stars.add(value & ((1 << 64) - 1), size, node)
+    return [pair] if pair else []
+
+
+def stars(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, check) of nodes (node, size, fingerprint, bands) that share a band. All nodes of a shard are connected by them; those
+    with `check` may be similar, the others only say that both are in one shard."""
+    keyed = nodes.select(F.posexplode("bands").alias("band", "key"), "fingerprint", "size", "node")
     dealt = keyed.repartition("band", "key").sortWithinPartitions("band", "key", "fingerprint")
-    return dealt.mapInArrow(lambda it: shard_pairs(it, percent, forest), "a long, b long").distinct()
+    found = dealt.mapInArrow(lambda it: by_shard(it, 2, lambda: Stars(percent), _star), "a long, b long, check boolean")
+    return found.groupBy("a", "b").agg(F.max("check").alias("check"))
+
+
+def unresolved(nodes: DataFrame) -> DataFrame:
+    """The nodes (node, bands, label) that share a band with one of another label."""
+    keyed = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "label")
+    mixed = keyed.groupBy("band", "key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high")
+    return keyed.join(mixed, ["band", "key"], "left_semi").select("node").distinct()
+
+
+def shingle_counts(sets: DataFrame):
+    """Counts of shingles, as an array of SLOTS sums over the shingles of equal lowest bits."""
+
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            found = batch.column(0).flatten().to_numpy() & (SLOTS - 1)
+            np.add.at(total, found, 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "n"])
+
+    table = sets.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.uint32)
+    counts[table["slot"].to_numpy()] = np.minimum(table["n"].to_numpy(), (1 << 32) - 1)
+    return counts
+
+
+def rare_first(sets: DataFrame, counts, percent: int) -> DataFrame:
+    """(token, size, node, place) for the prefix of each set (node, shingles), the rarest shingles first. What has a slot to itself meets nothing."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = []
+            for node, found in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
+                found = found.values.to_numpy()
+                often = shared.value[found & (SLOTS - 1)]
+                first = np.lexsort((found, often))[: prefix(len(found), percent)]
+                place = np.flatnonzero(often[first] > 1)
+                columns.append((found[first[place]], np.full(len(place), len(found), np.int32), np.full(len(place), node, np.int64), place.astype(np.int32)))
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["token", "size", "node", "place"])
+
+    return sets.mapInArrow(run, "token long, size int, node long, place int")
+
+
+def _across(found: Across, size: int, value: int, node: int, label: int, place: int):
+    return [(node, other, True) for other in found.add(value & ((1 << 64) - 1), size, node, label, place)]
+
+
+def across(tokens: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fingerprint, label) with other labels that prefixes (token, size, node, place) and fingerprints allow."""
+    keyed = tokens.join(nodes.select("node", "fingerprint", "label"), "node").select("token", "size", "fingerprint", "node", "label", "place")
+    dealt = keyed.repartition("token").sortWithinPartitions("token", "size", "node")
+    found = dealt.mapInArrow(lambda it: by_shard(it, 1, lambda: Across(percent, forest), _across), "a long, b long, check boolean")
+    return found.select("a", "b").distinct()
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -325,20 +476,30 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, component_id: the smallest doc_id that pairs of that similarity reach) for every row of docs."""
+    """(doc_id, component_id: the smallest doc_id that pairs of that similarity reach) for every row of docs.
+
+    Nodes are distinct sets of shingles. Those that share a band are paired sparsely and checked on whole sets. Nodes whose bands hold more than
+    one component then meet in shards by rare shingle, where trees give pairs between components: a forest of them, and once those are
+    checked all that are left. The prefixes lose no pair of the similarity.
+    """
     rows = stored(sketches(docs, words), "sketches")
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("text_key", "size", "fingerprint", "bands")]), "nodes")
-    forest = stored(candidates(nodes.drop("component_id", "n").withColumn("label", F.col("node")), percent, True), "forest")
-    near = stored(nodes.drop("component_id", "n").join(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "near")
+    first = stored(stars(nodes, percent), "stars")
+    near = stored(nodes.drop("component_id", "n").join(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "near")
     sets = stored(whole_sets(docs, near.select("node", "text_key"), words), "sets")
-    found = stored(checked(forest, sets, percent), "checked")
-    pairs = found.where("holds").select("a", "b")
-    joined = components(pairs)
-    if not found.where("NOT holds").isEmpty():
-        left = near.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        more = stored(candidates(left, percent, False).join(found, ["a", "b"], "left_anti"), "pairs")
-        joined = components(pairs.union(checked(more, sets, percent).where("holds").select("a", "b")))
-    discard(forest, near, sets)
+    found = stored(checked(first.where("check").select("a", "b"), sets, percent), "checked")
+    joined = components(found.where("holds").select("a", "b"))
+    labelled = lambda rows: rows.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    left = stored(near.join(unresolved(labelled(near)), "node", "left_semi"), "left")
+    if not left.isEmpty():
+        open_sets = sets.join(left.select("node"), "node", "left_semi")
+        tokens = stored(rare_first(open_sets, shingle_counts(open_sets), percent), "prefixes")
+        for forest in (True, False):
+            more = across(tokens, labelled(left), percent, forest).join(found.select("a", "b"), ["a", "b"], "left_anti")
+            found = stored(found.union(checked(more, sets, percent)), "checked")
+            joined = components(found.where("holds").select("a", "b"))
+        discard(tokens)
+    discard(first, near, sets, left)
     named = stored(smallest_of_component(nodes.select("node", "component_id", "n"), joined, "component_id"), "components")
     return join_by(rows.select("doc_id", "node"), named, "node", "n").select("doc_id", "component_id")
 

@@ -186,6 +186,92 @@ def test_near_copies_equal_brute_force(spark, sets):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_many_near_fingerprints_of_one_band_cost_a_short_search_each():
+    rng = random.Random(21)
+    found, base, n = simhash.Stars(80), rng.getrandbits(64), 100_000
+    began, pairs, to_check = time.time(), 0, 0
+    for node in range(n):
+        value = base
+        for bit in rng.sample(range(64), rng.randrange(12)):  # all within 22 bits of each other
+            value ^= 1 << bit
+        pair = found.add(value, rng.randrange(100, 110), node)
+        pairs += pair is not None
+        to_check += pair is not None and pair[2]
+    assert time.time() - began < 60
+    assert pairs == n - 1 and to_check == n - 1
+
+
+def test_stars_connect_all_nodes_of_a_shard(sets):
+    rng = random.Random(22)
+    found = simhash.Stars(80)
+    nodes = [(rng.getrandbits(64), rng.choice([1, 5, 40, 50, 4000])) for _ in range(400)]
+    for node, (value, size) in enumerate(nodes + nodes):
+        if pair := found.add(value, size, node):
+            a, b, check = pair
+            sets.join(a, b)
+            (v, m), (w, k) = nodes[a % 400], nodes[b % 400]
+            assert not check or (v ^ w).bit_count() <= simhash.WIDE_RADIUS and min(m, k) * 100 >= max(m, k) * 80
+    assert len({sets.find(i) for i in range(800)}) == 1
+
+
+def test_prefixes_lose_no_pair(sets):
+    rng = random.Random(23)
+    found, near, lost = [], 0, 0
+    for _ in range(40):
+        base = rng.sample(range(300), rng.randrange(1, 60))
+        for _ in range(6):
+            found.append(frozenset(x for x in base if rng.random() > 0.1) | frozenset(rng.sample(range(300), rng.randrange(4))))
+    found = [x for x in set(found) if x]
+    often = defaultdict(int)
+    for x in found:
+        for y in x:
+            often[y] += 1
+    shards = defaultdict(list)
+    for i, x in enumerate(found):
+        for place, y in enumerate(sorted(x, key=lambda y: (often[y], y))[: simhash.prefix(len(x), 80)]):
+            shards[y].append((len(x), i, place))
+    pairs, links = set(), set()
+    for rows in shards.values():
+        every, forest = simhash.Across(80, False), simhash.Across(80, True)
+        for size, i, place in sorted(rows):
+            pairs |= {frozenset((i, j)) for j in every.add(0, size, i, i, place)}
+            links |= {frozenset((i, j)) for j in forest.add(0, size, i, i, place)}
+    assert links <= pairs
+    for i, x in enumerate(found):
+        for j in range(i):
+            if 5 * len(x & found[j]) >= 4 * len(x | found[j]):
+                near += 1
+                lost += frozenset((i, j)) not in pairs
+    assert near > 100 and lost == 0 and len(pairs) < len(found) * (len(found) - 1) // 2 // 10
+
+
+def test_a_common_header_gives_no_pairs_of_all(spark, sets, monkeypatch):
+    """600 texts share a header that is 0.7 of each; some are near copies besides. What is checked stays in proportion to the texts."""
+    rng = random.Random(24)
+    header = [f"h{i}" for i in range(240)]
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [header + own(50) for _ in range(480)]
+    for i in range(120):
+        t = list(texts[i * 3])
+        for _ in range(rng.randrange(1, 7)):  # similarities of 0.8 and more, and less
+            t[rng.randrange(240, 290)] = own(1)[0]
+        texts.append(t)
+    shingles = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    for i, x in enumerate(shingles):
+        for j, y in enumerate(shingles[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                sets.join(i, j)
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(sets.find(i), i)
+    tried, check = [], simhash.checked
+    monkeypatch.setattr(simhash, "checked", lambda pairs, *rest: tried.append(pairs.count()) or check(pairs, *rest))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: least[sets.find(i)] for i in range(len(texts))}
+    assert len(least) < 590 and len(tried) == 3 and sum(tried) < 20 * len(texts)
+
+
 def test_product_quantisation(spark, tmp_path, sets):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(300, 16))
