@@ -11,13 +11,14 @@ logarithm of its perplexity). A document is rejected above its threshold: a quan
 language and size class (doublings of UTF-8 bytes: scores of long texts spread far less than those of short ones). Classes
 with few trusted documents take the quantile of the language, languages with few the one over all of them.
 
-Scoring joins documents with the sharded tables of the model: documents are dealt to chunks of CHUNK_BYTES, each chunk asks
-once for each of its n-grams, the distinct n-grams are looked up by joins, order by order, and the answers go back to
-their chunks. A common n-gram is asked for once by a chunk, so that no key gathers all documents. While the model has at most
-BROADCAST_ENTRIES entries (counted, not guessed) it is broadcast instead, which gives the same scores and spares the texts a shuffle.
+Documents are dealt to chunks of some CHUNK_BYTES, of one fold each, by a hash of doc_id and text. A chunk reads its texts as a stream, after the ids
+that are trusted among them, and gives each distinct n-gram once, with its count in trusted texts: these counts train the models, and the same
+rows ask for the scores. Distinct n-grams are looked up in the sharded tables of the model by joins, order by order, and the answers go back to
+their chunks, where they precede the texts in the stream. So texts shuffle twice, and a common n-gram is asked for once by a chunk: no key
+gathers all documents, and nothing of the model is in one memory. A caller with a model of proven size may set broadcast_entries instead.
 
 Defined cases: a null text is an empty one, scored for its end mark alone; a very long text is counted and scored in slices
-of SLICE bytes; a null language is a language of its own; without trusted documents nothing is rejected, and a fold that has none
+of SLICE bytes; equal rows share a chunk, whose texts are never held together; a null language is a language of its own; without trusted documents nothing is rejected, and a fold that has none
 leaves every byte equally likely to the other; label rows of one doc_id must all trust it; equal texts score alike, and a
 score equal to the threshold is kept; an empty table gives no rows; clashing columns of the input become input_<name>.
 """
@@ -32,13 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftlake.llm.common import apart, stored, utf8_size
+from draftlake.llm.common import apart, discard, stored, utf8_size
 
 ORDER = 5
 PAD, END = b"\n", b"\0"
-BROADCAST_ENTRIES = 3_000_000
 SLICE = 1 << 19  # bytes that are scored or counted at once
-CHUNK_BYTES = 16 << 20  # of documents that ask the sharded model together
+CHUNK_BYTES = 32 << 20  # of documents that ask the sharded model together
+HELD_GRAMS = 4_000_000  # distinct n-grams that a chunk holds before it gives them away
 TAG = 56  # an n-gram's order stands in the bits from here on
 
 
@@ -72,50 +73,79 @@ def _slices(text: str | None, order: int = ORDER):
         yield data[i : i + SLICE + order - 1]
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(m, gram, c): counts of the n-grams of highest order in all texts of each fold m (a column of docs)."""
+def _chunk(docs: DataFrame) -> Column:
+    """The chunk of a document; its lowest bit is the document's fold."""
+    size = docs.agg(F.sum(utf8_size(F.col("text")) + 1)).first()[0] or 0
+    number = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(max(1, size // (2 * CHUNK_BYTES))))
+    return 2 * number + fold()
+
+
+class _Counts:
+    """Distinct n-grams of highest order, with their counts in trusted texts."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        import numpy as np
+
+        self.grams, self.counts, self.held, self.size = np.zeros(0, np.uint64), np.zeros(0), [], 0
+
+    def add(self, part: bytes, trusted: bool):
+        self.held.append((part, trusted))
+        self.size += len(part)
+        if self.size >= 4 * SLICE:
+            self.merge()
+
+    def merge(self):
+        import numpy as np
+
+        for trusted in (False, True):
+            if parts := [_keys(x) for x, t in self.held if t == trusted]:
+                own, n = np.unique(np.concatenate(parts), return_counts=True)
+                both, at = np.unique(np.concatenate([self.grams, own]), return_inverse=True)
+                self.counts = np.bincount(at, weights=np.concatenate([self.counts, n * trusted]), minlength=len(both))
+                self.grams = both
+        self.held, self.size = [], 0
+
+
+def ngrams(docs: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
+    """(_s, gram, c): the n-grams of highest order in the texts of each chunk (column _s of docs), with their counts in the texts whose doc_id is trusted. A
+    chunk with very many gives some in several rows, whose counts add up."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        class Counts:
-            def __init__(self):
-                self.grams, self.counts, self.held, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-            def add(self, part):
-                self.held.append(part)
-                self.size += len(part)
-                if self.size >= 4 * SLICE:
-                    self.merge()
-
-            def merge(self):
-                if self.held:
-                    own, n = np.unique(np.concatenate([_keys(x) for x in self.held]), return_counts=True)
-                    both, at = np.unique(np.concatenate([self.grams, own]), return_inverse=True)
-                    self.counts = np.bincount(at, weights=np.concatenate([self.counts, n]), minlength=len(both)).astype(np.int64)
-                    self.grams, self.held, self.size = both, [], 0
-
-        folds = {}
-
-        def out(least):
-            for m, f in folds.items():
-                if least == 0:
-                    f.merge()
-                if len(f.grams) > least:
-                    for i in range(0, len(f.grams), 1 << 16):
-                        grams, counts = f.grams[i : i + (1 << 16)].astype(np.int64), f.counts[i : i + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), m, np.int32)), pa.array(grams), pa.array(counts)], ["m", "gram", "c"])
-                    f.grams, f.counts = f.grams[:0], f.counts[:0]
+        counts, chunk, ids = _Counts(), None, set()
+
+        def out():
+            counts.merge()
+            for i in range(0, len(counts.grams), 1 << 16):
+                grams, c = counts.grams[i : i + (1 << 16)].astype(np.int64), counts.counts[i : i + (1 << 16)].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), chunk, np.int64)), pa.array(grams), pa.array(c)], ["_s", "gram", "c"])
+            counts.clear()
 
         for batch in batches:
-            for m, text in zip(batch.column("m").to_pylist(), batch.column("text"), strict=True):
+            for s, first, i, text in zip(*(batch.column(k).to_pylist() for k in ("_s", "_first", "doc_id")), batch.column("text"), strict=True):
+                if s != chunk:
+                    yield from out()
+                    chunk, ids = s, set()
+                if first:
+                    ids.add(i)
+                    continue
                 for part in _slices(text.as_py()):
-                    folds.setdefault(m, Counts()).add(part)
-            yield from out(1_000_000)
-        yield from out(0)
+                    counts.add(part, i in ids)
+                    if len(counts.grams) >= HELD_GRAMS:
+                        yield from out()
+        yield from out()
 
-    return docs.select("m", "text").mapInArrow(run, "m int, gram long, c long").groupBy("m", "gram").agg(F.sum("c").alias("c"))
+    rows = docs.select("_s", F.lit(False).alias("_first"), "doc_id", "text")
+    if trusted is not None:
+        # grows with the corpus: joined the same way at every size, not broadcast while it is small
+        known = docs.select("_s", "doc_id").distinct().join(trusted.hint("merge"), "doc_id", "left_semi")
+        rows = rows.unionByName(known.withColumn("_first", F.lit(True)), allowMissingColumns=True)
+    return rows.repartition("_s").sortWithinPartitions("_s", F.desc("_first")).mapInArrow(run, "_s long, gram long, c long")
 
 
 def _low(gram: Column | str, order: int) -> Column:
@@ -133,11 +163,10 @@ def _discounts(ones: list[int]) -> list[float]:
     return [d if 0 < d < i + 1 else 0.5 for i, d in enumerate(found)]
 
 
-def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(probabilities: m, n, gram, value; back-offs: m, n, gram, value) of trusted (text): natural logarithms, by order of n-gram or
-    context, of the model that scores fold m and has seen the other."""
-    other = trusted.select((1 - fold()).alias("m"), "text")
-    levels = {ORDER: stored(count_ngrams(other), "grams")}
+def train(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(probabilities: m, n, gram, value; back-offs: m, n, gram, value): natural logarithms, by order of n-gram or context, of the models that score
+    fold m; counts (m, gram, c) are those of the trusted texts of the other fold."""
+    levels = {ORDER: stored(counts.groupBy("m", "gram").agg(F.sum("c").alias("c")), "grams")}
     for n in range(ORDER - 1, 0, -1):
         levels[n] = stored(levels[n + 1].select("m", _low("gram", n).alias("gram")).groupBy("m", "gram").agg(F.count("*").alias("c")), "grams")
     below, probabilities, backs = None, [], []
@@ -158,6 +187,7 @@ def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
         probabilities.append(below.select("m", F.lit(n).alias("n"), "gram", F.log("p_low").alias("value")))
         backs.append(contexts.select("m", F.lit(n - 1).alias("n"), F.col("context").alias("gram"), F.log("back").alias("value")))
         below = below.withColumnRenamed("gram", "low")
+    discard(*levels.values())
     return functools.reduce(DataFrame.union, probabilities), functools.reduce(DataFrame.union, backs)
 
 
@@ -214,11 +244,10 @@ class Scorer:
         sums, sizes, held, owner, size = np.zeros(len(texts)), np.zeros(len(texts)), [], [], 0
 
         def add():
-            ends = np.cumsum([len(x) for x in held])
-            starts = np.r_[0, ends[:-1]]
-            values = np.r_[self.log_likelihoods(_keys(b"".join(held))), np.zeros(ORDER - 1)]
-            sums_of = np.r_[0.0, np.cumsum(values)]
-            for i, a, b in zip(owner, starts, ends - ORDER + 1, strict=True):
+            keys = [_keys(x) for x in held]  # of each part alone: n-grams that stretch over two texts are of neither
+            sums_of = np.r_[0.0, np.cumsum(self.log_likelihoods(np.concatenate(keys)))]
+            ends = np.cumsum([len(x) for x in keys])
+            for i, a, b in zip(owner, np.r_[0, ends[:-1]], ends, strict=True):
                 sums[i] += sums_of[b] - sums_of[a]
                 sizes[i] += b - a
 
@@ -318,53 +347,60 @@ def _answers(asked: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.union, done, known)
 
 
-def _scored_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """As _scored_here, with no table of the model in memory. Chunks are dealt by the position of a row, which the stored copy fixes."""
-    names = docs.columns
-    size = docs.agg(F.sum(utf8_size(F.col("text")) + 1)).first()[0] or 0
-    chunk = 2 * F.pmod(F.xxhash64("_row"), F.lit(max(1, size // (2 * CHUNK_BYTES)))) + F.col("_m")
-    rows = stored(docs.withColumns({"_row": F.monotonically_increasing_id(), "_m": fold()}), "rows").withColumn("_s", chunk)
+def _scored_by_joins(docs: DataFrame, asked: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """As _scored_here, with no table of the model in memory; asked: what `ngrams` gives for the chunks of docs."""
+    names = [c for c in docs.columns if c != "_s"]
+    schema = T.StructType([*docs.select(names).schema.fields, T.StructField("log_ppl", T.DoubleType())])
+    questions = asked.select("_s", (F.col("_s") % 2).cast("int").alias("m"), "gram")
+    answers = questions.join(_answers(questions, model), ["m", "gram"]).select("_s", F.lit(True).alias("_first"), F.col("gram").alias("_gram"), F.col("value").alias("_value"))
 
-    def ask(t):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        grams = np.zeros(0, np.uint64)
-        for part in _joined_slices(t["text"]):
-            grams = np.union1d(grams, _keys(part))
-        return pa.Table.from_pydict({"_s": pa.array(np.full(len(grams), t["_s"][0].as_py())), "m": pa.array(np.full(len(grams), t["_m"][0].as_py(), np.int32)), "gram": pa.array(grams.astype(np.int64))})
-
-    asked = stored(rows.select("_s", "_m", "text").groupBy("_s").applyInArrow(ask, "_s long, m int, gram long"), "asked")
-    values = stored(asked.join(_answers(asked, model), ["m", "gram"]).select("_s", "gram", "value"), "answers")
-
-    def answer(mine, theirs):
-        import pyarrow as pa
-
-        known = Answers(theirs["gram"].to_numpy(), theirs["value"].to_numpy())
-        return mine.select(names).append_column("log_ppl", pa.array(known.scores(mine["text"].to_pylist()), pa.float64()))
-
-    return rows.groupBy("_s").cogroup(values.groupBy("_s")).applyInArrow(answer, T.StructType([*docs.schema.fields, T.StructField("log_ppl", T.DoubleType())]))
-
-
-def _joined_slices(texts):
-    """Slices of all texts, joined to parts of some SLICE bytes; n-grams that stretch over two texts are asked for in vain."""
-    held, size = [], 0
-    for text in texts:
-        for part in _slices(text.as_py()):
-            held.append(part)
-            size += len(part)
-            if size >= 4 * SLICE:
-                yield b"".join(held)
-                held, size = [], 0
-    if held:
-        yield b"".join(held)
-
-
-def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """docs with log_ppl."""
-    docs = apart(docs, ["log_ppl", "_m", "_s", "_row"])
-    small = sum(x.count() for x in model) <= broadcast_entries
-    return (_scored_here if small else _scored_by_joins)(docs, model)
+        chunk, held, known = None, [], None
+        for batch in batches:
+            chunks, first = batch.column("_s").to_numpy(), batch.column("_first").to_numpy(zero_copy_only=False)
+            ends = np.r_[np.flatnonzero((chunks[1:] != chunks[:-1]) | (first[1:] != first[:-1])) + 1, len(chunks)]
+            for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                if a == b:
+                    continue
+                if chunks[a] != chunk:
+                    chunk, held, known = chunks[a], [], None
+                part = batch.slice(a, b - a)
+                if first[a]:
+                    held.append((part.column("_gram").to_numpy(), part.column("_value").to_numpy()))
+                    continue
+                if known is None:
+                    known, held = Answers(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                for i in range(0, b - a, 1000):
+                    few = part.slice(i, 1000)
+                    scores = known.scores(few.column("text").to_pylist())
+                    yield pa.RecordBatch.from_arrays([*few.select(names).columns, pa.array(scores, pa.float64())], [*names, "log_ppl"])
+
+    rows = docs.withColumn("_first", F.lit(False)).unionByName(answers, allowMissingColumns=True)
+    return rows.repartition("_s").sortWithinPartitions("_s", F.desc("_first")).mapInArrow(run, schema)
+
+
+OWN = ["log_ppl", "_m", "_s", "_first", "_gram", "_value"]
+
+
+def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], broadcast_entries: int = 0) -> DataFrame:
+    """docs with log_ppl. A model of broadcast_entries entries at most (counted) is broadcast, which gives the same scores."""
+    docs = apart(docs, OWN)
+    if broadcast_entries and sum(x.count() for x in model) <= broadcast_entries:
+        return _scored_here(docs, model)
+    chunks = docs.withColumn("_s", _chunk(docs))
+    return _scored_by_joins(chunks, stored(ngrams(chunks), "asked"), model)
+
+
+def learned(docs: DataFrame, trusted: DataFrame) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+    """(model of the trusted doc_ids' texts, docs with log_ppl): the n-grams that chunks count for training are also what they ask."""
+    docs = apart(docs, OWN)
+    chunks = docs.withColumn("_s", _chunk(docs))
+    asked = stored(ngrams(chunks, trusted), "asked")
+    model = train(asked.where("c > 0").select((1 - F.col("_s") % 2).cast("int").alias("m"), "gram", "c"))
+    return model, _scored_by_joins(chunks, asked, model)
 
 
 def _quantiles(scores: DataFrame, keys: list[str], q: float) -> DataFrame:
@@ -399,18 +435,11 @@ def thresholds(scores: DataFrame, trusted: DataFrame, rule: Rule = Rule()) -> Da
     return stored(limits.select("lang", "size_class", (at + rule.slack).alias("threshold")), "thresholds")
 
 
-def model_of(docs: DataFrame, labels: DataFrame) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
-    """(model, ids of trusted documents)."""
-    good = trusted_ids(labels)  # grows with the corpus: joined the same way at every size, not broadcast while it is small
-    trusted = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
-    return tuple(stored(x, "model") for x in train(trusted)), good
-
-
 def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> tuple[tuple[DataFrame, DataFrame], DataFrame, DataFrame]:
     """(model, scores: doc_id, lang, size_class, log_ppl of all docs, thresholds by language and size class)."""
-    model, good = model_of(docs, labels)
-    scores = score(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", size_class().alias("size_class"), "log_ppl")
-    scores = stored(scores, "scores")
+    good = trusted_ids(labels)
+    model, scored = learned(docs.select("doc_id", "lang", "text"), good)
+    scores = stored(scored.select("doc_id", "lang", size_class().alias("size_class"), "log_ppl"), "scores")
     return model, scores, thresholds(scores, good, rule)
 
 
@@ -427,8 +456,8 @@ def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """docs without the rejected ones. Each is scored once, and stored with its score until the thresholds are known."""
-    model, good = model_of(docs, labels)
-    clear = apart(docs, ["log_ppl", "threshold", "kept", "size_class", "_m", "_s", "_row"])
-    scored = stored(score(clear, model).withColumn("size_class", size_class()), "scored")
+    good = trusted_ids(labels)
+    clear = apart(docs, [*OWN, "threshold", "kept", "size_class"])
+    scored = stored(learned(clear, good)[1].withColumn("size_class", size_class()), "scored")
     limits = thresholds(scored.select("doc_id", "lang", "size_class", "log_ppl"), good, rule)
     return _judged(scored, limits).where("kept").select(*clear.columns).toDF(*docs.columns)

@@ -83,15 +83,15 @@ def test_model_equals_brute_force(spark, corpus, monkeypatch):
     want = sorted((str(r[0]), round(brute_score(models[folds[r[1]]], r[1]), 4)) for r in short)
     got = sorted((str(r.doc_id), round(r.log_ppl, 4)) for r in scores.where("doc_id IS NULL OR doc_id <> 1002").collect())
     assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 2e-4 for g, w in zip(got, want, strict=True))
-    here = kn.score(docs, model).select("doc_id", "log_ppl").collect()
+    here = kn.score(docs, model, broadcast_entries=3_000_000).select("doc_id", "log_ppl").collect()
     key = lambda x: sorted((str(r.doc_id), round(r.log_ppl, 4)) for r in x)
     for chunk, cut in ((kn.CHUNK_BYTES, kn.SLICE), (20_000, 1000)):  # one chunk of each fold, then many, with texts in slices
         monkeypatch.setattr(kn, "CHUNK_BYTES", chunk)
         monkeypatch.setattr(kn, "SLICE", cut)
-        joined = kn.score(docs, model, broadcast_entries=0).select("doc_id", "log_ppl").collect()
+        joined = kn.score(docs, model).select("doc_id", "log_ppl").collect()
         assert all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-4 for a, b in zip(key(joined), key(here), strict=True)) and len(joined) == len(rows)
     monkeypatch.undo()
-    assert kn.score(docs.limit(0), model, broadcast_entries=0).count() == 0
+    assert kn.score(docs.limit(0), model).count() == 0
 
 
 def test_quality_is_told_apart(spark, corpus, none):
