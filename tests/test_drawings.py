@@ -464,6 +464,8 @@ def test_running_totals_and_values(spark):
         total[k], last[k] = total.get(k, 0) + v, w or last.get(k)
         want.append((k, i, total[k], last[k]))
     assert sorted(map(str, map(tuple, got.select("k", "i", "v", "w").collect()))) == sorted(map(str, want))
+    before = running.running(spark.createDataFrame(rows, "k int, i long, v long, w string"), ["k"], "i", maxima=["v"], block=16).collect()
+    assert {(r.k, r.i): r.v for r in before} == {(k, i): max((v for a, j, v, _ in rows if a == k and j < i), default=None) for k, i, *_ in rows}
 
 
 def test_tiles_of_linework(spark):
