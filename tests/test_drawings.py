@@ -18,6 +18,17 @@ def test_palette():
     assert [palette_colour(i) for i in (1, 7, 10, 11, 20, 21, 33, 35, 49, 245, 250, 255, -1, 256)] == [(255, 0, 0), (0, 0, 0), (255, 0, 0), (255, 127, 127), (255, 63, 0), (255, 159, 127), (165, 124, 82), (127, 95, 63), (38, 33, 19), (127, 63, 79), (84,) * 3, (255,) * 3, (0, 0, 0), (0, 0, 0)]
 
 
+def test_nearest_is_round_without_decimal_text(spark):
+    from draftlake.functions.geometry import nearest, round6
+
+    rng = random.Random(5)
+    values = [s * v for s in (1, -1) for v in (0.0, 0.4, 0.5, 1.5, 2.5, 0.49999999999999994, 4503599627370495.5, 1e300, *(rng.uniform(0, 1e6) for _ in range(500)), *(rng.randrange(10**6) + 0.5 for _ in range(500)))] + [None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", nearest(F.col("v")).alias("got"), F.round("v").alias("want"), round6(F.col("v") / 1e6).alias("six"))
+    assert all(str(r.got) == str(r.want) and str(r.six) != "-0.0" for r in rows.collect())
+    plan = rows.select("got")._jdf.queryExecution().executedPlan().toString()
+    assert "round(" not in plan.replace("rint(", "").lower()
+
+
 def test_expansion(spark):
     drawings = spark.createDataFrame([(1,)], "drawing_id long")
     blocks = spark.createDataFrame([(1, 0, "A", 9.0, 9.0), (1, 1, "A", 1.0, 0.0), (1, 2, "B", 0.0, 0.0), (1, 3, "LOOP", 0.0, 0.0)], schemas.BLOCKS)
