@@ -1,20 +1,22 @@
 """Reads text DXF files into the tables of a corpus.
 
 A file is a list of pairs of lines, a group code and a value. Code 0 begins a record; records make sections, blocks and
-entities. Every step is one over the tags of all files: pairs by line number, records by running counts, entities by aggregates
-within a record.
+entities.
 
-Files are read in splits, so that one large file is work for many tasks: Spark's text reader says in which split a line stands, counts by split give
-its number in the file, and running counts and sections are carried from block to block (`operators.running`). No row holds a file, and no
-window a drawing. `tables` takes files that are rows instead.
+Files are read in splits, so that one large file is work for many tasks: the lines of a split become pieces, counts by piece say which of their
+lines are codes, and what stands before a piece's first record goes to the group of the piece before. So groups hold whole records, and what holds before
+them (section, block, polyline, number of records) is carried from group to group in small tables. No row holds a file, and no
+window its lines. `tables` takes files that are rows instead.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from draftlake.operators.running import BLOCK, running
+from draftlake.operators.running import BLOCK
 from draftlake.sources import schemas
 from draftlake.storage import stored
 
@@ -22,6 +24,9 @@ from draftlake.storage import stored
 CODEPAGES = {f"ANSI_{n}": f"cp{n}" for n in range(1250, 1258)}
 #: A mark of central European fonts in annotations.
 CENTRAL_EUROPE = b"c238"
+DECLARED = b"$DWGCODEPAGE"
+SPACES = "".join(map(chr, range(33)))
+CODE, ZERO = re.compile(r"[\x00-\x20]*[+-]?[0-9]+[\x00-\x20]*"), re.compile(rb"[\x00-\x20]*[+-]?0+[\x00-\x20]*")
 
 
 def detect_codec(data: bytes) -> str | None:
@@ -42,30 +47,19 @@ def detect_codec(data: bytes) -> str | None:
     return "cp1250" if not plain and CENTRAL_EUROPE in data else None
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """(path, codec, text) of files (path, content)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            content = batch.column("content").to_pylist()
-            codecs = [detect_codec(c or b"") for c in content]
-            texts = [(c or b"").decode(k or "utf-8", "replace") for c, k in zip(content, codecs, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(codecs, pa.string()), pa.array(texts, pa.string())], ["path", "codec", "text"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, codec string, text string")
-
-
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][xX][fF]").load(folder).select("path", "content")
 
 
-def read_lines(spark: SparkSession, folder: str, pattern: str = "*.[dD][xX][fF]") -> DataFrame:
-    """(path, line_no, line: its bytes) of the files of a folder, read in splits as large as Spark's settings say."""
+def _read_text(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     text = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
     at = F.col("_metadata")
-    lines = text.select(at["file_path"].alias("path"), at["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_id"), F.col("value").cast("binary").alias("line"))
+    return text.select(at["file_path"].alias("path"), at["file_block_start"].alias("_split"), F.col("value").cast("binary").alias("line"))
+
+
+def read_lines(spark: SparkSession, folder: str, pattern: str = "*.[dD][xX][fF]") -> DataFrame:
+    """(path, line_no, line: its bytes) of the files of a folder, read in splits as large as Spark's settings say."""
+    lines = _read_text(spark, folder, pattern).select("path", "_split", F.monotonically_increasing_id().alias("_id"), "line")
     lines = stored(lines, "lines")  # a split's ids are one range, in its order; stored, they stay
     splits = lines.groupBy("path", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,9 +73,14 @@ def codecs(lines: DataFrame) -> DataFrame:
     valid = F.is_valid_utf8(text)
     seen = lines.groupBy("path").agg(
         F.bool_and(valid).alias("_valid"), F.bool_and(valid & (F.char_length(text) == F.octet_length("line"))).alias("_plain"), F.bool_or(F.contains(text, F.lit(CENTRAL_EUROPE.decode()))).alias("_mark"),
-        F.min(F.when(F.contains(text, F.lit("$DWGCODEPAGE")), F.col("line_no"))).alias("_at"),
+        F.min(F.when(F.contains(text, F.lit(DECLARED.decode())), F.col("line_no"))).alias("_at"),
     )
-    named = lines.select("path", F.col("line_no").alias("_named_at"), F.trim(F.btrim(text, F.lit(" \t\r"))).alias("_name"))
+    return _codecs(seen, lines)
+
+
+def _codecs(seen: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path, codec) of files by what was seen in them (_valid, _plain, _mark, _at) and the lines that may name a code page."""
+    named = lines.select("path", F.col("line_no").alias("_named_at"), F.trim(F.btrim(F.col("line").cast("string"), F.lit(" \t\r"))).alias("_name"))
     rows = seen.withColumn("_named_at", F.col("_at") + 2).join(named, ["path", "_named_at"], "left")
     declared = F.lit(None).cast("string")
     for name, codec in CODEPAGES.items():
@@ -90,42 +89,177 @@ def codecs(lines: DataFrame) -> DataFrame:
     return rows.select("path", F.when(F.col("_plain") | ~F.col("_valid"), F.coalesce(declared, mark)).alias("codec"))
 
 
-def decoded(lines: DataFrame) -> DataFrame:
-    """(path, line_no, line: text) of lines with their codec."""
+def _pieces(text: DataFrame) -> DataFrame:
+    """Lines (path, split, line) in their order as pieces of one split each: n lines, their content, where in it the first record begins if its first
+    line is a code (start_0) or a value (start_1), and what says how the file is encoded: clues are lines by number in the piece."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        piece = 0
         for batch in batches:
-            raw, codec = batch.column("line").to_pylist(), batch.column("codec").to_pylist()
-            text = [x.decode("ascii") if x.isascii() else x.decode(c or "utf-8", "replace") for x, c in zip(raw, codec, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("line_no"), pa.array(text, pa.string())], ["path", "line_no", "line"])
-
-    return lines.select("path", "line_no", "line", "codec").mapInArrow(run, "path string, line_no long, line string")
+            if not batch.num_rows:
+                continue
+            path, split, lines = batch.column("path"), batch.column("split"), batch.column("line").to_pylist()
+            cut = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(split[1:], split[:-1])).to_numpy(zero_copy_only=False)
+            cuts, rows = [0, *(np.flatnonzero(cut) + 1).tolist(), len(lines)], []
+            for first, end in zip(cuts, cuts[1:]):  # noqa: B905
+                mine, starts, piece = lines[first:end], [None, None], piece + 1
+                for i, x in enumerate(mine):
+                    if starts[i % 2] is None and b"0" in x and ZERO.fullmatch(x):
+                        starts[i % 2] = sum(map(len, mine[:i])) + i
+                        if None not in starts:
+                            break
+                content = b"\n".join(mine)
+                plain = content.isascii()
+                try:
+                    valid = plain or bool(content.decode())
+                except UnicodeDecodeError:
+                    valid = False
+                at = next((i for i, x in enumerate(mine) if DECLARED in x), None) if DECLARED in content else None
+                clues = {i: mine[i][:100] for i in (0, 1, *([] if at is None else [at + 2])) if i < len(mine)}
+                rows.append((path[first].as_py(), split[first].as_py(), piece, len(mine), content, *starts, plain, valid, CENTRAL_EUROPE in content, at, list(clues.items())))
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names)
+
+    import pyarrow as pa
+
+    clue = pa.map_(pa.int32(), pa.binary())
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), clue]
+    schema = "path string, split long, piece long, n long, content binary, start_0 int, start_1 int, plain boolean, valid boolean, mark boolean, at int, clues map<int, binary>"
+    names = ["path", "split", "piece", "n", "content", "start_0", "start_1", "plain", "valid", "mark", "at", "clues"]
+    return text.select("path", "split", "line").mapInArrow(run, schema)
+
+
+def read_groups(spark: SparkSession, folder: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """(path of files, their content as groups of whole records: drawing_id, at, pieces, codec). A piece's lines before its first record go to the group before."""
+    text = _read_text(spark, folder, pattern).select("path", F.col("_split").alias("split"), "line")
+    pieces = stored(_pieces(text).withColumn("drawing_id", F.xxhash64("path")), "pieces")
+    c = F.col
+    before = Window.partitionBy("drawing_id").orderBy("split", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    rows = pieces.drop("content").withColumn("at_line", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rows = rows.withColumn("start", F.when(c("at_line") % 2 == 0, c("start_0")).otherwise(c("start_1")))
+    rows = rows.withColumn("owner", F.coalesce(F.last(F.when(c("start").isNotNull(), c("at_line")), ignorenulls=True).over(before), F.lit(-1)))
+    rows = stored(rows, "places")
+    seen = rows.groupBy("path").agg(F.bool_and("valid").alias("_valid"), F.bool_and("plain").alias("_plain"), F.bool_or("mark").alias("_mark"), F.min(c("at_line") + c("at")).alias("_at"))
+    clues = rows.select("path", "at_line", F.explode("clues").alias("_i", "line")).select("path", (c("at_line") + c("_i")).alias("line_no"), "line")
+    kinds = stored(_codecs(seen, clues), "codecs")
+    places = stored(rows.join(kinds, "path").select("drawing_id", "split", "piece", "at_line", "start", "owner", "codec"), "places")
+    lead = F.when(c("start").isNull(), c("content")).when(c("start") > 0, F.substring("content", F.lit(1), c("start") - 1))
+    body = F.when(c("start").isNotNull(), F.substring("content", c("start") + 1, F.octet_length("content")))
+    part = lambda owner, content: F.struct(owner.alias("at"), c("at_line"), content.alias("content"))
+    parts = pieces.select("drawing_id", "split", "piece", "content").join(places, ["drawing_id", "split", "piece"])
+    parts = parts.select("drawing_id", "codec", F.inline(F.array(part(c("owner"), lead), part(c("at_line"), body)))).where("content IS NOT NULL")
+    groups = parts.groupBy("drawing_id", "at").agg(F.first("codec").alias("codec"), F.array_sort(F.collect_list(F.struct("at_line", "content"))).alias("pieces"))
+    return kinds.select("path"), stored(groups.select("drawing_id", "at", "codec", F.col("pieces.content").alias("pieces")), "groups")
+
+
+def _split_records(pieces: list[bytes], codec: str | None, known: dict[str, int | None]):
+    """The records of content that begins at one: (codes, values, where each record begins in them; tags before the first record are a record 0)."""
+    text = b"\n".join(pieces).decode(codec or "utf-8", "replace")
+    lines = text.split("\n")
+    values = lines[1::2]
+    if "\r" in text:
+        lines, values = [x.rstrip("\r") for x in lines], [x.rstrip("\r") for x in values]
+    codes = []
+    for x in lines[: 2 * len(values) : 2]:
+        if x not in known:
+            if len(known) > 10_000:
+                known.clear()
+            known[x] = int(x.strip(SPACES)) if CODE.fullmatch(x) and abs(int(x.strip(SPACES))) < 1 << 31 else None
+        codes.append(known[x])
+    if None in codes:
+        codes, values = [[y for y, k in zip(of, codes, strict=True) if k is not None] for of in (codes, values)]
+    return codes, values, [i for i, k in enumerate(codes) if k == 0]
+
+
+def _walk(codes, values, starts, section, block, owner, base):
+    """(section, block_name, owner) of each record, from what holds before the first one on."""
+    out = []
+    for k, (i, end) in enumerate(zip(starts, [*starts, len(codes)][1:], strict=True)):
+        kind = values[i].strip(" ")
+        if kind in ("SECTION", "BLOCK"):
+            name = next((values[j] for j in range(i, end) if codes[j] == 2), None)
+            if kind == "SECTION":
+                section, block = section if name is None else name.strip(" "), ""
+            elif section == "BLOCKS" and name is not None:
+                block = name
+        elif kind == "ENDSEC":
+            section = ""
+        elif kind == "ENDBLK":
+            block = ""
+        owner = base + k + 1 if kind == "POLYLINE" else owner if kind == "VERTEX" else -1
+        out.append((section, block, owner))
+    return out
+
+
+STATE = "base long, section string, block_name string, owner long"
+
+
+def _states(groups: DataFrame) -> DataFrame:
+    """What holds before each group (drawing_id, at): records so far, section, block and the polyline that vertices belong to."""
+    schema = "drawing_id long, at long, n long, section string, in_blocks string, elsewhere string, owner long"
 
+    def run(batches):
+        import pyarrow as pa
 
-def tags(lines: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(drawing_id, tag_no, code, value, record_no): the pairs of lines (path, line_no, line) of each file; a record begins at code 0. A code without a value is no pair."""
+        known: dict[str, int | None] = {}
+        for batch in batches:
+            rows = []
+            for drawing, at, pieces, codec in zip(*[batch.column(k).to_pylist() for k in ("drawing_id", "at", "pieces", "codec")], strict=True):
+                codes, values, starts = _split_records(pieces, codec, known)
+                # a block's name counts in the section of blocks only: both ways, as the section may be one that began earlier
+                ways = [(_walk(codes, values, starts, s, None, None, 0) or [(s, None, None)])[-1] for s in ("BLOCKS", None)]
+                rows.append((drawing, at, len(starts), ways[1][0], ways[0][1], ways[1][1], ways[1][2]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
     c = F.col
-    line = F.rtrim("line", F.lit("\r"))
-    pairs = lines.groupBy(F.xxhash64("path").alias("drawing_id"), F.expr("line_no DIV 2").alias("tag_no")).agg(F.max(F.when(c("line_no") % 2 == 0, line)).alias("code"), F.max(F.when(c("line_no") % 2 == 1, line)).alias("value"))
-    rows = pairs.withColumn("code", F.trim("code").try_cast("int")).where("code IS NOT NULL AND value IS NOT NULL")
-    return running(rows.withColumn("record_no", (c("code") == 0).cast("long")), ["drawing_id"], "tag_no", ["record_no"], block=block)
+    before = Window.partitionBy("drawing_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda v: F.last(v, ignorenulls=True).over(before)
+    rows = groups.select("drawing_id", "at", "pieces", "codec").mapInArrow(run, schema)
+    rows = rows.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "before": last(c("section"))})
+    rows = rows.withColumns({"_block": F.when(c("before") == "BLOCKS", c("in_blocks")).otherwise(c("elsewhere")), "_owner": F.when(c("owner") > 0, c("base") + c("owner")).otherwise(c("owner"))})
+    return rows.select("drawing_id", "at", "base", c("before").alias("section"), last(c("_block")).alias("block_name"), last(c("_owner")).alias("owner"))
+
 
+def _records(groups: DataFrame) -> DataFrame:
+    """One row for each record of groups (drawing_id, pieces, codec, and what holds before them): its type, tags in order, the section and block that it is in.
 
-def _first(code: int, kind: str = "double") -> Column:
-    return F.min_by(F.when(F.col("code") == code, F.col("value")), F.when(F.col("code") == code, F.col("tag_no")))
+    Python on purpose: a task cuts the text of its groups into pairs of lines, and nothing but whole records leaves it.
+    """
+    schema = "drawing_id long, record_no long, type string, name string, tags array<struct<tag_no: int, code: int, value: string>>, section string, block_name string, owner long"
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def _records(t: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row for each record: its type, tags in order, the section and block that it is in."""
-    rows = t.groupBy("drawing_id", "record_no").agg(_first(0).alias("type"), _first(2).alias("name"), F.array_sort(F.collect_list(F.struct("tag_no", "code", "value"))).alias("tags"))
-    rows = rows.withColumn("type", F.trim("type"))
-    section = F.when(F.col("type") == "SECTION", F.trim("name")).when(F.col("type") == "ENDSEC", "")
-    rows = running(rows.withColumn("section", section), ["drawing_id"], "record_no", lasts=["section"], block=block)
-    name = F.when((F.col("type") == "BLOCK") & (F.col("section") == "BLOCKS"), F.col("name")).when(F.col("type").isin("ENDBLK", "SECTION"), "")
-    owner = F.when(F.col("type").isin("POLYLINE"), F.col("record_no")).when(~F.col("type").isin("VERTEX"), F.lit(-1))
-    return running(rows.withColumns({"block_name": name, "owner": owner}), ["drawing_id"], "record_no", lasts=["block_name", "owner"], block=block)
+        known: dict[str, int | None] = {}
+        for batch in batches:
+            for drawing, pieces, codec, base, *state in zip(*[batch.column(k).to_pylist() for k in ("drawing_id", "pieces", "codec", "base", "section", "block_name", "owner")], strict=True):
+                codes, values, starts = _split_records(pieces, codec, known)
+                states = _walk(codes, values, starts, *state, base)
+                numbers = list(range(base + 1, base + 1 + len(starts)))
+                types = [values[i].strip(" ") for i in starts]
+                if codes and (not starts or starts[0]):
+                    starts, states, numbers, types = [0, *starts], [tuple(state), *states], [base, *numbers], [None, *types]
+                bounds = np.array([*starts, len(codes)], np.int32)
+                for a in range(0, len(starts), 10_000):
+                    b = min(a + 10_000, len(starts))
+                    i, j = int(bounds[a]), int(bounds[b])
+                    tags = pa.StructArray.from_arrays([pa.array(np.arange(i, j, dtype=np.int32)), pa.array(codes[i:j], pa.int32()), pa.array(values[i:j], pa.string())], ["tag_no", "code", "value"])
+                    names = [next((values[k] for k in range(s, e) if codes[k] == 2), None) for s, e in zip(bounds[a:b].tolist(), bounds[a + 1 : b + 1].tolist(), strict=True)]
+                    columns = [pa.array([drawing] * (b - a), pa.int64()), pa.array(numbers[a:b], pa.int64()), pa.array(types[a:b], pa.string()), pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(bounds[a : b + 1] - i), tags)]
+                    section, block, owner = zip(*states[a:b], strict=True)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(section, pa.string()), pa.array(block, pa.string()), pa.array(owner, pa.int64())], ["drawing_id", "record_no", "type", "name", "tags", "section", "block_name", "owner"])
+
+    return groups.select("drawing_id", "pieces", "codec", "base", "section", "block_name", "owner").mapInArrow(run, schema)
 
 
 def _text(code: int) -> Column:
@@ -178,7 +312,9 @@ def _entities(records: DataFrame) -> DataFrame:
     vertices = records.where((kind == "VERTEX") & (c("owner") >= 0)).groupBy("drawing_id", c("owner").alias("record_no")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(c("record_no").alias("n"), _number(10, 0).alias("x"), _number(20, 0).alias("y"), _number(42, 0).alias("bulge")))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["bulge"].alias("bulge"))).alias("_vertices")
     )
-    rows = here.join(vertices, ["drawing_id", "record_no"], "left")
+    # records that have no vertices of their own stay where they are
+    own = here.where(kind == "POLYLINE").join(vertices, ["drawing_id", "record_no"], "left")
+    rows = here.where(kind != "POLYLINE").withColumn("_vertices", F.lit(None).cast(f"array<{schemas.VERTEX}>")).unionByName(own)
     on = lambda types, value: F.when(kind.isin(*types), value)
     round_ = ("CIRCLE", "ARC", "ELLIPSE")
     placed = ("LINE", "TEXT", "MTEXT", "POINT")
@@ -203,9 +339,9 @@ def _entities(records: DataFrame) -> DataFrame:
     return schemas.with_columns_of(out, schemas.ENTITIES)
 
 
-def _tables(files: DataFrame, lines: DataFrame, block: int) -> dict[str, DataFrame]:
-    """The tables of files (path) and their lines (path, line_no, line)."""
-    records = stored(_records(tags(lines, block), block), "records")
+def _tables(files: DataFrame, groups: DataFrame) -> dict[str, DataFrame]:
+    """The tables of files (path) and the groups of their records."""
+    records = stored(_records(groups), "records")
     following = lambda names, codes: F.get(F.filter(F.transform("tags", lambda t, i: F.when((t["code"] == 9) & (F.trim(t["value"]) == names), F.get("tags", i + 1))), lambda t: t["code"].isin(codes)), F.lit(0))["value"]
     headers = records.where(F.exists("tags", lambda t: t["code"] == 9))
     heads = headers.groupBy("drawing_id").agg(F.min(F.trim(following("$INSUNITS", [70]))).try_cast("int").alias("insunits"), F.min(F.trim(following("$DWGCODEPAGE", [3]))).alias("codepage"))
@@ -216,14 +352,15 @@ def _tables(files: DataFrame, lines: DataFrame, block: int) -> dict[str, DataFra
     return {"drawings": schemas.with_columns_of(drawings, schemas.DRAWINGS), "layers": schemas.with_columns_of(layers, schemas.LAYERS), "blocks": schemas.with_columns_of(blocks, schemas.BLOCKS), "entities": _entities(records)}
 
 
-def tables(files: DataFrame, block: int = BLOCK) -> dict[str, DataFrame]:
+def tables(files: DataFrame) -> dict[str, DataFrame]:
     """drawings, layers, blocks and entities of files that are rows (path, content)."""
-    texts = decode_files(files)
-    return _tables(texts, texts.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")), block)
+    codec = F.udf(lambda data: detect_codec(data or b""), "string", useArrow=True)
+    nothing = [F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in STATE.split(", ")[1:]]
+    groups = files.select(F.xxhash64("path").alias("drawing_id"), F.array(F.coalesce("content", F.lit(b""))).alias("pieces"), codec("content").alias("codec"), F.lit(0).cast("long").alias("base"), *nothing)
+    return _tables(files.select("path"), groups)
 
 
 def read_tables(spark: SparkSession, folder: str, pattern: str = "*.[dD][xX][fF]", block: int = BLOCK) -> dict[str, DataFrame]:
-    """drawings, layers, blocks and entities of the files of a folder, whatever their size: see the module. Empty files have no drawing."""
-    lines = read_lines(spark, folder, pattern)
-    kinds = stored(codecs(lines), "codecs")
-    return _tables(kinds, decoded(lines.join(kinds, "path")), block)
+    """drawings, layers, blocks and entities of the files of a folder, whatever their size: see the module. Empty files have no drawing. `block` is not used any more."""
+    files, groups = read_groups(spark, folder, pattern)
+    return _tables(files, groups.join(stored(_states(groups), "states"), ["drawing_id", "at"]))

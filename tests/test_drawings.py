@@ -466,6 +466,16 @@ def test_ingest_in_splits(spark, tmp_path):
         assert sorted(map(str, got[k])) == sorted(map(str, want[k])), k
 
 
+def test_records_leave_a_task_whole(spark):
+    """Tags are not shuffled to become records, and only polylines meet their vertices by a join."""
+    files = spark.createDataFrame([("a.dxf", bytearray(FILE.format(page="ANSI_1252").encode()))], "path string, content binary")
+    entities = dxf.tables(files)["entities"]
+    assert entities.count() > 3
+    plan = dxf._records(files.selectExpr("1L AS drawing_id", "array(content) AS pieces", "CAST(NULL AS STRING) AS codec", "0L AS base", "CAST(NULL AS STRING) AS section", "CAST(NULL AS STRING) AS block_name", "CAST(NULL AS LONG) AS owner"))
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.where("type = 'LINE'").first().block_name == "B1"
+
+
 def test_running_totals_and_values(spark):
     rng = random.Random(2)
     rows = [(k, i * 3 + k, rng.randrange(5), rng.choice([None, None, "a", "b"])) for k, n in ((0, 500), (1, 1), (2, 77)) for i in range(n)]
