@@ -1,11 +1,13 @@
 import math
 import random
+import re
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from draftlake import storage
 from draftlake.functions.style import palette_colour
 from draftlake.operators import annotations, curves, expand, extents, hatch, inventory, running, segments, sheets
 from draftlake.plans import documents, export
@@ -585,3 +587,63 @@ def test_linework_kinds(spark):
     assert len(got[1, "arc"][0].points) == 181 and len(got[2, "arc"][0].points) == 11 and len(got[3, "ellipse"][0].points) == 182
     assert [tuple(p) for p in got[4, "solid"][0].points] == [(10.0, 30.0), (30.0, 30.0), (10.0, 10.0), (30.0, 10.0)] and got[4, "solid"][0].filled
     assert got[8, "hatch"][0].width_mm == 0.05
+
+
+def _dealt(df):
+    """What the rows of a plan's exchanges are dealt by, with joins that only hints make broadcasts."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return re.findall(r"Exchange (?:hash|range)partitioning\(([^\n]*)", df._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_linework_deals_and_stores_no_lines(spark, monkeypatch):
+    """Only what stands in blocks meets instances; styles and sheets come to the entities, and only they are stored."""
+    names = []
+    for module in (export, storage):
+        monkeypatch.setattr(module, "stored", lambda df, name, real=storage.stored: names.append((name, df.count())) or real(df, name))
+    rows = [(d, "", k, "LINE", "A", True, 256, -2, 0.0, float(k), 9.0, float(k), None, None, None, None, None, None) for d in (1, 2) for k in range(300)]
+    rows += [(1, "B", 0, "LINE", "A", True, 1, 50, 0.0, 0.0, 1.0, 0.0, None, None, None, None, None, None), (1, "", 300, "INSERT", "A", True, None, None, None, None, None, None, "B", 5.0, 5.0, 2.0, 2.0, 0.0)]
+    own = spark.createDataFrame(rows, "drawing_id long, block_name string, entity_seq long, type string, layer string, visible boolean, color int, lineweight int, x1 double, y1 double, x2 double, y2 double, ref_block string, ins_x double, ins_y double, scale_x double, scale_y double, rot_deg double")
+    tables = {"drawings": spark.createDataFrame([(1, 4), (2, 4)], "drawing_id long, insunits int"), "entities": schemas.with_columns_of(own, schemas.ENTITIES), "layers": spark.createDataFrame([(1, 0, "A", 1, 0, 13)], schemas.LAYERS), "blocks": spark.createDataFrame([(1, 0, "B", 0.0, 0.0)], schemas.BLOCKS)}
+    plan = spark.createDataFrame([(d, s, 2.0, 0.0, 10.0, 10.0, 0.0, 0.0) for d in (1, 2) for s in (1, 2, 3)], "drawing_id long, sheet_id int, page_scale double, min_x double, max_y double, margin double, offset_x double, offset_y double")
+    out = export.linework(tables, plan)
+    assert names and all(n <= 2 for _, n in names), names
+    dealt = [keys for keys in _dealt(out) if "hatch_id" not in keys and "path_no" not in keys]
+    assert dealt and all("block_name" in keys for keys in dealt), dealt
+    got = out.collect()
+    assert len(got) == 3 * 601 and len({(r.drawing_id, r.sheet_id, r.path, r.entity_seq) for r in got}) == len(got)
+    nested = next(r for r in got if r.path)
+    assert (nested.path, nested.draw_order, [tuple(p) for p in nested.points], nested.width_mm) == ("/300", [300, 0, 0], [(20.0, 20.0), (24.0, 20.0)], 0.5)
+    assert {(r.drawing_id, r.r, r.width_mm) for r in got if not r.path} == {(1, 255, 0.13), (2, 0, 0.25)}
+
+
+def test_entities_of_drawings_meet_no_instances(spark):
+    """What `split_top` parts is what `placed` places, also with a block that is named as drawings are."""
+    rng = random.Random(4)
+    inserts = spark.createDataFrame([(d, b, k, "INSERT", rng.choice("LM"), True, r, 1.0, float(k), 2.0, 1.0, 30.0) for d in (1, 2) for b, k, r in (("", 0, "A"), ("A", 1, "B"), ("", 2, "B"), ("B", 3, ""))][:7], INSERTS)
+    entities = spark.createDataFrame([(d, b, k, rng.choice("LM"), k % 5 > 0) for d in (1, 2, 3) for b in ("", "A", "B") for k in range(6)], "drawing_id long, block_name string, entity_seq long, layer string, visible boolean")
+    entities = entities.withColumns({k: F.lit(None).cast("double") for k in ("ref_block", "ins_x", "ins_y", "scale_x", "scale_y", "rot_deg")})
+    drawings = spark.createDataFrame([(1,), (2,)], "drawing_id long")
+    for names in ("AB", ["A", "B", ""]):
+        blocks = spark.createDataFrame([(d, i, n, 0.0, 0.0) for d in (1, 2) for i, n in enumerate(names)], schemas.BLOCKS)
+        where = expand.instances(drawings, inserts, blocks)
+        columns = ["drawing_id", "block_name", "entity_seq", "path", "draw_order", *expand.IDENTITY]
+        own, nested, there = expand.split_top(entities, where, blocks)
+        got = own.join(drawings, "drawing_id").select(columns).unionByName(expand.placed(nested, there).select(columns))
+        assert sorted(map(str, got.collect())) == sorted(map(str, expand.placed(entities, where).select(columns).collect()))
+
+
+def test_points_on_sheets(spark):
+    """Each row on each of its sheets; nulls stay, and so many points that they are moved in several turns."""
+    point = lambda x, y: {"x": x, "y": y}
+    rows = [(1, [point(1.0, 2.0), point(None, 3.0), None], [(7, 2.0, 10.0, 20.0), (8, 1.0, 0.0, 0.0)]), (2, None, [(7, 2.0, 10.0, 20.0)]), (3, [], [(9, 1.0, 0.0, 0.0)]), (4, [point(1.0, 1.0)], [])]
+    schema = "k long, points array<struct<x: double, y: double>>, sheets array<struct<sheet_id: int, scale: double, x: double, y: double>>"
+    got = {(r.k, r.sheet_id): r.points and [tuple(p) for p in r.points] for r in sheets.on_sheets(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 7): [(12.0, 16.0), (None, 14.0), (None, None)], (1, 8): [(1.0, -2.0), (None, -3.0), (None, None)], (2, 7): None, (3, 9): []}
+    many = spark.range(3, numPartitions=1).selectExpr("id AS k", "transform(sequence(1, 300000), i -> named_struct('x', double(i + id), 'y', 1d)) AS points", "array(named_struct('sheet_id', 1, 'scale', 1d, 'x', 0d, 'y', 0d), named_struct('sheet_id', 2, 'scale', 2d, 'x', 5d, 'y', 1d)) AS sheets")
+    sums = sheets.on_sheets(many).selectExpr("k", "sheet_id", "size(points) AS n", "points[299999].x AS last", "aggregate(points.x, 0d, (a, b) -> a + b) AS total").collect()
+    assert sorted(map(tuple, sums)) == [(k, s, 300000, s * (300000.0 + k) + 5 * (s - 1), s * (300000 * 300001 / 2 + 300000 * k) + 5 * (s - 1) * 300000) for k in range(3) for s in (1, 2)]
