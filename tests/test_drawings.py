@@ -647,3 +647,11 @@ def test_points_on_sheets(spark):
     many = spark.range(3, numPartitions=1).selectExpr("id AS k", "transform(sequence(1, 300000), i -> named_struct('x', double(i + id), 'y', 1d)) AS points", "array(named_struct('sheet_id', 1, 'scale', 1d, 'x', 0d, 'y', 0d), named_struct('sheet_id', 2, 'scale', 2d, 'x', 5d, 'y', 1d)) AS sheets")
     sums = sheets.on_sheets(many).selectExpr("k", "sheet_id", "size(points) AS n", "points[299999].x AS last", "aggregate(points.x, 0d, (a, b) -> a + b) AS total").collect()
     assert sorted(map(tuple, sums)) == [(k, s, 300000, s * (300000.0 + k) + 5 * (s - 1), s * (300000 * 300001 / 2 + 300000 * k) + 5 * (s - 1) * 300000) for k in range(3) for s in (1, 2)]
+
+
+def test_tiles_deal_no_lines(spark):
+    points = "array(named_struct('x', double(id), 'y', 0d), named_struct('x', double(id), 'y', 90d))"
+    lines = spark.range(1000).selectExpr("1L AS drawing_id", "1 AS sheet_id", "'line' AS kind", "id % 2 = 0 AS filled", f"{points} AS points")
+    plan = spark.createDataFrame([(1, 1, 0.0, 100.0, 50.0, 10, 2)], "drawing_id long, sheet_id int, margin double, print_w double, print_h double, cols int, rows int")
+    out = sheets.tile_linework(lines, plan)
+    assert _dealt(out) == [] and out.count() == 2000
