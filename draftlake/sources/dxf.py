@@ -3,9 +3,9 @@
 A file is a list of pairs of lines, a group code and a value. Code 0 begins a record; records make sections, blocks and
 entities.
 
-Files are read in splits, so that one large file is work for many tasks: the lines of a split become pieces, counts by piece say which of their
+Files of WHOLE_FILE bytes at most are read whole, some to a task, and parsed in one pass. Larger ones are read in splits, so that one large file is work for many tasks: the lines of a split become pieces, counts by piece say which of their
 lines are codes, and what stands before a piece's first record goes to the group of the piece before. So groups hold whole records, and what holds before
-them (section, block, polyline, number of records) is carried from group to group in small tables. No row holds a file, and no
+them (section, block, polyline, number of records) is carried from group to group in small tables. No row holds a large file, and no
 window its lines. `tables` takes files that are rows instead.
 """
 
@@ -22,6 +22,8 @@ from draftlake.storage import stored
 
 #: Python's codec for each $DWGCODEPAGE that is decoded; files of other code pages stay as they are.
 CODEPAGES = {f"ANSI_{n}": f"cp{n}" for n in range(1250, 1258)}
+#: Bytes of a file that is read whole at most.
+WHOLE_FILE = 4 << 20
 #: A mark of central European fonts in annotations.
 CENTRAL_EUROPE = b"c238"
 DECLARED = b"$DWGCODEPAGE"
@@ -51,10 +53,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][xX][fF]").load(folder).select("path", "content")
 
 
-def _read_text(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def _read_text(spark: SparkSession, folder: str, pattern: str, beyond: int = 0) -> DataFrame:
+    """The lines of files of more than `beyond` bytes."""
     text = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
     at = F.col("_metadata")
-    return text.select(at["file_path"].alias("path"), at["file_block_start"].alias("_split"), F.col("value").cast("binary").alias("line"))
+    return text.where(at["file_size"] > beyond).select(at["file_path"].alias("path"), at["file_block_start"].alias("_split"), F.col("value").cast("binary").alias("line"))
 
 
 def read_lines(spark: SparkSession, folder: str, pattern: str = "*.[dD][xX][fF]") -> DataFrame:
@@ -133,9 +136,9 @@ def _pieces(text: DataFrame) -> DataFrame:
     return text.select("path", "split", "line").mapInArrow(run, schema)
 
 
-def read_groups(spark: SparkSession, folder: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """(path of files, their content as groups of whole records: drawing_id, at, pieces, codec). A piece's lines before its first record go to the group before."""
-    text = _read_text(spark, folder, pattern).select("path", F.col("_split").alias("split"), "line")
+def read_groups(spark: SparkSession, folder: str, pattern: str, beyond: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(path of files of more than `beyond` bytes, their content as groups of whole records: drawing_id, at, pieces, codec). A piece's lines before its first record go to the group before."""
+    text = _read_text(spark, folder, pattern, beyond).select("path", F.col("_split").alias("split"), "line")
     pieces = stored(_pieces(text).withColumn("drawing_id", F.xxhash64("path")), "pieces")
     c = F.col
     before = Window.partitionBy("drawing_id").orderBy("split", "piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -229,8 +232,14 @@ def _states(groups: DataFrame) -> DataFrame:
     return rows.select("drawing_id", "at", "base", c("before").alias("section"), last(c("_block")).alias("block_name"), last(c("_owner")).alias("owner"))
 
 
-def _records(groups: DataFrame) -> DataFrame:
+def _as_lines(content: bytes) -> bytes:
+    """A whole file as what a reader of lines makes of it."""
+    return content.removeprefix(b"\xef\xbb\xbf").removesuffix(b"\n")
+
+
+def _records(groups: DataFrame, whole: bool = False) -> DataFrame:
     """One row for each record of groups (drawing_id, pieces, codec, and what holds before them): its type, tags in order, the section and block that it is in.
+    whole: groups are whole files, and their codec is what they say.
 
     Python on purpose: a task cuts the text of its groups into pairs of lines, and nothing but whole records leaves it.
     """
@@ -243,6 +252,9 @@ def _records(groups: DataFrame) -> DataFrame:
         known: dict[str, int | None] = {}
         for batch in batches:
             for drawing, pieces, codec, base, *state in zip(*[batch.column(k).to_pylist() for k in ("drawing_id", "pieces", "codec", "base", "section", "block_name", "owner")], strict=True):
+                if whole:
+                    pieces = [_as_lines(x) for x in pieces]
+                    codec = detect_codec(pieces[0])
                 codes, values, starts = _split_records(pieces, codec, known)
                 states = _walk(codes, values, starts, *state, base)
                 numbers = list(range(base + 1, base + 1 + len(starts)))
@@ -339,9 +351,9 @@ def _entities(records: DataFrame) -> DataFrame:
     return schemas.with_columns_of(out, schemas.ENTITIES)
 
 
-def _tables(files: DataFrame, groups: DataFrame) -> dict[str, DataFrame]:
-    """The tables of files (path) and the groups of their records."""
-    records = stored(_records(groups), "records")
+def _tables(files: DataFrame, records: DataFrame) -> dict[str, DataFrame]:
+    """The tables of files (path) and their records."""
+    records = stored(records, "records")
     following = lambda names, codes: F.get(F.filter(F.transform("tags", lambda t, i: F.when((t["code"] == 9) & (F.trim(t["value"]) == names), F.get("tags", i + 1))), lambda t: t["code"].isin(codes)), F.lit(0))["value"]
     headers = records.where(F.exists("tags", lambda t: t["code"] == 9))
     heads = headers.groupBy("drawing_id").agg(F.min(F.trim(following("$INSUNITS", [70]))).try_cast("int").alias("insunits"), F.min(F.trim(following("$DWGCODEPAGE", [3]))).alias("codepage"))
@@ -355,12 +367,23 @@ def _tables(files: DataFrame, groups: DataFrame) -> dict[str, DataFrame]:
 def tables(files: DataFrame) -> dict[str, DataFrame]:
     """drawings, layers, blocks and entities of files that are rows (path, content)."""
     codec = F.udf(lambda data: detect_codec(data or b""), "string", useArrow=True)
+    return _tables(files.select("path"), _records(_as_groups(files, codec("content"))))
+
+
+def _as_groups(files: DataFrame, codec: Column) -> DataFrame:
+    """Files (path, content) as one group each."""
     nothing = [F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in STATE.split(", ")[1:]]
-    groups = files.select(F.xxhash64("path").alias("drawing_id"), F.array(F.coalesce("content", F.lit(b""))).alias("pieces"), codec("content").alias("codec"), F.lit(0).cast("long").alias("base"), *nothing)
-    return _tables(files.select("path"), groups)
+    return files.select(F.xxhash64("path").alias("drawing_id"), F.array(F.coalesce("content", F.lit(b""))).alias("pieces"), codec.alias("codec"), F.lit(0).cast("long").alias("base"), *nothing)
 
 
 def read_tables(spark: SparkSession, folder: str, pattern: str = "*.[dD][xX][fF]", block: int = BLOCK) -> dict[str, DataFrame]:
     """drawings, layers, blocks and entities of the files of a folder, whatever their size: see the module. Empty files have no drawing. `block` is not used any more."""
-    files, groups = read_groups(spark, folder, pattern)
-    return _tables(files, groups.join(stored(_states(groups), "states"), ["drawing_id", "at"]))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    found = found.select(F.col("_metadata")["file_path"].alias("path"), "length", "content")
+    small = found.where(F.col("length").between(1, WHOLE_FILE))
+    records = _records(_as_groups(small, F.lit(None).cast("string")), whole=True)
+    if found.where(F.col("length") > WHOLE_FILE).isEmpty():
+        return _tables(small.select("path"), records)
+    files, groups = read_groups(spark, folder, pattern, WHOLE_FILE)
+    of_large = _records(groups.join(stored(_states(groups), "states"), ["drawing_id", "at"]))
+    return _tables(small.select("path").union(files), records.union(of_large))

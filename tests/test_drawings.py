@@ -468,6 +468,22 @@ def test_ingest_in_splits(spark, tmp_path):
         assert sorted(map(str, got[k])) == sorted(map(str, want[k])), k
 
 
+def test_small_files_are_read_whole(spark, tmp_path, monkeypatch):
+    """In one pass, with the tables that they have when they are read in splits, or some of them."""
+    text = FILE.format(page="ANSI_1250")
+    contents = {"a.dxf": text.encode("cp1250"), "b.dxf": b"\xef\xbb\xbf" + text.encode(), "c.dxf": text.replace("\n", "\r\n").encode() + b"  0", "d.dxf": (text + "  0\n").encode("cp1250"), "e.dxf": b"", "f.dxf": b"\xf5\n", "g.dxf": text.encode("cp1250") * 2}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    found = {}
+    for most in (0, 10, len(contents["a.dxf"]), 4 << 20):
+        monkeypatch.setattr(dxf, "WHOLE_FILE", most)
+        if most == 4 << 20:
+            monkeypatch.setattr(dxf, "read_groups", None)
+        found[most] = {k: sorted(map(str, v.collect())) for k, v in dxf.read_tables(spark, str(tmp_path)).items()}
+    assert len(found[0]["drawings"]) == 6 and len(found[0]["entities"]) > 20
+    assert all(v == found[0] for v in found.values())
+
+
 def test_records_leave_a_task_whole(spark):
     """Tags are not shuffled to become records, and only polylines meet their vertices by a join."""
     files = spark.createDataFrame([("a.dxf", bytearray(FILE.format(page="ANSI_1252").encode()))], "path string, content binary")
