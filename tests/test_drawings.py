@@ -484,6 +484,22 @@ def test_small_files_are_read_whole(spark, tmp_path, monkeypatch):
     assert all(v == found[0] for v in found.values())
 
 
+def test_tile_lengths_are_those_of_the_pieces(spark):
+    """Lines, curves and single points on tiled sheets and others; what is filled or no number does not count."""
+    plan = spark.createDataFrame([(1, 1, 10.0, 100.0, 80.0, 4, 3), (1, 2, 5.0, 400.0, 300.0, 1, 1), (2, 1, 10.0, 100.0, 80.0, 2, 2)], "drawing_id long, sheet_id int, margin double, print_w double, print_h double, cols int, rows int")
+    rng = random.Random(3)
+    point = lambda: {"x": rng.choice([10.0, 110.0, rng.uniform(-50, 500)]), "y": rng.choice([10.0, 90.0, rng.uniform(-50, 300)])}
+    rows = [(rng.choice([1, 1, 2, 3]), rng.choice([1, 2]), rng.choice(["line", "arc"]), [point() for _ in range(rng.choice([0, 1, 2, 2, 5]))], False) for _ in range(300)]
+    rows += [(1, 1, "line", [{"x": 10.0, "y": 20.0}, {"x": 410.0, "y": 20.0}], False), (1, 1, "solid", [point() for _ in range(4)], True), (1, 1, "line", None, False), (1, 1, "gone", [{"x": None, "y": 1.0}, point()], False)]
+    linework = spark.createDataFrame(rows, "drawing_id long, sheet_id int, kind string, points array<struct<x: double, y: double>>, filled boolean")
+    a, b = (F.get("points", F.lit(i)) for i in (0, 1))
+    pieces = sheets.tile_linework(linework, plan).where("NOT filled").groupBy("drawing_id", "sheet_id", "page", "kind").agg(F.count("*").alias("pieces"), F.sum(F.hypot(b["x"] - a["x"], b["y"] - a["y"])).alias("length"))
+    key = lambda df: sorted((*r[:4], r.pieces, round(r.length, 6)) for r in df.select("drawing_id", "sheet_id", "page", "kind", "pieces", "length").collect())
+    found = sheets.tile_lengths(linework, plan)
+    assert key(found) == key(pieces) and len(key(found)) > 20
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no piece becomes a row
+
+
 def test_records_leave_a_task_whole(spark):
     """Tags are not shuffled to become records, and only polylines meet their vertices by a join."""
     files = spark.createDataFrame([("a.dxf", bytearray(FILE.format(page="ANSI_1252").encode()))], "path string, content binary")
