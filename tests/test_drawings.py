@@ -500,6 +500,20 @@ def test_tile_lengths_are_those_of_the_pieces(spark):
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no piece becomes a row
 
 
+def test_instances_without_checkpoints(spark, monkeypatch):
+    """Levels are stored; inserts of the drawings meet the first level only, but for a block that is named as drawings are."""
+    monkeypatch.setattr(expand, "cut_lineage", None)
+    drawings = spark.createDataFrame([(1,), (2,)], "drawing_id long")
+    names = "drawing_id long, block_name string, entity_seq long, type string, layer string, visible boolean, ref_block string, ins_x double, ins_y double, scale_x double, scale_y double, rot_deg double"
+    inserts = spark.createDataFrame([(d, b, n, "INSERT", "0", True, r, 10.0, 0.0, 1.0, 1.0, 0.0) for d, b, n, r in ((1, "", 1, "A"), (1, "", 2, "B"), (1, "A", 3, "B"), (2, "", 1, "A"), (2, "", 2, "C"))], names)
+    blocks = [(1, 0, "A", 0.0, 0.0), (1, 1, "B", 0.0, 0.0), (2, 0, "A", 0.0, 0.0)]
+    found = lambda rows: sorted((r.drawing_id, r.path, r.at_x) for r in expand.instances(drawings, inserts, spark.createDataFrame(rows, schemas.BLOCKS)).collect())
+    assert found(blocks) == [(1, "", 0.0), (1, "/1", 10.0), (1, "/1/3", 20.0), (1, "/2", 10.0), (2, "", 0.0), (2, "/1", 10.0)]
+    inserts = inserts.union(spark.createDataFrame([(2, "A", 9, "INSERT", "0", True, "", 10.0, 0.0, 1.0, 1.0, 0.0)], names))
+    looped = [p for d, p, _ in found([*blocks, (2, 1, "", 0.0, 0.0)]) if d == 2]
+    assert looped == ["" if not k else "/1" + "/9/1" * (k // 2) if k % 2 else "/1" + "/9/1" * (k // 2 - 1) + "/9" for k in range(11)]
+
+
 def test_records_leave_a_task_whole(spark):
     """Tags are not shuffled to become records, and only polylines meet their vertices by a join."""
     files = spark.createDataFrame([("a.dxf", bytearray(FILE.format(page="ANSI_1252").encode()))], "path string, content binary")
